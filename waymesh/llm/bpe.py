@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces and token pairs remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Pieces in a generation, and token pairs, that a worker remembers.
+REMEMBERED = 600_000
 #: Pieces longer than this are encoded each time.
 LONGEST_REMEMBERED = 64
 
@@ -38,7 +39,8 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.longest = max(map(len, self.ranks))
+        self.sizes = list(map(len, self.bytes_of))
+        self.longest = max(self.sizes)
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -57,16 +59,48 @@ class Vocabulary:
         return [ranks[x] for x in parts]
 
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether the bytes of the two tokens encode to just these two tokens."""
+        """Whether the bytes of the two tokens encode to just these two tokens.
+
+        left is -1 at the start of a piece: a token that merging never makes can't stand there.
+        """
         known = self._pairs.get((left, right))
         if known is None:
             if len(self._pairs) >= REMEMBERED:
                 self._pairs.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            first = self.bytes_of[left] if left >= 0 else b""
+            known = self.merged(first + self.bytes_of[right]) == ([left, right] if left >= 0 else [right])
             self._pairs[left, right] = known
         return known
 
 
+    def extend(self, piece: bytes, last: list[int]) -> None:
+        """Put the last token of each prefix of `piece` beyond len(last) into `last`."""
+        find, known, longest = self.ranks.get, self._pairs.get, self.longest
+        for end in range(len(last) + 1, len(piece) + 1):
+            # only one entry can stand last, so short ones, which mostly do, are tried first
+            for start in range(end - 1, end - longest - 1 if end > longest else -1, -1):
+                token = find(piece[start:end])
+                if token is None:
+                    continue
+                before = last[start - 1] if start else -1
+                good = known((before, token))
+                if good or good is None and self.neighbours(before, token):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"byte {piece[end - 1]} is not in the vocabulary")
+
+    def unwind(self, last: list[int]) -> list[int]:
+        """The ids that the last tokens of all prefixes stand for."""
+        out, end, sizes = [], len(last), self.sizes
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return out
+
+
 class PrefixState:
     """The last token of every prefix of one piece, open to appends and cuts."""
 
@@ -76,33 +110,8 @@ class PrefixState:
 
     def append(self, more: bytes) -> None:
         """Add bytes; nothing before them is computed again."""
-        vocabulary, last = self.vocabulary, self.last
-        self.piece = piece = self.piece + more
-        ranks, neighbours, pairs, longest = vocabulary.ranks, vocabulary.neighbours, vocabulary._pairs, vocabulary.longest
-        for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    # a token that merging never makes can't stand alone as a prefix
-                    if self._reachable(token):
-                        last.append(token)
-                        break
-                    continue
-                before = last[start - 1]
-                good = pairs.get((before, token))
-                if good if good is not None else neighbours(before, token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"byte {piece[end - 1]} is not in the vocabulary")
-
-    def _reachable(self, token: int) -> bool:
-        known = self.vocabulary._pairs.get((-1, token))
-        if known is None:
-            known = self.vocabulary._pairs[-1, token] = self.vocabulary.merged(self.vocabulary.bytes_of[token]) == [token]
-        return known
+        self.piece += more
+        self.vocabulary.extend(self.piece, self.last)
 
     def cut(self, size: int) -> None:
         """Keep the first `size` bytes; their prefixes stay valid."""
@@ -115,11 +124,28 @@ class PrefixState:
         self.append(new + tail)
 
     def ids(self) -> list[int]:
-        out, end, sizes = [], len(self.piece), self.vocabulary.bytes_of
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(sizes[out[-1]])
-        return out[::-1]
+        return self.vocabulary.unwind(self.last)
+
+
+class _Pieces(dict):
+    """Ids of pieces met before, in two generations: what is not met again goes; a long piece is not kept."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -128,32 +154,21 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(pattern)
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = _Pieces(self.piece)
 
     def piece(self, text: str) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
         raw = text.encode("utf-8", "surrogatepass")
         whole = self.vocabulary.ranks.get(raw)
-        ids = [whole] if whole is not None else PrefixState(self.vocabulary, raw).ids()
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        last: list[int] = []
+        self.vocabulary.extend(raw, last)
+        return array("I", self.vocabulary.unwind(last)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        pieces, known = self.pattern.findall(text), self._pieces
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            pass
-        if len(known) >= REMEMBERED:
-            known.clear()
-        out = []
-        for x in pieces:
-            ids = known.get(x)
-            if ids is None:
-                ids = self.piece(x)
-                if len(x) <= LONGEST_REMEMBERED:
-                    known[x] = ids
-            out.append(ids)
-        return b"".join(out)
+        self._pieces.age()
+        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -198,6 +213,8 @@ class OpenText:
         return b"".join(x for _, _, x in self.pieces)
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit integers")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 

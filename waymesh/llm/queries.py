@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, quality, secrets, substrings, token_counts, warc
+from . import bpe, embeddings, jaccard, langid, mixing, quality, secrets, substrings, token_counts, warc
 from ._shared import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -36,6 +36,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -56,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(histogram).drop("grp")
 
 
-_ALL = [op1_language_id, op2_byte_bpe, op3_ngram_jaccard, op4_suffix_dedup, op5_source_mix, op7_secrets, op8_quality_rules, op9_warc_index, op10_token_counts]
+_ALL = [op1_language_id, op2_byte_bpe, op3_ngram_jaccard, op4_suffix_dedup, op5_source_mix, op6_embedding_dedup, op7_secrets, op8_quality_rules, op9_warc_index, op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

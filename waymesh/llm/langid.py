@@ -273,3 +273,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def in_training(id_col: str = "doc_id"):
     """The rows that may be learned from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(F.col(id_col).cast("string")) % 4 != 2
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose prediction is not rejected; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            _, _, rejected = own.predict(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from ._shared import stash
 
 #: Lengths in one span of the two-step suffix sums.
-SPAN = 1024
+SPAN = 128
 
 
 def length_histogram(docs: DataFrame, path: str, pattern: str, text_col: str = "text", group_col: str | None = None) -> DataFrame:
     """(grp, n_tokens, n_docs): the exact histogram."""
-    return bpe.count_tokens(docs, path, pattern, text_col, group_col).groupBy("grp", "n_tokens").agg(F.count("*").alias("n_docs"))
+    counted = bpe.count_tokens(docs, path, pattern, text_col, group_col).groupBy("grp", "n_tokens").agg(F.count("*").alias("n_docs"))
+    return stash(counted, "lengths")  # suffix sums read it several times; encoding again would cost most
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registry of the reference-operator queries and their DuckDB oracles."""
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,13 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
+_MODULES = ["joins_q", "aggs_q", "windows_q", "functions_q", "domain_q", "streaming_q"]
+
+
 def _load() -> None:
     """Query modules register themselves when imported."""
+    for name in _MODULES:
+        importlib.import_module(f"waymesh.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

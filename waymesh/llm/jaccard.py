@@ -5,10 +5,11 @@ without words, empty and linked with nothing), as 64-bit hashes. Two documents l
 100 * |intersection| >= 75 * |union|.
 
 1. Equal sets are one class with one representative; only representatives go on.
-2. A lossless partition: two sets that link share one of the first n - ceil(3n/4) + 1 shingles
-   of each in any common order. The order puts shingles with small counts in a fixed-size
-   count sketch first, so that shared passages come last and rarely meet. Representatives that
-   share such a shingle, neighbours by size in its run, make the edges of groups.
+2. A lossless partition: two sets that link share m of the first n - ceil(3n/4) + m shingles
+   of each in any common order; m is a tenth of the smaller set. The order puts shingles with
+   small counts in a fixed-size count sketch first, so that shared passages come last and
+   rarely meet. Pairs that share enough of them, and neighbours by size where very many sets
+   share one, make the edges of groups.
 3. In a group, a signature tree: leaves and inner nodes hold the OR of their sets' bitmaps and
    their size range. A dual traversal compares node pairs and prunes those whose greatest
    possible overlap, popcount(OR and OR) plus what bitmap collisions may hide, is under what
@@ -40,7 +41,9 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Slots of the count sketch that orders shingles: fixed, whatever the corpus.
-SLOTS = 1 << 22
+SLOTS = 1 << 23
+#: Longest run of one shingle whose pairs are counted.
+RUN = 32
 #: Documents of a block of a large group.
 BLOCK = 128
 #: Leaf size of the tree.
@@ -75,6 +78,11 @@ def needed(n: np.ndarray | int):
     return -(-PERCENT * n // 100)
 
 
+def margin(n):
+    """Prefix shingles that two linking sets, the smaller of n, must share at the least."""
+    return np.maximum(1, n // 10)
+
+
 def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
     """How many (document, shingle) pairs fall in each slot, over all documents."""
     parts = 256
@@ -114,6 +122,7 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_counts = counts.value
+        met: set[int] = set()
         for batch in batches:
             data, starts, ends = strings(batch.column(1))
             for i, j in slices(starts, ends):
@@ -123,13 +132,18 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 rank = slot_counts[(keys & U(SLOTS - 1)).astype(np.int64)]
                 order = np.lexsort((keys, rank, owner))
                 place = np.arange(len(keys)) - at[owner]
-                first = place < (n - needed(n) + 1)[owner]
-                prefix = keys[order][first].astype(np.int64)
-                offsets = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=j - i))].astype(np.int32)
                 sums = []
                 for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                     mixed = np.r_[np.zeros(1, np.uint64), np.cumsum(_words.mix(keys ^ U(salt)))]
                     sums.append((mixed[at[1:]] - mixed[at[:-1]]).astype(np.int64))
+                # equal sets of one task send their prefix once
+                again = np.zeros(j - i, np.bool_)
+                for k, f in enumerate(sums[0].tolist()):
+                    again[k] = f in met
+                    met.add(f)
+                first = (place < (n - needed(n) + margin(n))[owner]) & ~again[owner]
+                prefix = keys[order][first].astype(np.int64)
+                offsets = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=j - i))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
                     names=["id", "n", "f1", "f2", "keys"],
@@ -139,27 +153,61 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
 
 
-def _chains(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) between neighbours by size in each shingle's run of representatives."""
-    keyed = reps.select("id", "n", F.explode("keys").alias("key"))
-    # sorted by key, size, id: a neighbour is the row before; streamed, so a long run is not gathered
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "n", "id")
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between set fingerprints that can link.
+
+    Runs of one shingle are streamed in the order of size. In a run of up to RUN sets all pairs
+    of fitting sizes are counted, and a pair needs margin() common prefix shingles. A longer run
+    is not paired: its neighbours by size are joined unconditionally, which joins all that fit.
+    """
+    keyed = rows.select("f1", "n", F.explode("keys").alias("key"))
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "n", "f1")
+    whole = 1 << 20  # the weight of an edge that needs no count
+
+    def edges(key: np.ndarray, n: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        same = np.r_[False, (key[1:] == key[:-1]) & (f[1:] == f[:-1])]  # equal sets of several tasks
+        key, n, f = key[~same], n[~same], f[~same]
+        new = np.r_[True, key[1:] != key[:-1]]
+        size = np.diff(np.r_[np.flatnonzero(new), len(key)])[np.cumsum(new) - 1]
+        found = []
+        for step in range(1, RUN):
+            if len(key) <= step:
+                break
+            fit = (key[step:] == key[:-step]) & (100 * n[:-step] >= PERCENT * n[step:])
+            fit &= size[step:] <= RUN if step > 1 else True
+            at = np.flatnonzero(fit)
+            if not len(at):
+                break
+            a, b = f[at], f[at + step]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.where(size[at] <= RUN, 1, whole), np.minimum(n[at], n[at + step])], 1))
+        got = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+        order = np.lexsort((got[:, 1], got[:, 0]))
+        got = got[order]
+        head = np.flatnonzero(np.r_[True, (got[1:, 0] != got[:-1, 0]) | (got[1:, 1] != got[:-1, 1])]) if len(got) else np.zeros(0, np.int64)
+        weight = np.add.reduceat(got[:, 2], head) if len(head) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(got[head, 0]), pa.array(got[head, 1]), pa.array(weight), pa.array(got[head, 3])], names=["a", "b", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = n0 = id0 = None
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            ids, n, key = (np.asarray(batch.column(c)) for c in ("id", "n", "key"))
-            if not len(ids):
+            key, n, f = (np.concatenate([h, np.asarray(batch.column(c))]) for h, c in zip(held, ("key", "n", "f1")))
+            if not len(key):
                 continue
-            if key0 is None:
-                key0, n0, id0 = key[0] + 1 if key[0] < 0 else key[0] - 1, n[0], ids[0]
-            pk, pn, pi = np.r_[key0, key[:-1]], np.r_[n0, n[:-1]], np.r_[id0, ids[:-1]]
-            near = (pk == key) & (100 * pn >= PERCENT * n) & (pi != ids)
-            key0, n0, id0 = key[-1], n[-1], ids[-1]
-            pairs = np.unique(np.stack([np.minimum(pi[near], ids[near]), np.maximum(pi[near], ids[near])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+            last = int(np.searchsorted(key, key[-1]))
+            if len(key) - last > 4 * RUN and last == 0:
+                # one long run: it stays long, so its tail alone stands for it
+                yield edges(key, n, f)
+                cut = len(key) - RUN - 1
+            else:
+                if last:
+                    yield edges(key[:last], n[:last], f[:last])
+                cut = last
+            held = [key[cut:], n[cut:], f[cut:]]
+        if len(held[0]):
+            yield edges(*held)
+
+    counted = dealt.mapInArrow(run, "a bigint, b bigint, w bigint, n bigint").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
+    return counted.where(F.col("w") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).select("a", "b")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -350,13 +398,17 @@ def _tree_join(spark: SparkSession, grouped: DataFrame) -> DataFrame | None:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
-    rows = stash(_with_keys(docs, id_col, text_col), "prefixes")
-    reps = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"))
-    edges = stash(_chains(reps.select("id", "n", "keys")), "chains")
+    keyed = stash(_with_keys(docs, id_col, text_col), "prefixes")
+    edges = stash(_candidates(keyed.where("n > 0")), "candidates")
+    rows = stash(keyed.select("id", "n", "f1", "f2"), "fingerprints")
+    unstash(keyed)
     free_shuffles(spark)
-    groups = connected(spark, edges, "chained")
+    groups = connected(spark, edges, "grouped")
     unstash(edges)
-    sets = stash(_sets_of(docs, groups.select(F.col("node").alias("id"), F.col("label").alias("gid")), id_col, text_col).dropDuplicates(["id"]), "sets")
+    reps = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
+    wanted = reps.join(groups, F.col("f1") == F.col("node")).select("id", F.col("label").alias("gid"))
+    wanted = stash(wanted, "wanted")
+    sets = stash(_sets_of(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
     free_shuffles(spark)
     links = _tree_join(spark, sets.select("gid", "id", "words"))
     unstash(sets)

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH = 6_371_000.0
 #: Metres of one degree in the flat approximation.
@@ -176,7 +177,7 @@ def from_grid(north, east, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     return lat, lon
 
 
-@F.pandas_udf("struct<lat:double,lon:double>")
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 def grid_to_wgs84(north: pd.Series, east: pd.Series) -> pd.DataFrame:
     lat, lon = from_grid(north.to_numpy(), east.to_numpy())
     return pd.DataFrame({"lat": lat, "lon": lon})

@@ -143,6 +143,8 @@ def _scan(docs: DataFrame) -> DataFrame:
             again = np.zeros(len(key), np.bool_)
             again[1:] = (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])
             kind = np.where(again, MARK, CONTEXT).astype(np.int32)
+            # a mark has no use for its anchor any more; under a key of its own it burdens no run
+            key = np.where(again, _words.mix(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + lo.astype(np.uint64)), key)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(doc), pa.array(lo)], names=["kind", "key", "ctx", "doc", "lo"])
 
     return docs.mapInArrow(run, "kind int, key bigint, ctx bigint, doc bigint, lo bigint")

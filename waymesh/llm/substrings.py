@@ -467,6 +467,37 @@ def _merged(ranges: DataFrame) -> DataFrame:
     return listed
 
 
+def _cut(batch: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
+    """Documents (doc, raw, r) without their ranges r; ranges are merged as arrays of numbers."""
+    data, starts, ends = strings(batch.column(1))
+    ranges = batch.column(2)
+    flat, offsets = ranges.flatten(), np.asarray(ranges.offsets)
+    lo, hi = np.asarray(flat.field("lo")), np.asarray(flat.field("hi"))
+    owner = np.repeat(np.arange(len(ranges)), np.diff(offsets))
+    base = owner << 42  # keeps documents apart in one running maximum
+    reach = np.maximum.accumulate(hi + base) - base if len(hi) else hi
+    head = np.ones(len(lo), np.bool_)
+    head[1:] = (owner[1:] != owner[:-1]) | (lo[1:] > reach[:-1])
+    first = np.flatnonzero(head)
+    own, begin, end = owner[first], lo[first], reach[np.r_[first[1:] - 1, len(lo) - 1]] if len(first) else lo[:0]
+    removed = np.bincount(own, end - begin, len(ranges)).astype(np.int64)
+    count = np.bincount(own, minlength=len(ranges))
+    at = np.searchsorted(own, np.arange(len(ranges) + 1))
+    sums, shas, kept = [], [], []
+    for k in range(len(ranges)):
+        raw = data[starts[k] : ends[k]].tobytes()
+        edges = [0, *np.stack([begin[at[k] : at[k + 1]], end[at[k] : at[k + 1]]], 1).ravel().tolist(), len(raw)]
+        left = b"".join(raw[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
+        sums.append(hashlib.md5(raw).hexdigest())
+        shas.append(hashlib.sha256(left).hexdigest())
+        if keep_text:
+            kept.append(left)
+    columns = [batch.column(0), pa.array(sums), pa.array(removed), pa.array(count.astype(np.int64)), pa.array(shas)]
+    if keep_text:
+        columns.append(pa.array(kept, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "sum", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
+
+
 def apply(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per document: (id, n_bytes, n_removed, n_spans, kept_sha256), with keep_text also `kept` bytes."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -478,28 +509,8 @@ def apply(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, raw, cut in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = raw.as_py()
-                at, kept, removed, spans_ = 0, hashlib.sha256(), 0, 0
-                parts, end = [], None
-                for x in cut:
-                    if end is None or x["lo"] > end:
-                        spans_ += 1
-                        parts.append(raw[at : x["lo"]])
-                        removed += x["hi"] - x["lo"]
-                        at = end = x["hi"]
-                    elif x["hi"] > end:
-                        removed += x["hi"] - end
-                        at = end = x["hi"]
-                parts.append(raw[at:])
-                for p in parts:
-                    kept.update(p)
-                row = (doc, hashlib.md5(raw).hexdigest(), removed, spans_, kept.hexdigest())
-                out.append(row + (b"".join(parts),) if keep_text else row)
-            columns = list(zip(*out)) if out else [[]] * (6 if keep_text else 5)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc", "sum", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
+            for i in range(0, batch.num_rows, 512):
+                yield _cut(batch.slice(i, 512), keep_text)
 
     cut = rows.join(ranges.select(F.col("doc").alias("d2"), "r"), F.col("doc") == F.col("d2")).select("doc", "raw", "r").mapInArrow(run, schema)
     if not keep_text:

@@ -42,6 +42,8 @@ K = 28
 BLOCK = 512
 #: Bytes of a long text that are looked at together.
 PIECE = 1 << 20
+#: Bytes of texts whose contexts are first compared with each other.
+STRETCH = 8 << 20
 U = np.uint64
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -123,29 +125,33 @@ def _scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, starts, ends = strings(batch.column(1))
             ids = np.asarray(batch.column(0))
-            order = np.argsort(ids, kind="stable")
-            live = []
-            for r in order:  # a text met before in this task with a smaller id goes no further
-                if ends[r] - starts[r] < LENGTH:
-                    continue
-                key = hashlib.blake2b(data[starts[r] : ends[r]], digest_size=16).digest()
-                if smallest.get(key, ids[r] + 1) > ids[r]:
-                    smallest[key] = ids[r]
-                    live.append(r)
-            keep = np.zeros(len(ids), np.bool_)
-            keep[live] = True
-            ends = np.where(keep, ends, starts)
-            key, ctx, row, lo, size, place = contexts_kept(data, starts, ends, keep)
-            doc = ids[row]
-            packed = ((ctx >> U(16)) << U(16)) | (size.astype(np.uint64) << U(8)) | place.astype(np.uint64)
-            order = np.lexsort((lo, doc, packed, key))
-            key, packed, doc, lo = key[order], packed[order], doc[order], lo[order]
-            again = np.zeros(len(key), np.bool_)
-            again[1:] = (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])
-            kind = np.where(again, MARK, CONTEXT).astype(np.int32)
-            # a mark has no use for its anchor any more; under a key of its own it burdens no run
-            key = np.where(again, _words.mix(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + lo.astype(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(doc), pa.array(lo)], names=["kind", "key", "ctx", "doc", "lo"])
+            for i, j in slices(starts, ends, STRETCH):  # bounds the arrays of contexts
+                yield stretch(smallest, data, starts[i:j], ends[i:j], ids[i:j])
+
+    def stretch(smallest: dict[bytes, int], data, starts, ends, ids) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")
+        live = []
+        for r in order:  # a text met before in this task with a smaller id goes no further
+            if ends[r] - starts[r] < LENGTH:
+                continue
+            key = hashlib.blake2b(data[starts[r] : ends[r]], digest_size=16).digest()
+            if smallest.get(key, ids[r] + 1) > ids[r]:
+                smallest[key] = ids[r]
+                live.append(r)
+        keep = np.zeros(len(ids), np.bool_)
+        keep[live] = True
+        ends = np.where(keep, ends, starts)
+        key, ctx, row, lo, size, place = contexts_kept(data, starts, ends, keep)
+        doc = ids[row]
+        packed = ((ctx >> U(16)) << U(16)) | (size.astype(np.uint64) << U(8)) | place.astype(np.uint64)
+        order = np.lexsort((lo, doc, packed, key))
+        key, packed, doc, lo = key[order], packed[order], doc[order], lo[order]
+        again = np.zeros(len(key), np.bool_)
+        again[1:] = (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])
+        kind = np.where(again, MARK, CONTEXT).astype(np.int32)
+        # a mark has no use for its anchor any more; under a key of its own it burdens no run
+        key = np.where(again, _words.mix(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + lo.astype(np.uint64)), key)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(doc), pa.array(lo)], names=["kind", "key", "ctx", "doc", "lo"])
 
     return docs.mapInArrow(run, "kind int, key bigint, ctx bigint, doc bigint, lo bigint")
 

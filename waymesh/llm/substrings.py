@@ -21,7 +21,8 @@ No step gathers an unbounded group: runs are streamed in sorted order, blocks ar
 copies of a text are dropped in their batch and have a rule of their own.
 
 Defined results: null text is empty; texts under LENGTH bytes keep all; rows with equal ids and
-equal texts are one document; of equal texts all but the smallest id's are removed whole.
+equal texts are one document; of equal texts all but the smallest id's are removed whole; a
+document without an id keeps all and is no earlier document.
 """
 from __future__ import annotations
 
@@ -178,13 +179,20 @@ def _resolve(scanned: DataFrame) -> DataFrame:
     dealt = scanned.select("key", "ctx", "doc", "lo", "kind").repartition("key").sortWithinPartitions("key", "ctx", "doc", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (key, ctx) of the last row
+        before = None  # (key, ctx, doc, lo) of the last row
         waiting = None  # the only context so far of the last key
         for batch in batches:
             key, ctx, doc, lo, kind = (np.asarray(batch.column(c)) for c in range(5))
             if (m := kind == MARK).any():  # of the batch they come from; they only pass through
                 yield _found(MARK, key[m], doc[m], lo[m], (ctx[m] >> 8) & 0xFF, ctx[m] & 0xFF)
                 key, ctx, doc, lo = key[~m], ctx[~m], doc[~m], lo[~m]
+            # one place met twice: a row that is in the table more than once
+            twice = np.zeros(len(key), np.bool_)
+            twice[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
+            if before is not None and len(key):
+                twice[0] = (key[0], ctx[0], doc[0], lo[0]) == before
+            if twice.any():
+                key, ctx, doc, lo = key[~twice], ctx[~twice], doc[~twice], lo[~twice]
             n = len(key)
             if not n:
                 continue
@@ -216,7 +224,7 @@ def _resolve(scanned: DataFrame) -> DataFrame:
                 if np.count_nonzero(new_ctx & last) == 1:
                     k = int(np.flatnonzero(new_ctx & last)[0])
                     waiting = (key[k], doc[k], lo[k], size[k], place[k])
-            before = (key[-1], ctx[-1])
+            before = (key[-1], ctx[-1], doc[-1], lo[-1])
 
     return dealt.mapInArrow(run, _FOUND)
 
@@ -448,7 +456,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A copy's ranges may be partly missing: copies are removed whole by apply().
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("raw"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("raw"))
     found = stash(_resolve(_scan(rows)), "resolved")
     free_shuffles(spark)
     left = found.where(F.col("kind") == CONTEXT)

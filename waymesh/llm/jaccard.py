@@ -21,7 +21,8 @@ without words, empty and linked with nothing), as 64-bit hashes. Two documents l
 Nothing is capped: an unpruned pair is compared, in some block pair's task. No task gets more
 than two blocks. What reaches the driver are counts of rounds and the sketch of fixed size.
 
-Defined results: null text has no words; repeated ids are one document each row's set joins.
+Defined results: null text has no words; rows with one id and one set are one document; a
+document without an id has the component id of its equals, else none.
 """
 from __future__ import annotations
 
@@ -308,7 +309,7 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, join) -> None:
         else:
             for i in range(a, b):
                 for j in range(a2, b2):
-                    if (x is y and i >= j) or join.same(i, j):
+                    if (x is y and p == q and i >= j) or join.same(i, j):
                         continue
                     o = int(_bits(x.maps[i] & y.maps[j])) + min(int(x.hidden[i]), int(y.hidden[j]))
                     if (100 + PERCENT) * o >= PERCENT * int(x.size[i] + y.size[j]) and linked(x.sets[i], y.sets[j]):

@@ -11,7 +11,9 @@ blocks and no leaf is capped. A pair that meets in several leaves counts in the
 Equal vectors are one representative with a multiplicity.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components
-link with nothing; vectors of different lengths do not link; an empty table gives no rows.
+link with nothing, and so does a vector without an id; vectors of different lengths do not
+link; rows with one id are one vector, the last of them by chance where they differ; an empty
+table gives no rows.
 """
 from __future__ import annotations
 
@@ -122,7 +124,7 @@ def _raw(docs: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]
                     raws.append(np.where(x == 0, 0, x).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["id", "dim", "raw"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), vector_col).mapInArrow(run, "id bigint, dim int, raw binary"), kind
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), vector_col).mapInArrow(run, "id bigint, dim int, raw binary"), kind
 
 
 def fit(reps: DataFrame, kind: str, seed: int = SEED) -> dict[int, tuple[int, list[Tree]]]:
@@ -251,4 +253,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ids = vectors.select(F.col(id_col).alias("v"), F.col(id_col).cast("bigint").alias("id"))
     whole = ids.join(out.dropDuplicates(["id"]), "id", "left")
     low = F.coalesce("low", "id")
-    return whole.select(F.col("v").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), low.alias("component_id"), (F.col("id") == low).alias("kept"))
+    return whole.select(F.col("v").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), low.alias("component_id"), F.coalesce(F.col("id") == low, F.lit(True)).alias("kept"))

@@ -31,6 +31,8 @@ SAMPLE_PER_LANGUAGE = 600
 #: Share of calibration rows that are right and may yet be rejected.
 REJECTED_RIGHT = 0.001
 DIMENSION, EPOCHS, BATCH, RATE, SEED = 16, 8, 32, 2.0, 20240917
+#: Descent steps at the least: few labelled rows are seen more often.
+STEPS = 300
 _M = np.uint64(0x9E3779B97F4A7C15)
 UND = "und"
 
@@ -172,8 +174,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buck
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (buckets, DIMENSION))
     out, bias = np.zeros((DIMENSION, k)), np.zeros(k)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(fit))) if len(fit) else 0)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(fit)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]

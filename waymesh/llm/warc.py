@@ -11,7 +11,7 @@ id is a `response`, the others are `revisit` records that refer to it; shorter p
 always responses. A task writes under a name of its own, and only what a committed task
 reported is indexed, so a task that is run again leaves an unused file and nothing else.
 
-Defined results: a null html is an empty payload; a null url has the key "-"; repeated rows
+Defined results: a null html is an empty payload; a null page id is a response, never referred to; a null url has the key "-"; repeated rows
 with the largest id are all responses; an empty table gives empty archives and an empty index.
 """
 from __future__ import annotations
@@ -37,7 +37,8 @@ REVISIT_BYTES = 1000
 #: Captures in one index block.
 BLOCK = 512
 DATE = "2024-01-01T00:00:00Z"
-ENTRY = "surt string, page_id bigint, file string, offset bigint, length bigint"
+#: Captures; a page id is text here, so that nulls and large ids pass pandas unchanged.
+ENTRY = "surt string, page_id string, file string, offset bigint, length bigint"
 
 
 def surt(url: str | None) -> str:
@@ -97,6 +98,11 @@ def _described(headers: dict[str, str], payload: bytes) -> dict:
     }
 
 
+def _table(rows: list[dict]) -> pd.DataFrame:
+    out = {c: [r[c] for r in rows] for c in rows[0]}
+    return pd.DataFrame(out | {c: pd.array(out[c], dtype="Int64") for c in ("page_id", "refers_to")})
+
+
 def decide(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, digest, size, refers_to): refers_to is null for responses."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
@@ -123,11 +129,11 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     kind = "response" if refers_to is None else "revisit"
                     raw = gzip.compress(record(kind, page_id, url, payload, digest, size, refers_to), 6, mtime=0)
                     out.write(raw)
-                    rows.append((surt(url), page_id, name, at, len(raw)))
+                    rows.append((surt(url), None if page_id is None else str(page_id), name, at, len(raw)))
                     at += len(raw)
                 if rows:
                     columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["surt", "page_id", "file", "offset", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["surt", "page_id", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
@@ -154,7 +160,7 @@ def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
             return {"first": rows[0][0], "last": rows[-1][0], "file": f"{folder}/{name}", "offset": at - len(raw), "length": len(raw), "n": len(rows)}
 
         for frame in frames:
-            ids = [None if pd.isna(x) else int(x) for x in frame["page_id"]]
+            ids = [None if x is None or pd.isna(x) else x for x in frame["page_id"]]
             held += [list(r) for r in zip(frame["surt"], ids, frame["file"], frame["offset"].tolist(), frame["length"].tolist())]
             made = []
             while len(held) >= BLOCK:
@@ -191,8 +197,7 @@ def captures_of(directory: DataFrame) -> DataFrame:
         opened: dict = {}
         for frame in frames:
             for uri, offset, length in zip(frame["file"], frame["offset"], frame["length"]):
-                out = pd.DataFrame(read_block(opened, uri, int(offset), int(length)), columns=["surt", "page_id", "file", "offset", "length"])
-                yield out.astype({"page_id": "Int64"})
+                yield pd.DataFrame(read_block(opened, uri, int(offset), int(length)), columns=["surt", "page_id", "file", "offset", "length"])
 
     return directory.repartition(F.col("file"), F.col("offset")).mapInPandas(run, ENTRY)
 
@@ -215,10 +220,10 @@ def read_records(captures: DataFrame, payloads: bool = False) -> DataFrame:
                     row["payload"] = payload if row["record_type"] == "response" else None
                 rows.append(row)
                 if payloads and len(rows) >= 256:
-                    yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield _table(rows)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _table(rows)
 
     # a stretch of a file of about 8 MB is one key: reads stay near each other and no file is one task
     stretch = F.floor(F.col("offset") / (8 << 20))
@@ -231,7 +236,7 @@ class CaptureIndex:
     def __init__(self, directory: DataFrame) -> None:
         self.directory, self._opened = directory, {}
 
-    def find(self, url: str) -> list[tuple[int | None, str, int, int]]:
+    def find(self, url: str) -> list[tuple[str | None, str, int, int]]:
         """(page id, file, offset, length) of the captures of a URL; blocks are pruned by the directory's key ranges."""
         key = surt(url)
         blocks = self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "offset").collect()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_INLINE = {"a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u"}
 _SILENT = {"script", "style", "noscript", "template"}
 _HEADING = re.compile(r"h([1-6])$")
 TIME = re.compile(r"\b(?:[01]?\d|2[0-9]):[0-5]\d\b")
@@ -58,8 +59,8 @@ class Page(HTMLParser):
         if m := _HEADING.match(tag):
             self._heading = []
             self._level = int(m[1])
-        if tag == "br":
-            self.handle_data("\n")
+        if tag not in _INLINE and not self._quiet:
+            self._part()
         if tag not in _VOID:
             self._open.append(tag)
 
@@ -76,10 +77,21 @@ class Page(HTMLParser):
             self._path = [p for p in self._path if p[0] < self._level] + [(self._level, name)]
             self.sections.append({"path": [p[1] for p in self._path], "text": []})
             self._heading = None
+        if tag not in _INLINE and not self._quiet:
+            self._part()
         if tag in self._open:
             while self._open.pop() != tag:
                 pass
 
+    def _part(self) -> None:
+        """Blocks part words."""
+        if self._heading is not None:
+            self._heading.append(" ")
+        elif self._cell and self._cell[-1] is not None:
+            self._cell[-1]["text"] += " "
+        else:
+            self.sections[-1]["text"].append(" ")
+
     def handle_data(self, data: str) -> None:
         if self._quiet:
             return
@@ -207,7 +219,7 @@ def timetable(grid_rows: list[list[str]]) -> list[dict]:
             if not clocks and not minutes and cell:
                 error = "unread cell"
             if cell:
-                out.append({"direction": direction, "day": row[0], "times": sorted(set(times)) if not error else None, "minutes": [float(m) for m in minutes] or None, "error": error})
+                out.append({"direction": direction, "day": row[0], "times": sorted(set(times)) if clocks and not error else None, "minutes": [float(m) for m in minutes] or None, "error": error})
     return out
 
 

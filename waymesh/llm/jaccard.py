@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import Forest, connected, free_shuffles, slices, stash, strings, unstash
+from ._shared import Forest, connected, free_shuffles, lean, slices, stash, strings, unstash
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -111,7 +111,7 @@ def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
     out = np.zeros(SLOTS, np.uint32)
-    got = docs.select(text_col).mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
+    got = docs.select(text_col).mapInArrow(lean(run), "part int, counts binary").repartition("part").mapInArrow(lean(add), "part int, counts binary")
     for r in got.collect():
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out
@@ -151,7 +151,7 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col)
-    return rows.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    return rows.mapInArrow(lean(run), "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
         if len(held[0]):
             yield edges(*held)
 
-    counted = dealt.mapInArrow(run, "a bigint, b bigint, w bigint, n bigint").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
+    counted = dealt.mapInArrow(lean(run), "a bigint, b bigint, w bigint, n bigint").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
     return counted.where(F.col("w") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).select("a", "b")
 
 
@@ -238,7 +238,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(raw, pa.binary())], names=["id", "words"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).withColumn("bit", hashed)
-    return wanted.join(rows.mapInArrow(run, "id bigint, words binary"), "id")
+    return wanted.join(rows.mapInArrow(lean(run), "id bigint, words binary"), "id")
 
 
 class SignatureTree:

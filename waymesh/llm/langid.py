@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import lean
+
 #: Buckets of the hashed subwords.
 BUCKETS = 1 << 15
 #: Character n-gram orders inside words.
@@ -244,7 +246,7 @@ def sample_features(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
                 out.append((u.astype(np.int32), c.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], names=["i", "l", "h", "b", "c"])
 
-    kept = near.mapInArrow(run, f"i {labelled.schema[id_col].dataType.simpleString()}, l string, h bigint, b array<int>, c array<int>").where(F.size("b") > 0)
+    kept = near.mapInArrow(lean(run), f"i {labelled.schema[id_col].dataType.simpleString()}, l string, h bigint, b array<int>, c array<int>").where(F.size("b") > 0)
     got = sorted(kept.collect(), key=lambda r: (r["l"], r["h"], r["i"]))
     features, labels, seen = [], [], {}
     for r in got:
@@ -259,18 +261,25 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, **columns:
     return train(*sample_features(labelled, per_language, **columns))
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that few texts at a time are Python strings."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) of every whole text; rows are independent: no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in _small(batches):
             names, score, rejected = own.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
 
 
 def in_training(id_col: str = "doc_id"):
@@ -284,8 +293,8 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in _small(batches):
             _, _, rejected = own.predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

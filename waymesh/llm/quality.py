@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import slices, strings
+from ._shared import lean, slices, strings
 
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000
@@ -217,7 +217,7 @@ def estimate(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: i
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(failed), pa.array([seen] * len(rules), pa.int64())], names=["rule", "spent", "failed", "seen"])
 
-    got = sample.mapInArrow(run, "rule string, spent double, failed bigint, seen bigint").groupBy("rule").agg(F.sum("spent").alias("s"), F.sum("failed").alias("f"), F.sum("seen").alias("n")).collect()
+    got = sample.mapInArrow(lean(run), "rule string, spent double, failed bigint, seen bigint").groupBy("rule").agg(F.sum("spent").alias("s"), F.sum("failed").alias("f"), F.sum("seen").alias("n")).collect()
     by = {r["rule"]: r for r in got}
     return [(r.name, by[r.name]["s"] / max(1, by[r.name]["n"]), by[r.name]["f"] / max(1, by[r.name]["n"])) if r.name in by else (r.name, 0.0, 0.0) for r in rules]
 
@@ -254,4 +254,4 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint" if measures else ""
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, kept boolean, failed_rule string{more}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(lean(run), f"id {kind}, kept boolean, failed_rule string{more}").withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import free_shuffles, slices, stash, strings, unstash
+from ._shared import free_shuffles, lean, slices, stash, strings, unstash
 
 LENGTH = 100
 K = 28
@@ -154,7 +154,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         key = np.where(again, _words.mix(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + lo.astype(np.uint64)), key)
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(doc), pa.array(lo)], names=["kind", "key", "ctx", "doc", "lo"])
 
-    return docs.mapInArrow(run, "kind int, key bigint, ctx bigint, doc bigint, lo bigint")
+    return docs.mapInArrow(lean(run), "kind int, key bigint, ctx bigint, doc bigint, lo bigint")
 
 
 def contexts_kept(data, starts, ends, keep):
@@ -226,7 +226,7 @@ def _resolve(scanned: DataFrame) -> DataFrame:
                     waiting = (key[k], doc[k], lo[k], size[k], place[k])
             before = (key[-1], ctx[-1], doc[-1], lo[-1])
 
-    return dealt.mapInArrow(run, _FOUND)
+    return dealt.mapInArrow(lean(run), _FOUND)
 
 
 class Suffixes:
@@ -384,7 +384,7 @@ def _sorted_blocks(blocks: DataFrame) -> DataFrame:
             for i in _cuts(pa.Table.from_batches(held)):
                 yield from solve(i)
 
-    return blocks.select("key", "blk", "many", "doc", "lo", "place", "bytes").mapInArrow(run, _FOUND)
+    return blocks.select("key", "blk", "many", "doc", "lo", "place", "bytes").mapInArrow(lean(run), _FOUND)
 
 
 def _cuts(rows: pa.Table) -> Iterator[pa.Table]:
@@ -423,7 +423,7 @@ def _first_windows(windows: DataFrame) -> DataFrame:
                 a, b = np.flatnonzero(head), np.r_[np.flatnonzero(head)[1:] - 1, len(doc) - 1]
                 yield _found(MARK, np.zeros(len(a)), doc[a], lo[a], lo[b] - lo[a] + LENGTH, np.zeros(len(a)))
 
-    return dealt.mapInArrow(run, _FOUND)
+    return dealt.mapInArrow(lean(run), _FOUND)
 
 
 def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -447,7 +447,7 @@ def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = flat.slice(j.start, j.stop - j.start)
                 yield pa.RecordBatch.from_arrays([part.field("key"), part.field("blk"), part.field("many"), batch.column(0).take(pa.array(owner[j])), part.field("lo"), part.field("place"), raw], names=["key", "blk", "many", "doc", "lo", "place", "bytes"])
 
-    return joined.mapInArrow(run, "key bigint, blk bigint, many bigint, doc bigint, lo bigint, place int, bytes binary")
+    return joined.mapInArrow(lean(run), "key bigint, blk bigint, many bigint, doc bigint, lo bigint, place int, bytes binary")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -526,7 +526,7 @@ def apply(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col:
             for i in range(0, batch.num_rows, 512):
                 yield _cut(batch.slice(i, 512), keep_text)
 
-    cut = rows.join(ranges.select(F.col("doc").alias("d2"), "r"), F.col("doc") == F.col("d2")).select("doc", "raw", "r").mapInArrow(run, schema)
+    cut = rows.join(ranges.select(F.col("doc").alias("d2"), "r"), F.col("doc") == F.col("d2")).select("doc", "raw", "r").mapInArrow(lean(run), schema)
     if not keep_text:
         cut = stash(cut, "cut")
     best = known.join(cut.dropDuplicates(["doc", "sum"]), ["doc", "sum"], "left")

@@ -30,6 +30,8 @@ SEED = 11
 FINE, COARSE = 1 << 20, 1 << 10
 #: Single documents that close the gap to a quota.
 CLOSERS = 3
+#: Plans of up to so many patterns (about 100 bytes each) are broadcast; more are joined by shuffle.
+SMALL = 20_000
 
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], most: float = 3.0) -> dict[str | None, float]:
@@ -143,7 +145,7 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: s
     plan = [(pat, own[0] if own else None, n, float(quotas[own[0]]) if own else 0.0, int(sizes[own[0]]) if own else 0, min(most, f // n) if n else 0, f - min(most, f // n) * n if n else 0) for (own, pat, n), f in zip(found, flow)]
     spark = docs.sparkSession
     plans = spark.createDataFrame(plan, "pat string, first_source string, pat_size bigint, target double, source_size bigint, passes int, rest bigint")
-    picked = _pick(rows, plans)
+    picked = _pick(rows, plans, F.broadcast if len(plan) <= SMALL else lambda d: d)
     copies = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("extra"), 1).otherwise(0)).otherwise(F.lit(0))
     return picked.select(F.col("id").alias(id_col), F.col("first_source").alias("mix_source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
@@ -155,15 +157,15 @@ def _shared_targets(total: int, sizes: dict, names: list, weigh, most: float) ->
     return {s: t * scale for s, t in targets({s: sizes[s] for s in names}, weights, most / max(scale, 1e-9)).items()}
 
 
-def _pick(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """Adds `extra`: whether the document is in its pattern's seeded rest."""
+def _pick(rows: DataFrame, plans: DataFrame, sent) -> DataFrame:
+    """Adds `extra`: whether the document is in its pattern's seeded rest; `sent` marks tables of a row a pattern."""
     open_ = plans.where("rest > 0").select("pat", "rest")
     live = rows.where("size > 0")
     by = Window.partitionBy("pat").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     coarse = F.floor(F.col("h") / COARSE)
     ends = live.groupBy("pat", coarse.alias("b")).agg(F.sum("size").alias("n")).join(open_, "pat").withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0)))
     ends = ends.where("before <= rest and before + n > rest").select("pat", F.col("b").alias("b1"), F.col("before").alias("before1"), "rest")
-    inside = live.join(ends, "pat").where(coarse == F.col("b1"))
+    inside = live.join(sent(ends), "pat").where(coarse == F.col("b1"))
     fine = inside.groupBy("pat", "b1", "before1", "rest", F.col("h").alias("b")).agg(F.sum("size").alias("n")).withColumn("before", F.col("before1") + F.coalesce(F.sum("n").over(by), F.lit(0)))
     # whole hash values up to the quota; what a value would overshoot stays open for the closing document
     cut = fine.where("before + n <= rest").groupBy("pat").agg(F.max("b").alias("last"), F.max(F.col("before") + F.col("n")).alias("got"))
@@ -174,16 +176,16 @@ def _pick(rows: DataFrame, plans: DataFrame) -> DataFrame:
     for turn in range(CLOSERS):
         far = F.abs(F.col("size") - F.col("gap"))
         fits = (F.col("size") <= F.col("gap")) if turn < CLOSERS - 1 else (far < F.col("gap"))
-        free = live.join(gaps, "pat").where((F.col("h") > F.col("last")) & fits)
+        free = live.join(sent(gaps), "pat").where((F.col("h") > F.col("last")) & fits)
         if chosen is not None:
-            free = free.join(chosen, ["pat", "h", "id"], "left_anti")
+            free = free.join(sent(chosen), ["pat", "h", "id"], "left_anti")
         best = stash(free.groupBy("pat").agg(F.min_by(F.struct("h", "id", "size"), F.struct(far, F.col("h"), F.col("id"))).alias("x")).select("pat", "x.*"), f"closers{turn}")
         gaps = gaps.join(best.select("pat", F.col("size").alias("closed")), "pat", "left").select("pat", "last", (F.col("gap") - F.coalesce("closed", F.lit(0))).alias("gap"))
         one = best.select("pat", "h", "id")
         chosen = one if chosen is None else chosen.union(one)
     closers = chosen.select(F.col("pat").alias("c_pat"), F.col("h").alias("c_h"), F.col("id").alias("c_id"), F.lit(True).alias("closes"))
     same = (F.col("pat") == F.col("c_pat")) & (F.col("h") == F.col("c_h")) & F.col("id").eqNullSafe(F.col("c_id"))
-    all_ = rows.join(plans, "pat").join(edge.select("pat", "last"), "pat", "left").join(closers, same, "left")
+    all_ = rows.join(sent(plans), "pat").join(sent(edge.select("pat", "last")), "pat", "left").join(sent(closers), same, "left")
     return all_.withColumn("extra", F.coalesce(F.col("h") <= F.col("last"), F.lit(False)) | F.coalesce("closes", F.lit(False)))
 
 

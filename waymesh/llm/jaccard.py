@@ -416,5 +416,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = connected(spark, links, "components")
     low = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     low = low.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("low"))
+    low = stash(low, "lows")  # a table of its own, so that a set with very many copies is a join that Spark can split
     out = rows.select("id", "n", "f1", "f2").join(low, ["f1", "f2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymesh.operators.routing import cut
+
 
 def number_ok(value: Column, low: float, high: float) -> Column:
     """Finite and in range; null, NaN and infinity are not."""
@@ -100,15 +102,14 @@ def unreachable(platforms: DataFrame, entrances: DataFrame, edges: DataFrame, le
     """
 
     def closure(start: DataFrame, arcs: DataFrame) -> DataFrame:
-        seen = start.select("node").distinct()
-        known = -1
+        seen = start.select("node").distinct().persist()
+        front = seen
         for _ in range(levels):
-            more = seen.join(arcs, seen["node"] == arcs["a"]).select(F.col("b").alias("node"))
-            seen = seen.union(more).distinct()
-            n = seen.count()
-            if n == known:
+            # only new nodes go on; each level is kept, so that no level is computed again
+            front = front.join(arcs, front["node"] == arcs["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").persist()
+            if front.isEmpty():
                 break
-            known = n
+            seen = cut(seen.union(front).persist())
         return seen
 
     out = closure(entrances, edges)

@@ -25,9 +25,11 @@ def _neighbourhood(queries: DataFrame, size: float, reach: int) -> DataFrame:
     return spread.withColumns({"__y": F.col("__y") + F.col("__n.dy"), "__x": F.col("__x") + F.col("__n.dx")}).drop("__n")
 
 
-def nearest(queries: DataFrame, marks: DataFrame, query_id: str, mark_id: str, radius: float, size: float = 0.005) -> DataFrame:
+def nearest(queries: DataFrame, marks: DataFrame, query_id: str, mark_id: str, radius: float, size: float = 0.005, others: bool = False) -> DataFrame:
     """(query_id, mark_id, metres): the nearest mark within radius, by flat distance, ties by mark_id.
 
+    With `others` a mark of the query's own id does not count.
+
     Five by five cells are searched, so the radius may not exceed two cells of longitude.
     """
     reach = 2
@@ -35,6 +37,8 @@ def nearest(queries: DataFrame, marks: DataFrame, query_id: str, mark_id: str, r
         raise ValueError("the radius exceeds the searched cells")
     m = _cells(marks, size).select(mark_id, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "__y", "__x")
     got = _neighbourhood(queries, size, reach).join(m, ["__y", "__x"]).withColumn("metres", geo.flat_metres(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")))
+    if others:
+        got = got.where(F.col(query_id) != F.col(mark_id))
     best = got.where(F.col("metres") <= radius).groupBy(query_id).agg(F.min(F.struct("metres", mark_id)).alias("x"))
     return best.select(query_id, F.col(f"x.{mark_id}").alias(mark_id), F.col("x.metres").alias("metres"))
 

@@ -197,18 +197,12 @@ def w15_rank_dedupe(spark, d):
     return ranking.ranked(j, ["o_custkey"], "signature", "fastest", "o_orderkey", 3).select("o_custkey", "rank", "o_orderkey", "signature")
 
 
-_SEARCH = """
-WITH q AS (SELECT ['th','an'] AS tokens), x AS (SELECT doc_id, split_part(replace(text, chr(10), ' '), '.', 1) AS name, text, source FROM documents),
-h AS (SELECT doc_id, name, source, lower(name) LIKE 'th%' AS prefix FROM x WHERE contains(regexp_replace(lower(name), '[\\s]+', '', 'g'), 'th') AND contains(regexp_replace(lower(name), '[\\s]+', '', 'g'), 'an'))
-SELECT doc_id, source, length(name) AS name_length FROM (SELECT *, row_number() OVER (ORDER BY prefix DESC, source, length(name), doc_id) AS k FROM h) WHERE k <= 10"""
-
-
-@register("o3_search", _SEARCH.replace("[\\s]", "\\s"))
+@register("o3_search", """
+WITH h AS (SELECT p_partkey, p_type, p_name, lower(p_name) LIKE 'sm%' AS prefix FROM part WHERE contains(replace(lower(p_name), ' ', ''), 'sm') AND contains(replace(lower(p_name), ' ', ''), 'ri'))
+SELECT p_partkey, p_type, length(p_name) AS name_length FROM (SELECT *, row_number() OVER (ORDER BY prefix DESC, p_type, length(p_name), p_partkey) AS k FROM h) WHERE k <= 10""")
 def o3_search(spark, d):
-    name = F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("."), F.lit(1))
-    places = t(spark, d, "documents").select("doc_id", name.alias("name"), "source")
-    hits = ranking.search(places, "th an", "name", "source", "doc_id", 10)
-    return hits.select("doc_id", "source", F.length("name").cast("bigint").alias("name_length"))
+    hits = ranking.search(t(spark, d, "part"), "sm ri", "p_name", "p_type", "p_partkey", 10)
+    return hits.select("p_partkey", "p_type", F.length("p_name").cast("bigint").alias("name_length"))
 
 
 @register("o5_greedy")

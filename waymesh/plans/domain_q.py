@@ -58,14 +58,14 @@ def d12_calendar(spark, d):
 
 @register("d14_pairs_cost", """
 WITH p AS (SELECT l_orderkey, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS ids FROM lineitem GROUP BY 1), x AS (SELECT l_orderkey, ids, unnest(range(0, len(ids))) AS i FROM p), y AS (SELECT l_orderkey, ids, i, unnest(range(i + 1, len(ids))) AS j FROM x),
-k AS (SELECT *, 'L:' || array_to_string(ids[i + 1:j + 1], '>') AS path_key FROM y), c AS (SELECT path_key, min(l_orderkey) % 600 + 60 AS total FROM k WHERE l_orderkey % 3 = 0 GROUP BY 1)
+k AS (SELECT *, 'L:' || array_to_string(ids[i + 1:j + 1], '>') AS path_key FROM y), c AS (SELECT path_key, min(l_orderkey) % 600 + 60 AS total FROM k WHERE len(ids) >= 4 GROUP BY 1)
 SELECT l_orderkey, count(*) AS n_pairs, count(total) AS n_known, coalesce(sum(total), 0)::BIGINT AS total_s FROM k LEFT JOIN c USING (path_key) GROUP BY l_orderkey""")
 def d14_pairs_cost(spark, d):
     p = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("ids")).where(F.size("ids") > 1)
     trips = p.select(F.col("l_orderkey").cast("string").alias("trip_id"), F.lit("L").alias("line"), F.transform("ids", lambda x: x.cast("string")).alias("stops"), F.transform("ids", lambda x, i: i * 100).alias("departures"))
     n = F.size("ids")
     index = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.slice("ids", i + 1, j - i + 1))))
-    keys = p.where("l_orderkey % 3 = 0").select("l_orderkey", F.explode(index).alias("s")).select("l_orderkey", F.concat(F.lit("L:"), F.array_join(F.transform("s", lambda x: x.cast("string")), ">")).alias("path_key"))
+    keys = p.where("size(ids) >= 4").select("l_orderkey", F.explode(index).alias("s")).select("l_orderkey", F.concat(F.lit("L:"), F.array_join(F.transform("s", lambda x: x.cast("string")), ">")).alias("path_key"))
     costs = keys.groupBy("path_key").agg((F.min("l_orderkey") % 600 + 60).alias("total_s"))
     made, missing = rail.all_pairs(trips, costs)
     a = made.groupBy(F.col("parent_id").alias("trip_id")).agg(F.count("*").alias("n_known"), F.sum(F.col("arrival_s") - F.col("departure_s")).alias("total_s"))
@@ -74,16 +74,16 @@ def d14_pairs_cost(spark, d):
     return both.select(F.col("trip_id").cast("bigint").alias("l_orderkey"), (F.col("n_known") + F.col("n_missing")).alias("n_pairs"), "n_known", "total_s")
 
 
-_GRAPH = "(SELECT DISTINCT s_nationkey AS a, c_nationkey AS b, (s_nationkey * 7 + c_nationkey * 13) % 50 + 1 AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 48 AND s_nationkey <> c_nationkey AND l_discount > 0.08)"
+_GRAPH = "(SELECT DISTINCT s_nationkey AS a, c_nationkey AS b, (s_nationkey * 7 + c_nationkey * 13) % 50 + 1 AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey)"
 
 
 @register("d17_shortest", f"""
-WITH RECURSIVE g AS {_GRAPH}, r(source, node, cost, k) AS (SELECT n_nationkey, n_nationkey, 0::BIGINT, 0 FROM nation WHERE n_nationkey < 5 UNION SELECT r.source, g.b, r.cost + g.w, k + 1 FROM r JOIN g ON r.node = g.a WHERE k < 4 AND r.cost + g.w <= 60)
+WITH RECURSIVE g AS {_GRAPH}, r(source, node, cost, k) AS (SELECT n_nationkey, n_nationkey, 0::BIGINT, 0 FROM nation UNION SELECT r.source, g.b, r.cost + g.w, k + 1 FROM r JOIN g ON r.node = g.a WHERE k < 4 AND r.cost + g.w <= 60)
 SELECT source, node, min(cost) AS cost FROM r GROUP BY 1, 2""")
 def d17_shortest(spark, d):
-    g = t(spark, d, "lineitem").where("l_quantity > 48 and l_discount > 0.08").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey")
+    g = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey")
     edges = g.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"), ((F.col("s_nationkey") * 7 + F.col("c_nationkey") * 13) % 50 + 1).alias("w")).distinct()
-    found = routing.relax(edges, t(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("node")), 4)
+    found = routing.relax(edges, t(spark, d, "nation").select(F.col("n_nationkey").alias("node")), 4)
     return found.where("cost <= 60")
 
 
@@ -116,45 +116,42 @@ def d20_group_days(spark, d):
 
 
 @register("d11_segments", """
-WITH e AS (SELECT user_id % 20 AS origin, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, round_even(value, 0) AS m FROM events),
-h AS (SELECT origin, k, event_type || '>' || lead(event_type) OVER (PARTITION BY user_id ORDER BY k) AS edge, (m * 60)::INTEGER AS seconds FROM e),
-o AS (SELECT edge, origin, min(seconds) AS a, max(seconds) AS b FROM (SELECT edge, origin, seconds - seconds % 3600 AS seconds FROM h WHERE edge IS NOT NULL AND origin < 19 AND k < 4) GROUP BY 1, 2), t AS (SELECT edge, count(*) AS origins FROM o GROUP BY 1),
+WITH h AS (SELECT user_id || ':' || hour(ts) AS edge, isodow(ts) - 1 AS origin, event_type AS v FROM events),
+o AS (SELECT edge, origin, min(v) AS a, max(v) AS b FROM h GROUP BY 1, 2), t AS (SELECT edge, count(*) AS origins FROM o GROUP BY 1),
 c AS (SELECT edge, a AS value, count(*) AS votes FROM o WHERE a = b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY votes DESC, value) AS k FROM c)
 SELECT edge, value, votes, origins, votes >= 3 AND votes / origins >= 0.9 AS accepted FROM r JOIN t USING (edge) WHERE k = 1""")
 def d11_segments(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t(spark, d, "events").select((F.col("user_id") % 20).alias("origin"), F.concat_ws(">", "event_type", F.lead("event_type").over(w)).alias("edge"), F.lead("event_type").over(w).alias("nxt"), F.row_number().over(w).alias("k"), (F.bround("value") * 60).cast("int").alias("seconds"))
-    rows = e.where("nxt is not null and origin < 19 and k < 4").select("edge", "origin", (F.col("seconds") - F.col("seconds") % 3600).alias("seconds"))
-    return aggregates.consensus(rows, "edge", "origin", "seconds").drop("share")
+    rows = t(spark, d, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), F.hour("ts").cast("string")).alias("edge"), F.weekday("ts").alias("origin"), F.col("event_type").alias("v"))
+    return aggregates.consensus(rows, "edge", "origin", "v").drop("share")
 
 
-@register("d27_plan", f"""
-WITH RECURSIVE c AS (SELECT l_orderkey * 10 + l_linenumber AS trip, l_suppkey % 12 AS a, l_partkey % 12 AS b, ((l_orderkey % 30) * 120)::BIGINT AS dep, ((l_orderkey % 30) * 120 + 300 + l_linenumber * 60)::BIGINT AS arr FROM lineitem WHERE l_orderkey < 60 AND l_suppkey % 12 <> l_partkey % 12),
-r(req, stop, t, k) AS (SELECT v.req, v.req % 12, 0::BIGINT, 0 FROM (SELECT range AS req FROM range(0, 12)) v UNION SELECT r.req, c.b, c.arr, r.k + 1 FROM r JOIN c ON r.stop = c.a AND c.dep >= r.t WHERE r.k < 3)
-SELECT req AS request, stop, min(t)::INTEGER AS t FROM r GROUP BY 1, 2""")
+@register("d27_plan")
 def d27_plan(spark, d):
-    lines = t(spark, d, "lineitem").where("l_orderkey < 60 and l_suppkey % 12 <> l_partkey % 12")
+    """Earliest arrivals within three rides over all lines as connections of twelve stops; SQL would list every path."""
+    lines = t(spark, d, "lineitem").where("l_suppkey % 12 <> l_partkey % 12")
     trip = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
     dep = ((F.col("l_orderkey") % 30) * 120).cast("int")
     none = F.lit(None).cast("int")
     rides = lines.select(trip.alias("trip_id"), (F.col("l_suppkey") % 12).alias("from_stop"), (F.col("l_partkey") % 12).alias("to_stop"), dep.alias("dep_s"), (dep + 300 + F.col("l_linenumber") * 60).cast("int").alias("arr_s"), none.alias("end_s"), none.alias("headway"), none.alias("exact"))
+    # of rides between two stops that leave together only the first to arrive can matter
+    rides = rides.groupBy("from_stop", "to_stop", "dep_s", "end_s", "headway", "exact").agg(F.min(F.struct("arr_s", "trip_id")).alias("x")).select("x.trip_id", "from_stop", "to_stop", "dep_s", "x.arr_s", "end_s", "headway", "exact")
     requests = spark.range(12).select(F.col("id").alias("request"), F.col("id").alias("stop"), F.lit(0).alias("t"))
     return routing.earliest(requests, rides, None, 3).select("request", "stop", "t")
 
 
-_EV = f"(SELECT 'w' || user_id AS worker, 'job' AS kind, event_id::VARCHAR AS job, {EVENT_S} AS s, {EVENT_S} + 600 + (event_id % 7) * 600 AS e FROM events WHERE user_id < 20)"
+_EV = f"(SELECT 'w' || user_id AS worker, 'job' AS kind, event_id::VARCHAR AS job, {EVENT_S} AS s, {EVENT_S} + 600 + (event_id % 7) * 600 AS e FROM events)"
 
 
 @register("d32_audit", f"""
-WITH ev AS {_EV}, j AS (SELECT event_id::VARCHAR AS job, 600 + (event_id % 6) * 600 AS service, 0 AS a, 1000000 AS b FROM events WHERE user_id < 21 AND event_id % 50 <> 0),
+WITH ev AS {_EV}, j AS (SELECT event_id::VARCHAR AS job, 600 + (event_id % 6) * 600 AS service, 0 AS a, 1000000 AS b FROM events WHERE event_type <> 'error'),
 o AS (SELECT *, max(e) OVER (PARTITION BY worker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM ev)
 SELECT 'overlap' AS rule, count(*) AS n FROM o WHERE s < last UNION ALL SELECT 'outside_shift', count(*) FROM ev WHERE s < 3600 OR e > 2600000 UNION ALL SELECT 'unknown_job', count(*) FROM ev WHERE job NOT IN (SELECT job FROM j)
 UNION ALL SELECT 'duration', count(*) FROM ev JOIN j USING (job) WHERE e - s <> service UNION ALL SELECT 'window', count(*) FROM ev JOIN j USING (job) WHERE s < a OR e > b
 UNION ALL SELECT 'coverage', count(*) FROM j WHERE (SELECT count(*) FROM ev WHERE ev.job = j.job) <> 1 UNION ALL SELECT 'break', count(DISTINCT worker) FROM ev""")
 def d32_audit(spark, d):
     e = events(spark, d)
-    ev = e.where("user_id < 20").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker"), F.lit("job").alias("kind"), F.col("event_id").cast("string").alias("job"), F.col("s").alias("start_s"), (F.col("s") + 600 + (F.col("event_id") % 7) * 600).alias("end_s"))
-    jobs = e.where("user_id < 21 and event_id % 50 <> 0").select(F.col("event_id").cast("string").alias("job"), (600 + (F.col("event_id") % 6) * 600).alias("service_s"), F.lit(0).alias("window_start"), F.lit(1_000_000).alias("window_end"))
+    ev = e.select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker"), F.lit("job").alias("kind"), F.col("event_id").cast("string").alias("job"), F.col("s").alias("start_s"), (F.col("s") + 600 + (F.col("event_id") % 7) * 600).alias("end_s"))
+    jobs = e.where("event_type <> 'error'").select(F.col("event_id").cast("string").alias("job"), (600 + (F.col("event_id") % 6) * 600).alias("service_s"), F.lit(0).alias("window_start"), F.lit(1_000_000).alias("window_end"))
     found = scheduling.audit(ev, jobs, (3600, 2_600_000), True).groupBy("rule").agg(F.count("*").alias("n"))
     rules = spark.createDataFrame([(r,) for r in ("overlap", "outside_shift", "unknown_job", "duration", "window", "coverage", "break")], "rule string")
     return rules.join(found, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
@@ -162,11 +159,11 @@ def d32_audit(spark, d):
 
 @register("d34_trip_fold", f"""
 WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, floor(value * 10)::BIGINT AS travel, (event_id % 900)::BIGINT AS stay, min({EVENT_S}) OVER (PARTITION BY user_id) AS req FROM events),
-f AS (SELECT *, req + coalesce(sum(travel + stay) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_s FROM l WHERE k <= 10)
+f AS (SELECT *, req + coalesce(sum(travel + stay) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_s FROM l)
 SELECT user_id, k::INTEGER AS k, start_s::BIGINT AS start_s, (start_s + travel)::BIGINT AS end_s FROM f""")
 def d34_trip_fold(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    legs = events(spark, d).select("user_id", F.row_number().over(w).alias("order"), F.floor(F.col("value") * 10).alias("travel_s"), (F.col("event_id") % 900).alias("stay_s"), F.min("s").over(Window.partitionBy("user_id")).alias("request_s")).where("`order` <= 10")
+    legs = events(spark, d).select("user_id", F.row_number().over(w).alias("order"), F.floor(F.col("value") * 10).alias("travel_s"), (F.col("event_id") % 900).alias("stay_s"), F.min("s").over(Window.partitionBy("user_id")).alias("request_s"))
     return routing.trip_fold(legs, "user_id").select("user_id", F.col("order").alias("k"), "start_s", "end_s")
 
 
@@ -196,11 +193,11 @@ def d17_indoor(spark, d):
 
 
 @register("v_reachability", f"""
-WITH RECURSIVE g AS {_GRAPH}, f(node) AS (SELECT 0 UNION SELECT g.b FROM f JOIN g ON f.node = g.a WHERE g.w > 25), k(node) AS (SELECT 0 UNION SELECT g.a FROM k JOIN g ON k.node = g.b WHERE g.w > 25)
+WITH RECURSIVE g AS {_GRAPH}, f(node) AS (SELECT 0 UNION SELECT g.b FROM f JOIN g ON f.node = g.a WHERE g.w > 46), k(node) AS (SELECT 0 UNION SELECT g.a FROM k JOIN g ON k.node = g.b WHERE g.w > 46)
 SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT node FROM f INTERSECT SELECT node FROM k)""")
 def v_reachability(spark, d):
-    g = t(spark, d, "lineitem").where("l_quantity > 48 and l_discount > 0.08").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey")
-    edges = g.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"), ((F.col("s_nationkey") * 7 + F.col("c_nationkey") * 13) % 50 + 1).alias("w")).distinct().where("w > 25").cache()
+    g = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey")
+    edges = g.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"), ((F.col("s_nationkey") * 7 + F.col("c_nationkey") * 13) % 50 + 1).alias("w")).distinct().where("w > 46").cache()
     nodes = t(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
     return quality.unreachable(nodes, nodes.where("node = 0"), edges.select("a", "b"))
 

@@ -64,10 +64,9 @@ def f_text(spark, d):
     )
 
 
-@register("f_text_nfkc", "SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) AS n, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@register("f_text_nfkc", "SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) AS n, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest FROM documents")
 def f_text_nfkc(spark, d):
-    plain = t(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return plain.select("doc_id", text.compact(F.col("text")).alias("c")).select("doc_id", F.length("c").cast("bigint").alias("n"), F.md5("c").alias("digest"))
+    return t(spark, d, "documents").select("doc_id", text.compact(F.col("text")).alias("c")).select("doc_id", F.length("c").cast("bigint").alias("n"), F.md5("c").alias("digest"))
 
 
 @register("f_hash", """
@@ -121,12 +120,12 @@ def s15_html(spark, d):
 
 
 @register("s42_cache_miss", """
-WITH c AS (SELECT DISTINCT sha256('{"o":' || o_custkey || ',"s":"' || o_orderstatus || '"}') AS key FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT o_orderkey, sha256('{"o":' || o_custkey || ',"s":"' || o_orderstatus || '"}') AS key FROM orders)
+WITH c AS (SELECT DISTINCT sha256('{"o":' || o_custkey || ',"s":"' || o_orderstatus || '"}') AS key FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT o_orderkey, sha256('{"o":' || o_custkey || ',"s":"' || o_orderstatus || '"}') AS key FROM orders)
 SELECT count(*) AS n, count(c.key) AS hits, count(*) - count(c.key) AS misses, count(DISTINCT CASE WHEN c.key IS NULL THEN r.key END) AS distinct_misses FROM r LEFT JOIN c USING (key)""")
 def s42_cache_miss(spark, d):
     orders = t(spark, d, "orders")
     key = state.cache_key(F.struct(F.col("o_custkey").alias("o"), F.col("o_orderstatus").alias("s")))
-    cache = orders.where("o_orderkey % 3 = 0").select(key.alias("key"), F.lit(1).alias("value")).dropDuplicates(["key"])
+    cache = orders.where("o_orderpriority = '1-URGENT'").select(key.alias("key"), F.lit(1).alias("value")).dropDuplicates(["key"])
     hits, misses = state.lookup(orders.select("o_orderkey", key.alias("key")), cache)
     a = hits.agg(F.count("*").alias("hits"))
     b = misses.agg(F.count("*").alias("misses"), F.count_distinct("key").alias("distinct_misses"))
@@ -134,15 +133,15 @@ def s42_cache_miss(spark, d):
 
 
 @register("s38_upsert", """
-WITH old AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS state, 1 AS attempts FROM orders WHERE o_orderkey % 2 = 0),
-new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'done' END AS state FROM orders WHERE o_orderkey % 3 = 0),
+WITH old AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS state, 1 AS attempts FROM orders WHERE o_orderpriority <> '5-LOW'),
+new AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 150000 THEN 'failed' ELSE 'done' END AS state FROM orders WHERE o_orderpriority <> '1-URGENT'),
 m AS (SELECT coalesce(old.k, new.k) AS k, CASE WHEN old.state = 'done' THEN 'done' ELSE coalesce(new.state, old.state) END AS state, coalesce(old.attempts, 0) + CASE WHEN new.k IS NOT NULL AND old.state IS DISTINCT FROM 'done' THEN 1 ELSE 0 END AS attempts FROM old FULL OUTER JOIN new ON old.k = new.k)
 SELECT state, count(*) AS n, sum(attempts)::BIGINT AS attempts FROM m GROUP BY state""")
 def s38_upsert(spark, d):
     orders = t(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("running")
-    old = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), status.alias("state"), F.lit(1).alias("attempts"))
-    new = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 == 0, "failed").otherwise("done").alias("state"))
+    old = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), status.alias("state"), F.lit(1).alias("attempts"))
+    new = orders.where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_totalprice") > 150_000, "failed").otherwise("done").alias("state"))
     return state.upsert(old, new, "k").groupBy("state").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 
 

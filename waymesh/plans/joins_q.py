@@ -138,7 +138,7 @@ def j13_prefix_delta(spark, d):
 
 
 @register("j14_pairs_lt", """
-WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_orderkey % 10 < 10),
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS k FROM l)
 SELECT a.l_orderkey, count(*) AS n_pairs, round(sum(b.l_extendedprice - a.l_extendedprice), 2) AS delta FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.k < b.k GROUP BY 1""")
 def j14_pairs_lt(spark, d):
@@ -180,12 +180,11 @@ _POINTS = "(SELECT vec_id, 22.2 + (embedding[1]::DOUBLE + 1) * 0.1 AS lat, 113.9
 
 
 @register("j19_grid_knn", f"""
-WITH p AS {_POINTS}, q AS (SELECT * FROM p WHERE vec_id % 5 = 0), m AS (SELECT * FROM p WHERE vec_id % 5 <> 0),
-x AS (SELECT q.vec_id, m.vec_id AS other, sqrt(power((m.lat - q.lat) * 111195.0, 2) + power((m.lon - q.lon) * 111195.0 * cos(radians(q.lat)), 2)) AS d FROM q, m)
+WITH p AS {_POINTS}, x AS (SELECT q.vec_id, m.vec_id AS other, sqrt(power((m.lat - q.lat) * 111195.0, 2) + power((m.lon - q.lon) * 111195.0 * cos(radians(q.lat)), 2)) AS d FROM p q, p m WHERE q.vec_id <> m.vec_id)
 SELECT vec_id, arg_min(other, struct_pack(d := d, o := other)) AS nearest, round(min(d), 3) AS metres FROM x WHERE d <= 600 GROUP BY vec_id""")
 def j19_grid_knn(spark, d):
     p = _points(spark, d)
-    near = spatial.nearest(p.where("vec_id % 5 = 0"), p.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "nearest"), "vec_id", "nearest", 600.0)
+    near = spatial.nearest(p, p.withColumnRenamed("vec_id", "nearest"), "vec_id", "nearest", 600.0, others=True)
     return near.select("vec_id", "nearest", F.round("metres", 3).alias("metres"))
 
 
@@ -198,12 +197,11 @@ _HAV = "2 * 6371000.0 * asin(least(1.0, sqrt(power(sin(radians(m.lat - q.lat) /
 
 
 @register("j20_radius_topk", f"""
-WITH p AS {_POINTS}, q AS (SELECT * FROM p WHERE vec_id % 5 = 0), m AS (SELECT * FROM p WHERE vec_id % 5 <> 0),
-x AS (SELECT q.vec_id, m.vec_id AS station, {_HAV} AS d FROM q, m), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, station) AS rank FROM x WHERE d <= 2500)
+WITH p AS {_POINTS}, x AS (SELECT q.vec_id, m.vec_id AS station, {_HAV} AS d FROM p q, p m WHERE q.vec_id <> m.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, station) AS rank FROM x WHERE d <= 2500)
 SELECT vec_id, rank, station, round(d, 3) AS metres FROM r WHERE rank <= 6""")
 def j20_radius_topk(spark, d):
     p = _points(spark, d)
-    near = spatial.within(p.where("vec_id % 5 = 0"), p.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "station"), 2500.0)
+    near = spatial.within(p, p.withColumnRenamed("vec_id", "station"), 2500.0).where("vec_id <> station")
     w = Window.partitionBy("vec_id").orderBy("metres", "station")
     return near.withColumn("rank", F.row_number().over(w)).where("rank <= 6").select("vec_id", F.col("rank").cast("bigint").alias("rank"), "station", F.round("metres", 3).alias("metres"))
 
@@ -229,25 +227,25 @@ def j26_cross(spark, d):
 
 
 @register("j27_full_outer_diff", """
-WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0)
+WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE source <> 'src1')
 SELECT CASE WHEN b.doc_id IS NULL THEN 'left_only' WHEN a.doc_id IS NULL THEN 'right_only' WHEN a.lang IS NOT DISTINCT FROM b.lang AND a.n_chars IS NOT DISTINCT FROM b.n_chars THEN 'equal' ELSE 'conflicting' END AS status, count(*) AS n
 FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
 def j27_full_outer_diff(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    other = docs.where("doc_id % 5 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return matching.full_outer_diff(docs.where("doc_id % 3 <> 0"), other, ["doc_id"], ["lang", "n_chars"]).groupBy("status").agg(F.count("*").alias("n"))
+    docs = t(spark, d, "documents").select("doc_id", "lang", "n_chars", "source")
+    other = docs.where("source <> 'src1'").withColumn("n_chars", F.when(F.col("lang") == "fr", F.col("n_chars") + 1).otherwise(F.col("n_chars"))).drop("source")
+    return matching.full_outer_diff(docs.where("lang <> 'de'").drop("source"), other, ["doc_id"], ["lang", "n_chars"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @register("j34_provenance", """
 WITH l AS (SELECT doc_id, list(DISTINCT CASE WHEN quality = 1 THEN 'quality' ELSE 'low' END) AS q, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-b AS (SELECT substr(text, 1, 40) AS head, count(*) AS n FROM benchmark GROUP BY 1)
+b AS (SELECT text, count(*) AS n FROM benchmark GROUP BY 1)
 SELECT d.doc_id, coalesce(array_to_string(list_sort(l.q), ','), 'unlabelled') AS reasons, coalesce(l.toxic, 0) = 1 AS warned, coalesce(b.n, 0) AS benchmark_hits
-FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN b ON b.head = substr(d.text, 1, 40)""")
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN b ON b.text = d.text""")
 def j34_provenance(spark, d):
     labels = t(spark, d, "labels").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("quality") == 1, "quality").otherwise("low"))), ",").alias("q"), F.max("toxic").alias("toxic"))
-    bench = t(spark, d, "benchmark").groupBy(F.substring("text", 1, 40).alias("head")).agg(F.count("*").alias("k"))
-    docs = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))  # only the head is joined
-    got = docs.join(labels, "doc_id", "left").join(bench, "head", "left")
+    bench = t(spark, d, "benchmark").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("k"))
+    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))  # whole texts meet by their digests
+    got = docs.join(labels, "doc_id", "left").join(bench, "digest", "left")
     return got.select("doc_id", F.coalesce("q", F.lit("unlabelled")).alias("reasons"), (F.coalesce("toxic", F.lit(0)) == 1).alias("warned"), F.coalesce("k", F.lit(0)).alias("benchmark_hits"))
 
 

@@ -84,13 +84,15 @@ def w8_complement(spark, d):
 
 
 @register("w9_rollover", f"""
-WITH e AS (SELECT user_id, {EVENT_S} AS s FROM events WHERE {EVENT_S} >= 64800 AND {EVENT_S} < 108000), m AS (SELECT user_id, s, CASE WHEN min(s) OVER (PARTITION BY user_id) >= 86400 THEN 86400 ELSE 0 END AS day FROM e)
-SELECT user_id, count(DISTINCT s) AS n, min(s - day)::INTEGER AS first_s, max(s - day)::INTEGER AS last_s, FALSE AS error FROM m GROUP BY user_id""")
+WITH e AS (SELECT user_id, {EVENT_S} AS s FROM events WHERE {EVENT_S} % 86400 >= 64800 OR {EVENT_S} % 86400 < 21600), g AS (SELECT user_id, s, (s + 43200) // 86400 AS night FROM e),
+m AS (SELECT user_id, night, s - CASE WHEN min(s) OVER (PARTITION BY user_id, night) >= night * 86400 THEN night * 86400 ELSE (night - 1) * 86400 END AS t FROM g)
+SELECT user_id, night, count(DISTINCT t) AS n, min(t)::INTEGER AS first_s, max(t)::INTEGER AS last_s, FALSE AS error FROM m GROUP BY user_id, night""")
 def w9_rollover(spark, d):
-    night = events(spark, d).where("s >= 64800 and s < 108000")
-    lists = night.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", (F.col("s") % 86_400).cast("int").alias("c")))).alias("x"))
+    # evening and early morning clocks of each user and night, read downwards
+    night = events(spark, d).where("s % 86400 >= 64800 or s % 86400 < 21600").withColumn("night", F.floor((F.col("s") + 43_200) / 86_400))
+    lists = night.groupBy("user_id", "night").agg(F.array_sort(F.collect_list(F.struct("ts", (F.col("s") % 86_400).cast("int").alias("c")))).alias("x"))
     r = lists.withColumn("r", sequences.rollover(F.transform("x", lambda x: x["c"])))
-    return r.select("user_id", F.size("r.out").cast("bigint").alias("n"), F.element_at("r.out", 1).alias("first_s"), F.element_at("r.out", -1).alias("last_s"), F.col("r.error").alias("error"))
+    return r.select("user_id", "night", F.size("r.out").cast("bigint").alias("n"), F.element_at("r.out", 1).alias("first_s"), F.element_at("r.out", -1).alias("last_s"), F.col("r.error").alias("error"))
 
 
 @register("w12_dedupe_consecutive", """
@@ -113,13 +115,13 @@ def w17_sections(spark, d):
 
 @register("w18_waits", f"""
 WITH l AS (SELECT user_id, {EVENT_S} AS s, {EVENT_S} + (event_id % 300) AS e, event_type <> 'view' AS transit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-r AS (SELECT *, min(s) OVER (PARTITION BY user_id) - 120 AS req FROM l WHERE k <= 8),
+r AS (SELECT *, min(s) OVER (PARTITION BY user_id) - 120 AS req FROM l),
 g AS (SELECT *, s - coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY k), req) AS gap, sum(CASE WHEN transit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS boarding FROM r)
 SELECT user_id, coalesce(sum(CASE WHEN transit AND boarding = 1 THEN gap END), 0)::BIGINT AS initial_wait, coalesce(sum(CASE WHEN transit AND boarding > 1 THEN gap END), 0)::BIGINT AS transfer_wait, sum(CASE WHEN transit THEN 1 ELSE 0 END)::BIGINT AS boardings,
 greatest(0, sum(CASE WHEN transit THEN 1 ELSE 0 END) - 1)::BIGINT AS transfers, (max(e) - min(req))::BIGINT AS elapsed FROM g GROUP BY user_id""")
 def w18_waits(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    legs = events(spark, d).select("user_id", F.col("s").alias("start_s"), (F.col("s") + F.col("event_id") % 300).alias("end_s"), (F.col("event_type") != "view").alias("transit"), F.row_number().over(w).alias("k")).where("k <= 8")
+    legs = events(spark, d).select("user_id", F.col("s").alias("start_s"), (F.col("s") + F.col("event_id") % 300).alias("end_s"), (F.col("event_type") != "view").alias("transit"), F.row_number().over(w).alias("k"))
     legs = legs.withColumn("request_s", F.min("start_s").over(Window.partitionBy("user_id")) - 120)
     return sequences.waits(legs, "user_id", "k")
 
@@ -158,12 +160,12 @@ def w_extra_frames(spark, d):
 
 
 @register("w5_propagate", f"""
-WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, {EVENT_S} AS s FROM events), a AS (SELECT user_id, k, s AS arr, s + k % 3 AS dep, CASE WHEN k % 5 = 0 THEN 60 END AS edge FROM v WHERE k <= 20),
+WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, {EVENT_S} AS s FROM events), a AS (SELECT user_id, k, s AS arr, s + k % 3 AS dep, CASE WHEN k % 5 = 0 THEN 60 END AS edge FROM v),
 h AS (SELECT *, coalesce(edge, arr - lag(dep) OVER (PARTITION BY user_id ORDER BY k), 0) AS hop, CASE WHEN k = 1 THEN 0 ELSE dep - arr END AS dwell, first_value(dep) OVER (PARTITION BY user_id ORDER BY k) AS f FROM a)
 SELECT user_id, k::INTEGER AS k, (f + sum(hop + dwell) OVER w - dwell)::INTEGER AS arrival_s, (f + sum(hop + dwell) OVER w)::INTEGER AS departure_s FROM h WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def w5_propagate(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    v = events(spark, d).select("user_id", F.row_number().over(w).alias("k"), "s").where("k <= 20")
+    v = events(spark, d).select("user_id", F.row_number().over(w).alias("k"), "s")
     rows = v.select("user_id", "k", F.col("s").alias("arrival_s"), (F.col("s") + F.col("k") % 3).alias("departure_s"), F.when(F.col("k") % 5 == 0, 60).alias("edge_s"))
     return sequences.propagate(rows, "user_id", "k").select("user_id", "k", "arrival_s", "departure_s")
 

@@ -460,7 +460,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = stash(_resolve(_scan(rows)), "resolved")
     free_shuffles(spark)
     left = found.where(F.col("kind") == CONTEXT)
-    counts = left.groupBy("key").agg(F.count("*").alias("m"))
+    # a table of its own, so that an anchor with very many contexts is a join that Spark can split
+    counts = stash(left.groupBy("key").agg(F.count("*").alias("m")), "counts")
     wanted = left.join(counts, "key").withColumn("many", F.ceil(F.col("m") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("doc", "lo"), F.col("many")))
     bytes_ = _context_bytes(rows, wanted.select("key", "doc", "lo", "size", "place", "blk", "many"))
     blocks = bytes_.repartition("key", "blk").sortWithinPartitions("key", "blk")

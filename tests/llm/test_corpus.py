@@ -287,6 +287,26 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_thin_sample(spark, monkeypatch):
+    """Splits go on below the leaves of a sample of a few vectors, and still find the links."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 40)
+    monkeypatch.setattr(embeddings, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(400, 24))
+    x = np.concatenate([centres, centres[:200] + rng.normal(size=(200, 24)) * 0.05]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    raw, kind = embeddings._raw(df, "vec_id", "embedding")
+    reps = raw.groupBy("dim", "raw").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
+    forest = embeddings.fit(reps, kind)
+    assert any(bits for tree in forest[24][1] for bits, _ in tree.deeper)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    found = sum(got.values())
+    assert 0.9 * near.sum() <= found <= near.sum() and all(got[i] <= near[i].sum() for i in got)
+
+
 def base_spans(t):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]

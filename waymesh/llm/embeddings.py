@@ -4,7 +4,8 @@ Each tree splits recursively at a threshold of a random direction; vectors withi
 threshold go to both sides. Vectors are compared with all others in their leaves, pairs are
 verified by cosine in double precision, and links are united.
 
-Trees are fitted on a bounded sample, every vector is indexed. A threshold is put where few
+Trees are fitted on a bounded sample, every vector is indexed; where the sample is too thin for
+the vectors it stands for, splits go on below its leaves. A threshold is put where few
 sample vectors lie near it; where none is found (a dense clump) the leaf stays whole. A leaf
 of more than BLOCK vectors is compared in pairs of blocks, so no task holds more than two
 blocks and no leaf is capped. A pair that meets in several leaves counts in the first of them.
@@ -34,6 +35,10 @@ SAMPLE = 8192
 TREES = 10
 #: Vectors a leaf should hold, and fewest sample vectors of a split's side.
 LEAF, LEAST = 256, 8
+#: A leaf whose unit vectors have a mean of this length is a clump that links throughout: it stays whole.
+CLUMP = 0.97
+#: Most splits below a leaf of the sample.
+DEEPEST = 32
 #: Half width of the overlap at a threshold, as a cosine of the direction.
 SPILL = 0.02
 #: Most of a node's sample vectors that may lie in the overlap.
@@ -47,9 +52,15 @@ class Tree:
     directions: list[np.ndarray] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
     kids: list[tuple[int, int]] = field(default_factory=list)  # negative: leaf -1 - number
-    leaves: int = 0
+    #: By leaf: splits that go on below it, and the middle they go through.
+    deeper: list[tuple[int, np.ndarray | None]] = field(default_factory=list)
+    common: np.ndarray | None = None  # the directions of these splits
     root: int = 0
 
+    @property
+    def leaves(self) -> int:
+        return len(self.deeper)
+
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of unit vectors; a row can be in several leaves."""
         rows, leaves = [], []
@@ -59,8 +70,14 @@ class Tree:
             if not len(own):
                 continue
             if node < 0:
+                bits, middle = self.deeper[-1 - node]
+                code = np.zeros(len(own), np.int64)
+                for k in range(bits):
+                    at = (x[own] - middle) @ self.common[k]
+                    up, down = at >= -SPILL, at < SPILL
+                    own, code = np.concatenate([own[down], own[up]]), np.concatenate([code[down], code[up] | 1 << k])
                 rows.append(own)
-                leaves.append(np.full(len(own), -1 - node))
+                leaves.append(code << 24 | -1 - node)
                 continue
             at = x[own] @ self.directions[node] - self.thresholds[node]
             stack += [(self.kids[node][0], own[at < SPILL]), (self.kids[node][1], own[at >= -SPILL])]
@@ -92,9 +109,16 @@ def grow(sample: np.ndarray, total: int, rng: np.random.Generator) -> Tree:
                 tree.kids.append((0, 0))
                 tree.kids[k] = (node(own[at - cut < SPILL]), node(own[at - cut >= -SPILL]))
                 return k
-        tree.leaves += 1
+        # the sample is too thin to split on, the vectors it stands for are many: splits through the
+        # leaf's middle go on, in directions common to all leaves, so that the tree stays bounded
+        bits = 0
+        if len(own) and len(own) < 2 * LEAST and len(own) * weight > LEAF and np.linalg.norm(sample[own].mean(0)) < CLUMP:
+            bits = min(DEEPEST, int(np.ceil(np.log2(len(own) * weight / LEAF))))
+        tree.deeper.append((bits, sample[own].mean(0) if bits else None))
         return -tree.leaves
 
+    tree.common = rng.normal(size=(DEEPEST, sample.shape[1]))
+    tree.common /= np.linalg.norm(tree.common, axis=1, keepdims=True)
     tree.root = node(np.arange(len(sample)))
     return tree
 
@@ -163,17 +187,17 @@ def _leaves(reps: DataFrame, forest: dict, kind: str) -> DataFrame:
                 for tree in trees:
                     r, leaf = tree.assign(x)
                     rows.append(r)
-                    leaves.append(leaf + at)
+                    leaves.append(leaf + at)  # leaves are numbered in the low 24 bits
                     at += tree.leaves
                 rows, leaves = np.concatenate(rows), np.concatenate(leaves)
                 order = np.lexsort((leaves, rows))
                 rows, leaves = rows[order], leaves[order]
-                own = np.split(leaves.astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
-                lists = pa.array(own, pa.list_(pa.int32()))
+                own = np.split(leaves, np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
+                lists = pa.array(own, pa.list_(pa.int64()))
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), part.column(0).take(take), part.column(1).take(take), part.column(3).take(take), lists.take(take)], names=["leaf", "id", "times", "raw", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaves), part.column(0).take(take), part.column(1).take(take), part.column(3).take(take), lists.take(take)], names=["leaf", "id", "times", "raw", "leaves"])
 
-    return reps.select("id", "times", "dim", "raw").mapInArrow(run, "leaf int, id bigint, times bigint, raw binary, leaves array<int>")
+    return reps.select("id", "times", "dim", "raw").mapInArrow(run, "leaf bigint, id bigint, times bigint, raw binary, leaves array<bigint>")
 
 
 def _first_shared(left: list[np.ndarray], right: list[np.ndarray], leaf: int) -> np.ndarray:

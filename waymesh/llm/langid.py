@@ -32,6 +32,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 600
 #: Share of calibration rows that are right and may yet be rejected.
 REJECTED_RIGHT = 0.001
+#: No score over it is rejected, however sure right rows are.
+MOST_REJECTED = 0.4
 DIMENSION, EPOCHS, BATCH, RATE, SEED = 16, 8, 32, 2.0, 20240917
 #: Descent steps at the least: few labelled rows are seen more often.
 STEPS = 300
@@ -214,8 +216,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], buck
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     right = np.sort(p.max(1)[p.argmax(1) == truth])
-    # rejected: a score under that of all but REJECTED_RIGHT of right rows, and never over one half
-    model.threshold = float(min(0.5, right[int(len(right) * REJECTED_RIGHT)])) if len(right) else 0.0
+    # rejected: a score under that of all but REJECTED_RIGHT of right rows, and never over MOST_REJECTED
+    model.threshold = float(min(MOST_REJECTED, right[int(len(right) * REJECTED_RIGHT)])) if len(right) else 0.0
     return model
 
 

@@ -364,7 +364,8 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _tree_join(spark: SparkSession, grouped: DataFrame) -> DataFrame | None:
     """Links that make the components of (gid, id, words): spanning edges, written."""
-    sizes = grouped.groupBy("gid").agg(F.count("*").alias("m"))
+    # a table of its own: joining it, Spark can split a group with very many sets
+    sizes = stash(grouped.groupBy("gid").agg(F.count("*").alias("m")), "sizes")
     rows = grouped.join(sizes, "gid").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     # first round: one block holds a whole small group; large groups are dealt twice, so that blocks overlap
     turns = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

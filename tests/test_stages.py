@@ -100,3 +100,27 @@ def test_jobs():
     assert [e["seq"] for e in jobs.after(job.id, 1)[1]] == [2]
     with pytest.raises(service.Refused):
         jobs.start({"jobs": []}, matrix)
+
+
+def test_minute_search_and_crawl(spark):
+    j = lambda *rows: spark.createDataFrame(list(rows), "request int, trips array<string>, t int")
+    inexact = spark.createDataFrame([("f",)], "trip_id string")
+    got = routing.with_minute_search(j((1, ["f"], 5), (2, ["x"], 6)), j((1, ["g"], 4), (1, ["f"], 5), (2, ["y"], 1)), inexact)
+    assert sorted((r["request"], r["trips"][0]) for r in got.collect()) == [(1, "f"), (1, "g"), (2, "x")]
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "a string, b string")
+    start = spark.createDataFrame([("a",)], "node string")
+    pages, whole = routing.crawl(start, links, 9)
+    assert {r["node"]: r["level"] for r in pages.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3} and whole
+    pages, whole = routing.crawl(start, links, 2)
+    assert pages.count() == 3 and not whole
+
+
+def test_reports(spark):
+    from waymesh.functions.structs import between
+
+    rec = spark.createDataFrame([("L", "listed", None), ("L", "frequency", "x"), ("M", "fallback", "y")], "line string, kind string, issue string")
+    assert {r["line"]: r["text"] for r in stages.line_report(rec).collect()} == {"L": "| L | 1 | 1 | 0 | 0 | x |", "M": "| M | 0 | 0 | 1 | 0 | y |"}
+    other = spark.createDataFrame([("M",), ("N",)], "line string")
+    assert {r["line"]: r["state"] for r in stages.missing_lines(rec, other).collect()} == {"L": "no_page", "N": "not_in_inventory"}
+    r = spark.range(1).select(between(F.array(*[F.lit(x) for x in "abcb"]), F.lit("a"), F.lit("c")).alias("x"), between(F.array(*[F.lit(x) for x in "abcb"]), F.lit("a"), F.lit("b")).alias("y")).first()
+    assert r["x"] == ["a", "b", "c"] and r["y"] is None

@@ -43,6 +43,13 @@ def sub_path(items: Column, i: Column, j: Column, mark: str = ">") -> Column:
     return F.array_join(F.slice(items, i + 1, j - i + 1), mark)
 
 
+def between(items: Column, first: Column, last: Column) -> Column:
+    """Items from `first` to `last` (both included) where each occurs just once and in this order, else null."""
+    i, j = F.array_position(items, first), F.array_position(items, last)
+    once = (F.size(F.filter(items, lambda x: x == first)) == 1) & (F.size(F.filter(items, lambda x: x == last)) == 1)
+    return F.when(once & (i > 0) & (i <= j), F.slice(items, i.cast("int"), (j - i + 1).cast("int")))
+
+
 def overlaps(left: Column, right: Column) -> Column:
     """Sizes n, 2 <= n < both, at which left's last n items equal right's first n."""
     most = F.least(F.size(left), F.size(right)) - 1

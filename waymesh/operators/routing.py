@@ -92,8 +92,27 @@ def recovery_requests(origins: DataFrame, destinations: DataFrame, most: int = 1
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("m1", "m2")
 
 
-def needs_minute_search(trips: Column, inexact: DataFrame) -> DataFrame:
-    return inexact.select(trips).distinct()
+def with_minute_search(found: DataFrame, minute: DataFrame, inexact: DataFrame) -> DataFrame:
+    """Journeys (request, trips array, ..) plus, for requests that ride a trip of non-exact frequency, those of the one-minute search.
+
+    A journey that both searches find comes once.
+    """
+    rides = found.select("request", F.explode("trips").alias("trip_id")).join(inexact.select("trip_id"), "trip_id", "left_semi")
+    more = minute.join(rides.select("request").distinct(), "request", "left_semi").join(found.select("request", "trips"), ["request", "trips"], "left_anti")
+    return found.unionByName(more)
+
+
+def crawl(start: DataFrame, links: DataFrame, levels: int) -> tuple[DataFrame, bool]:
+    """((node, level) reached breadth first over links (a, b), whether nothing was left after `levels`)."""
+    seen = front = start.select("node").distinct().withColumn("level", F.lit(0)).persist()
+    for k in range(1, levels + 1):
+        new = front.join(links, front["node"] == links["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = new.withColumn("level", F.lit(k)).persist()
+        if front.isEmpty():
+            return seen, True
+        seen = cut(seen.union(front).persist())
+    left = front.join(links, front["node"] == links["a"]).select(F.col("b").alias("node")).join(seen, "node", "left_anti")
+    return seen, left.isEmpty()
 
 
 def percentile_matrix(arrivals: DataFrame, share: float = 0.9) -> DataFrame:

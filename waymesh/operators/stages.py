@@ -281,3 +281,16 @@ def service_span(rows: DataFrame, key: list[str]) -> DataFrame:
     """Record bounds: a frequency's window, a list of departures from its first to one past its last, united."""
     bounds = rows.select(*key, F.when(F.col("kind") == "frequency", F.col("start_s")).otherwise(F.array_min("times")).alias("a"), F.when(F.col("kind") == "frequency", F.col("end_s")).otherwise(F.array_max("times") + 1).alias("b"))
     return union_windows(bounds, key)
+
+
+def line_report(records: DataFrame) -> DataFrame:
+    """(line, text): a markdown row a line with its listed, frequency, fallback and conditional records."""
+    g = records.groupBy("line").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("listed", "frequency", "fallback", "conditional")], F.array_join(F.array_sort(F.collect_set("issue")), ", ").alias("issues"))
+    return g.select("line", F.format_string("| %s | %d | %d | %d | %d | %s |", "line", "listed", "frequency", "fallback", "conditional", "issues").alias("text"))
+
+
+def missing_lines(inventory: DataFrame, found: DataFrame) -> DataFrame:
+    """(line, state): lines of the inventory without a page, and pages of lines that it does not have."""
+    gone = inventory.select("line").join(found.select("line"), "line", "left_anti").distinct().withColumn("state", F.lit("no_page"))
+    new = found.select("line").join(inventory.select("line"), "line", "left_anti").distinct().withColumn("state", F.lit("not_in_inventory"))
+    return gone.unionByName(new)

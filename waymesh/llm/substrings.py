@@ -518,7 +518,8 @@ def apply(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("raw"))
     facts = stash(rows.select("doc", F.md5("raw").alias("sum"), F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
-    firsts = facts.where(F.col("n_bytes") >= LENGTH).groupBy("sum", "n_bytes").agg(F.min("doc").alias("first"))
+    # a table of its own: joining it, Spark can split a text with very many copies
+    firsts = stash(facts.where(F.col("n_bytes") >= LENGTH).groupBy("sum", "n_bytes").agg(F.min("doc").alias("first")), "firsts")
     known = facts.join(firsts, ["sum", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
     schema = "doc bigint, sum string, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_text else "")
 

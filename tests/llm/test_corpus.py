@@ -200,8 +200,10 @@ def test_suffix_dedup_many_boundaries(spark, monkeypatch):
     for i in range(40):
         cut = rng.randrange(0, 60)
         rows[i] = "".join(rng.choice("klmnop ") for _ in range(rng.randrange(150))) + line[cut : cut + rng.randrange(80, 160)] + "".join(rng.choice("qrstuv") for _ in range(50)) + (line[:130] if i % 4 == 0 else "")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.dedup(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
-    assert got == removed(rows)
+    want = removed(rows)
+    for table in (list(rows.items()), [r for r in rows.items() for _ in range(2)]):  # each row once, and twice
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.dedup(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+        assert got == want
 
 
 def test_suffix_sort_orders_suffixes():

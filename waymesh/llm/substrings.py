@@ -344,8 +344,12 @@ def _sorted_blocks(blocks: DataFrame) -> DataFrame:
         size = ends - starts
         new = np.ones(len(key), np.bool_)
         new[1:] = (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])
+        # the order of places; a row that is in the table more than once is at one place
+        order, at = np.lexsort((lo + place, doc)), lo + place
+        step = np.zeros(len(key), np.int64)
+        step[1:] = (doc[order[1:]] != doc[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
         rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((lo + place, doc))] = np.arange(len(key))
+        rank[order] = np.cumsum(step)
         ctx, offset, repeat, suffixes = repeated(np.cumsum(new), rank, size, place, buffer)
         edge = np.flatnonzero(repeat)
         if len(edge):
@@ -356,9 +360,9 @@ def _sorted_blocks(blocks: DataFrame) -> DataFrame:
         left = np.flatnonzero(~repeat & (many[ctx] > 1))
         if len(left):
             c = ctx[left]
-            at = (np.cumsum(size) - size)[c] + offset[left]
+            begin = (np.cumsum(size) - size)[c] + offset[left]
             _, inverse = _words.powers(len(buffer) + 1)
-            window = _words.mix((suffixes.total[at + LENGTH] - suffixes.total[at]) * inverse[at] + (place[c] - offset[left]).astype(np.uint64))
+            window = _words.mix((suffixes.total[begin + LENGTH] - suffixes.total[begin]) * inverse[begin] + (place[c] - offset[left]).astype(np.uint64))
             # key and window hash together name the string: both parts of 64 bits
             yield _found(CONTEXT, window ^ _words.mix(key[c].astype(np.uint64)), doc[c], lo[c] + offset[left], np.full(len(c), LENGTH), np.zeros(len(c)))
 
@@ -410,10 +414,14 @@ def _first_windows(windows: DataFrame) -> DataFrame:
             key, doc, lo = (np.asarray(batch.column(c)) for c in range(3))
             if not len(key):
                 continue
-            again = np.zeros(len(key), np.bool_)
-            again[1:] = key[1:] == key[:-1]
-            again[0] = last is not None and key[0] == last
-            last = key[-1]
+            new = np.ones(len(key), np.bool_)
+            new[1:] = key[1:] != key[:-1]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            first_doc, first_lo = doc[head], lo[head]
+            if last is not None and key[0] == last[0]:  # the run goes on from the last batch
+                first_doc[head == 0], first_lo[head == 0] = last[1], last[2]
+            again = (doc != first_doc) | (lo != first_lo)  # one place met twice is no repeat
+            last = (key[-1], first_doc[-1], first_lo[-1])
             doc, lo = doc[again], lo[again]
             order = np.lexsort((lo, doc))
             doc, lo = doc[order], lo[order]

@@ -4,6 +4,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +74,19 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Most bytes of an Arrow batch between the JVM and Python, on both sides of which it is held.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_BYTES: long texts else fill a batch of many rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if now is None or int(now[1]) <= 0 or int(now[1]) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def lean(run):
     """run, a generator over Arrow batches, giving freed memory back to the system when it ends.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import lean
+from ._shared import lean, small_batches
 
 #: Pieces in a generation, and token pairs, that a worker remembers.
 REMEMBERED = 600_000
@@ -256,7 +256,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), T.StructType(fields))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", group_col: str | None = None) -> DataFrame:
@@ -269,4 +269,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), batch.column(1)], names=["n_tokens", "grp"])
 
     grp = (F.col(group_col) if group_col else F.lit(None)).cast("string").alias("grp")
-    return docs.select(F.col(text_col), grp).mapInArrow(lean(run), "n_tokens bigint, grp string")
+    return small_batches(docs).select(F.col(text_col), grp).mapInArrow(lean(run), "n_tokens bigint, grp string")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import Forest, connected, free_shuffles, lean, slices, stash, strings, unstash
+from ._shared import Forest, connected, free_shuffles, lean, slices, small_batches, stash, strings, unstash
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -400,7 +400,7 @@ def _tree_join(spark: SparkSession, grouped: DataFrame) -> DataFrame | None:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
-    keyed = stash(_with_keys(docs, id_col, text_col), "prefixes")
+    keyed = stash(_with_keys(small_batches(docs), id_col, text_col), "prefixes")
     edges = stash(_candidates(keyed.where("n > 0")), "candidates")
     rows = stash(keyed.select("id", "n", "f1", "f2"), "fingerprints")
     unstash(keyed)

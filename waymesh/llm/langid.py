@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lean
+from ._shared import lean, small_batches
 
 #: Buckets of the hashed subwords.
 BUCKETS = 1 << 15
@@ -237,7 +237,7 @@ def sample_features(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
     for r in sizes:
         share = min(1.0, (2.0 * per_language + 50) / r["n"])
         cut = F.when(F.col("l") == r["l"], F.lit(int(share * (1 << 30)))).otherwise(cut)
-    near = rows.where(F.col("h") < cut)
+    near = small_batches(rows).where(F.col("h") < cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +281,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
 
 
 def in_training(id_col: str = "doc_id"):
@@ -299,4 +299,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             _, _, rejected = own.predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)

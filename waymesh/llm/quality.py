@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import lean, slices, strings
+from ._shared import lean, slices, small_batches, strings
 
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000
@@ -254,4 +254,4 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint" if measures else ""
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(lean(run), f"id {kind}, kept boolean, failed_rule string{more}").withColumnRenamed("id", id_col)
+    return small_batches(docs).select(F.col(id_col).alias("id"), text_col).mapInArrow(lean(run), f"id {kind}, kept boolean, failed_rule string{more}").withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import free_shuffles, lean, slices, stash, strings, unstash
+from ._shared import free_shuffles, lean, slices, small_batches, stash, strings, unstash
 
 LENGTH = 100
 K = 28
@@ -464,7 +464,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A copy's ranges may be partly missing: copies are removed whole by apply().
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("raw"))
+    rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("raw"))
     found = stash(_resolve(_scan(rows)), "resolved")
     free_shuffles(spark)
     left = found.where(F.col("kind") == CONTEXT)

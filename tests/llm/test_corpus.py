@@ -259,6 +259,26 @@ def test_mixing_overlapping_sources(spark):
     assert abs(sum(r["taken"] for r in got) - 900) <= 20
 
 
+def test_mixing_passes_over_long_documents(spark, monkeypatch):
+    """What a source takes misses its flow by half its smallest free document at most, wherever a long one lies."""
+    monkeypatch.setattr(mixing, "FEW", 300)  # the larger source goes through both histograms
+    rng = np.random.default_rng(6)
+    words = {"a": [30_000, *rng.integers(20, 400, 300)], "b": [9_000, *rng.integers(50, 90, 200)], "c": list(rng.integers(5, 60, 400))}
+    rows = [(s, int(n)) for s in words for n in words[s]]
+    ids = [None if i in (7, 350) else 40 if i in (40, 41) else i for i in range(len(rows))]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in zip(ids, rows)], "doc_id bigint, text string, source string")
+    for seed in range(2):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        got = mixing.mix(df, mixing.weigh_in_turn).collect()
+        assert len({r["copies"] for r in got if r["doc_id"] == 40}) == 1
+        for s in words:
+            own = [r for r in got if r["mix_source"] == s]
+            fewest = min(r["copies"] for r in own)
+            free = [r["size"] for r in own if r["copies"] == fewest]
+            # rounding of the quota to whole words besides
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(min(free) / 2, 1) + 1
+
+
 def unit_vectors():
     rng = np.random.default_rng(4)
     rows = []

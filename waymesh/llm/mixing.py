@@ -5,11 +5,12 @@ A flow network routes token capacity from patterns to source quotas: a pattern's
 second, ... repetition are arcs of its size with rising (convex) cost, so fresh text is used
 before repeated text, and a quota that several patterns can serve takes the cheapest. Each
 pattern's flow is then drawn from its documents in a seeded order: whole passes first, and
-for the rest the documents with the smallest hashes up to the quota, closed by up to
-CLOSERS further documents whose sizes come nearest to what is still open.
+for the rest the documents in order of their hashes, passing over each that is larger than
+what is still open, until none fits; then the smallest one left, where it comes nearer. So a
+pattern's words miss its flow by half the size of the smallest document left at most.
 
-Only per-source and per-pattern sums reach the driver. The seeded prefix is found with hash
-histograms: no task orders a source's documents, whatever share of the rows it holds.
+Only per-source and per-pattern sums reach the driver. Where a round of the rest ends is found
+with hash histograms: no task orders a source's documents, whatever share of the rows it holds.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its
 own, last in order; rows with equal ids are taken alike; an empty table gives no rows.
@@ -26,10 +27,12 @@ from ._shared import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 11
-#: Hash levels of the histograms that find where a pattern's prefix ends.
-FINE, COARSE = 1 << 20, 1 << 10
-#: Single documents that close the gap to a quota.
-CLOSERS = 3
+#: Hashes are non-negative; each histogram that finds where a round ends resolves LEVEL more of their bits.
+HASH_BITS, LEVEL = 63, 10
+LAST = (1 << HASH_BITS) - 1
+#: Up to so many documents a pattern, one histogram leaves about a thousand in the bucket that overshoots.
+FEW = 1 << 20
+STATE = "pat string, last bigint, gap bigint"
 #: Plans of up to so many patterns (about 100 bytes each) are broadcast; more are joined by shuffle.
 SMALL = 20_000
 
@@ -121,7 +124,7 @@ def sized(docs: DataFrame, members, id_col: str = "doc_id", text_col: str = "tex
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("bigint"), F.lit(0))
     mark = F.transform(members, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))
     rows = docs.select(F.col(id_col).alias("id"), members.alias("members"), F.concat_ws("\x1f", F.array_sort(mark)).alias("pat"), size.alias("size"))
-    return rows.withColumn("h", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(FINE)))
+    return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id"), 1))
 
 
 def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", members_col: str | None = None) -> DataFrame:
@@ -132,7 +135,8 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: s
     """
     members = F.array_sort(F.col(members_col)) if members_col else F.array(F.col(source_col).cast("string"))
     rows = stash(sized(docs, members, id_col, text_col), "sized")
-    found = [(tuple(r["members"]), r["pat"], r["n"]) for r in rows.groupBy("members", "pat").agg(F.sum("size").alias("n")).collect()]
+    sums = rows.groupBy("members", "pat").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
+    found = [(tuple(r["members"]), r["pat"], r["n"]) for r in sums]
     found.sort(key=lambda x: x[1])
     sizes: dict = {}
     for own, _, n in found:
@@ -145,7 +149,7 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: s
     plan = [(pat, own[0] if own else None, n, float(quotas[own[0]]) if own else 0.0, int(sizes[own[0]]) if own else 0, min(most, f // n) if n else 0, f - min(most, f // n) * n if n else 0) for (own, pat, n), f in zip(found, flow)]
     spark = docs.sparkSession
     plans = spark.createDataFrame(plan, "pat string, first_source string, pat_size bigint, target double, source_size bigint, passes int, rest bigint")
-    picked = _pick(rows, plans, F.broadcast if len(plan) <= SMALL else lambda d: d)
+    picked = _pick(rows, plans, F.broadcast if len(plan) <= SMALL else lambda d: d, max((r["k"] for r in sums), default=0))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("extra"), 1).otherwise(0)).otherwise(F.lit(0))
     return picked.select(F.col("id").alias(id_col), F.col("first_source").alias("mix_source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
@@ -157,36 +161,72 @@ def _shared_targets(total: int, sizes: dict, names: list, weigh, most: float) ->
     return {s: t * scale for s, t in targets({s: sizes[s] for s in names}, weights, most / max(scale, 1e-9)).items()}
 
 
-def _pick(rows: DataFrame, plans: DataFrame, sent) -> DataFrame:
-    """Adds `extra`: whether the document is in its pattern's seeded rest; `sent` marks tables of a row a pattern."""
-    open_ = plans.where("rest > 0").select("pat", "rest")
-    live = rows.where("size > 0")
-    by = Window.partitionBy("pat").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = F.floor(F.col("h") / COARSE)
-    ends = live.groupBy("pat", coarse.alias("b")).agg(F.sum("size").alias("n")).join(open_, "pat").withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0)))
-    ends = ends.where("before <= rest and before + n > rest").select("pat", F.col("b").alias("b1"), F.col("before").alias("before1"), "rest")
-    inside = live.join(sent(ends), "pat").where(coarse == F.col("b1"))
-    fine = inside.groupBy("pat", "b1", "before1", "rest", F.col("h").alias("b")).agg(F.sum("size").alias("n")).withColumn("before", F.col("before1") + F.coalesce(F.sum("n").over(by), F.lit(0)))
-    # whole hash values up to the quota; what a value would overshoot stays open for the closing document
-    cut = fine.where("before + n <= rest").groupBy("pat").agg(F.max("b").alias("last"), F.max(F.col("before") + F.col("n")).alias("got"))
-    edge = ends.join(cut, "pat", "left").select("pat", F.coalesce("last", F.col("b1") * COARSE - 1).alias("last"), (F.col("rest") - F.coalesce("got", "before1")).alias("gap"))
-    edge = stash(edge, "edges")
-    # the open gap is closed by single documents: twice by the largest that fits, then by the nearest
-    chosen, gaps = None, edge.select("pat", "last", "gap")
-    for turn in range(CLOSERS):
-        far = F.abs(F.col("size") - F.col("gap"))
-        fits = (F.col("size") <= F.col("gap")) if turn < CLOSERS - 1 else (far < F.col("gap"))
-        free = live.join(sent(gaps), "pat").where((F.col("h") > F.col("last")) & fits)
-        if chosen is not None:
-            free = free.join(sent(chosen), ["pat", "h", "id"], "left_anti")
-        best = stash(free.groupBy("pat").agg(F.min_by(F.struct("h", "id", "size"), F.struct(far, F.col("h"), F.col("id"))).alias("x")).select("pat", "x.*"), f"closers{turn}")
-        gaps = gaps.join(best.select("pat", F.col("size").alias("closed")), "pat", "left").select("pat", "last", (F.col("gap") - F.coalesce("closed", F.lit(0))).alias("gap"))
-        one = best.select("pat", "h", "id")
-        chosen = one if chosen is None else chosen.union(one)
-    closers = chosen.select(F.col("pat").alias("c_pat"), F.col("h").alias("c_h"), F.col("id").alias("c_id"), F.lit(True).alias("closes"))
-    same = (F.col("pat") == F.col("c_pat")) & (F.col("h") == F.col("c_h")) & F.col("id").eqNullSafe(F.col("c_id"))
-    all_ = rows.join(sent(plans), "pat").join(sent(edge.select("pat", "last")), "pat", "left").join(sent(closers), same, "left")
-    return all_.withColumn("extra", F.coalesce(F.col("h") <= F.col("last"), F.lit(False)) | F.coalesce("closes", F.lit(False)))
+def _pick(rows: DataFrame, plans: DataFrame, sent, most_rows: int) -> DataFrame:
+    """Adds `extra`: whether the document is in its pattern's seeded rest; `sent` marks tables of a row a pattern.
+
+    First fit in seeded order: a document that is larger than what is open is passed over. Each
+    round takes what fits up to the first that does not, for all patterns at once.
+    """
+    spark = rows.sparkSession
+    units = stash(rows.where("size > 0").groupBy("pat", "h").agg(F.sum("size").alias("size"), F.count("*").alias("k")), "units")
+    open_ = [(r["pat"], -1, r["rest"]) for r in plans.where("rest > 0").select("pat", "rest").collect()]
+    shifts = [LEVEL, 2 * LEVEL] if most_rows > FEW else [LEVEL]
+    spans, left = [], []
+    while open_:
+        found = {r["pat"]: r for r in _round(units, spark.createDataFrame(open_, STATE), sent, shifts).collect()}
+        after = []
+        for pat, last, gap in open_:
+            r = found.get(pat)
+            if r is None:  # nothing fits any more
+                left.append((pat, last, gap))
+                continue
+            spans.append((pat, last, r["last"], gap))
+            if r["got"] < gap:
+                after.append((pat, r["last"], gap - r["got"]))
+        open_ = after
+    spans = spark.createDataFrame(spans, "pat string, lo bigint, hi bigint, most bigint")
+    spans = stash(spans.groupBy("pat").agg(F.collect_list(F.struct("lo", "hi", "most")).alias("spans")), "spans")
+    own = rows.select("pat", "h").limit(0) if not left else _nearest(units, spans, spark.createDataFrame(left, STATE), sent)
+    own = stash(own.select(F.col("pat").alias("c_pat"), F.col("h").alias("c_h"), F.lit(True).alias("closes")), "closers")
+    same = (F.col("pat") == F.col("c_pat")) & (F.col("h") == F.col("c_h"))
+    # all rows of an id are taken together, so that their size is that of all of them
+    total = rows.join(sent(plans), "pat").join(sent(spans), "pat", "left").join(sent(own), same, "left")
+    wide = units.where("k > 1").select(F.col("pat").alias("u_pat"), F.col("h").alias("u_h"), F.col("size").alias("unit"))
+    few = F.broadcast if wide.count() <= SMALL else lambda d: d
+    total = total.join(few(wide), (F.col("pat") == F.col("u_pat")) & (F.col("h") == F.col("u_h")), "left").withColumn("unit", F.coalesce("unit", "size"))
+    return total.withColumn("extra", F.coalesce(_within("unit"), F.lit(False)) | F.coalesce("closes", F.lit(False)))
+
+
+def _within(size: str):
+    """Whether a unit of this size was taken in one of its pattern's rounds."""
+    return F.exists("spans", lambda x: (F.col("h") > x["lo"]) & (F.col("h") <= x["hi"]) & (F.col(size) <= x["most"]))
+
+
+def _round(units: DataFrame, state: DataFrame, sent, shifts: list[int]) -> DataFrame:
+    """(pat, last, got): in each open pattern where the units that fit, in seeded order, first overshoot."""
+    by = Window.partitionBy("pat").orderBy("b")
+    fit = units.join(sent(state), "pat").where((F.col("h") > F.col("last")) & (F.col("size") <= F.col("gap"))).select("pat", "h", "size", "gap")
+    part, whole = fit.withColumn("before1", F.lit(0).cast("bigint")), None
+    for bits in shifts:
+        bucket = F.shiftright("h", HASH_BITS - bits)
+        sums = part.groupBy("pat", "gap", "before1", bucket.alias("b")).agg(F.sum("size").alias("n"))
+        sums = sums.withColumn("to", F.col("before1") + F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        if whole is None:  # patterns where all that fit, fit together
+            whole = sums.groupBy("pat", "gap").agg(F.max("to").alias("got")).where("got <= gap").select("pat", F.lit(LAST).alias("last"), "got")
+        ends = sums.where("to > gap and to - n <= gap").select("pat", F.col("b").alias("b1"), (F.col("to") - F.col("n")).alias("start"))
+        part = part.join(sent(ends), "pat").where(bucket == F.col("b1")).select("pat", "h", "size", "gap", F.col("start").alias("before1"), F.shiftleft("b1", HASH_BITS - bits).alias("floor"))
+    # the bucket that overshoots holds few units: they are added one by one
+    each = part.withColumn("to", F.col("before1") + F.sum("size").over(Window.partitionBy("pat").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    taken = F.col("to") <= F.col("gap")
+    cut = each.groupBy("pat").agg(F.coalesce(F.max(F.when(taken, F.col("h"))), F.min("floor") - 1).alias("last"), F.coalesce(F.max(F.when(taken, F.col("to"))), F.min("before1")).alias("got"))
+    return cut.union(whole)
+
+
+def _nearest(units: DataFrame, spans: DataFrame, state: DataFrame, sent) -> DataFrame:
+    """(pat, h): the smallest unit still free, all of which are larger than the gap, where it brings the sum nearer."""
+    free = units.join(sent(state.select("pat", "gap")), "pat").join(sent(spans), "pat", "left").where(~F.coalesce(_within("size"), F.lit(False)))
+    best = free.groupBy("pat", "gap").agg(F.min(F.struct("size", "h")).alias("x"))
+    return best.where("x.size - gap < gap").select("pat", "x.h")
 
 
 def weigh_in_turn(names: list) -> dict:

@@ -329,6 +329,31 @@ def test_embeddings_with_a_thin_sample(spark, monkeypatch):
     assert 0.9 * near.sum() <= found <= near.sum() and all(got[i] <= near[i].sum() for i in got)
 
 
+def test_embeddings_below_a_thin_leaf(spark, monkeypatch):
+    """A clump of links near the threshold is not split where the sample is too thin to show it."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 64)
+    monkeypatch.setattr(embeddings, "LEAF", 8)
+    monkeypatch.setattr(embeddings, "TREES", 2)
+    rng = np.random.default_rng(12)
+
+    def around(centre, cosine):
+        r = rng.normal(size=centre.shape)
+        r -= (r * centre).sum(1, keepdims=True) * centre
+        return cosine * centre + np.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    apart = rng.normal(size=(1200, 64))
+    apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+    u = np.concatenate([apart, around(np.repeat(apart[-1:], 250, 0), 0.955)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id bigint, embedding array<double>")
+    raw, kind = embeddings._raw(df, "vec_id", "embedding")
+    forest = embeddings.fit(raw.select("dim", "raw", "id"), kind)
+    assert any(bits for tree in forest[64][1] for bits, _ in tree.deeper)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = sum(r["n_links"] for r in embeddings.near_duplicates(df).collect())
+    assert 0.95 * near.sum() <= found <= near.sum(), found / near.sum()
+
+
 def base_spans(t):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]

@@ -5,8 +5,9 @@ threshold go to both sides. Vectors are compared with all others in their leaves
 verified by cosine in double precision, and links are united.
 
 Trees are fitted on a bounded sample, every vector is indexed; where the sample is too thin for
-the vectors it stands for, splits go on below its leaves. A threshold is put where few
-sample vectors lie near it; where none is found (a dense clump) the leaf stays whole. A leaf
+the vectors it stands for, splits below its leaves are fitted on further rows of each leaf. A
+threshold is put where few vectors lie near it, in the sample and among the further rows alike;
+where none is found (a dense clump) the leaf stays whole. A leaf
 of more than BLOCK vectors is compared in pairs of blocks, so no task holds more than two
 blocks and no leaf is capped. A pair that meets in several leaves counts in the first of them.
 Equal vectors are one representative with a multiplicity.
@@ -18,7 +19,8 @@ table gives no rows.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,10 +37,10 @@ SAMPLE = 8192
 TREES = 10
 #: Vectors a leaf should hold, and fewest sample vectors of a split's side.
 LEAF, LEAST = 256, 8
-#: A leaf whose unit vectors have a mean of this length is a clump that links throughout: it stays whole.
-CLUMP = 0.97
-#: Most splits below a leaf of the sample.
+#: Directions that the splits below a tree's leaves choose from.
 DEEPEST = 32
+#: Further rows of a thin leaf that its splits are fitted on, for each LEAF of its vectors.
+FURTHER = 64
 #: Half width of the overlap at a threshold, as a cosine of the direction.
 SPILL = 0.02
 #: Most of a node's sample vectors that may lie in the overlap.
@@ -47,13 +49,23 @@ BLOCK = 512
 SEED = 5
 
 
+@dataclass
+class Deep:
+    """Splits below a leaf, in directions of its tree's pool; small, as there are as many as leaves of the input."""
+
+    which: np.ndarray
+    thresholds: np.ndarray
+    kids: np.ndarray
+    root: int
+
+
 @dataclass
 class Tree:
     directions: list[np.ndarray] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
     kids: list[tuple[int, int]] = field(default_factory=list)  # negative: leaf -1 - number
-    #: By leaf: splits that go on below it, and the middle they go through.
-    deeper: list[tuple[int, np.ndarray | None]] = field(default_factory=list)
+    #: By leaf: about how many levels of splits it lacks, and the splits below it, once they are fitted.
+    deeper: list[tuple[int, Deep | None]] = field(default_factory=list)
     common: np.ndarray | None = None  # the directions of these splits
     root: int = 0
 
@@ -64,57 +76,69 @@ class Tree:
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of unit vectors; a row can be in several leaves."""
         rows, leaves = [], []
-        stack = [(self.root, np.arange(len(x)))]
-        while stack:
-            node, own = stack.pop()
-            if not len(own):
-                continue
-            if node < 0:
-                bits, middle = self.deeper[-1 - node]
-                code = np.zeros(len(own), np.int64)
-                for k in range(bits):
-                    at = (x[own] - middle) @ self.common[k]
-                    up, down = at >= -SPILL, at < SPILL
-                    own, code = np.concatenate([own[down], own[up]]), np.concatenate([code[down], code[up] | 1 << k])
-                rows.append(own)
-                leaves.append(code << 24 | -1 - node)
-                continue
-            at = x[own] @ self.directions[node] - self.thresholds[node]
-            stack += [(self.kids[node][0], own[at < SPILL]), (self.kids[node][1], own[at >= -SPILL])]
+        for leaf, own in _walk(x, np.arange(len(x)), self.root, self.directions, self.thresholds, self.kids):
+            deep = self.deeper[leaf][1]
+            below = [(0, own)] if deep is None else _walk(x, own, deep.root, self.common[deep.which], deep.thresholds, deep.kids)
+            for code, part in below:
+                rows.append(part)
+                leaves.append(np.full(len(part), code << 24 | leaf))
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _walk(x: np.ndarray, own: np.ndarray, root: int, directions, thresholds, kids) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, rows of x) for each leaf that rows of `own` reach."""
+    stack = [(root, own)]
+    while stack:
+        node, own = stack.pop()
+        if not len(own):
+            continue
+        if node < 0:
+            yield -1 - int(node), own
+            continue
+        at = x[own] @ directions[node] - thresholds[node]
+        stack += [(kids[node][0], own[at < SPILL]), (kids[node][1], own[at >= -SPILL])]
+
+
+def _split(x: np.ndarray, directions: Iterable[tuple[object, np.ndarray]]) -> tuple | None:
+    """(crowd, name, direction, cut, projections): the threshold that the fewest rows of x lie near."""
+    best = None
+    for name, d in directions:
+        at = x @ d
+        for cut in np.quantile(at, np.linspace(0.3, 0.7, 9)):
+            crowd = np.mean(np.abs(at - cut) < SPILL)
+            side = np.count_nonzero(at < cut)
+            if min(side, len(x) - side) >= LEAST and (best is None or crowd < best[0]):
+                best = (crowd, name, d, cut, at)
+    return best
+
+
 def grow(sample: np.ndarray, total: int, rng: np.random.Generator) -> Tree:
     """A tree over unit vectors that stand for `total` vectors."""
     tree = Tree()
     weight = total / max(1, len(sample))
 
+    def drawn() -> Iterator[tuple[None, np.ndarray]]:
+        for _ in range(8):
+            d = rng.normal(size=sample.shape[1])
+            yield None, d / np.linalg.norm(d)
+
     def node(own: np.ndarray) -> int:
         if len(own) * weight > LEAF and len(own) >= 2 * LEAST:
-            best = None
-            for _ in range(8):
-                d = rng.normal(size=sample.shape[1])
-                d /= np.linalg.norm(d)
-                at = sample[own] @ d
-                for cut in np.quantile(at, np.linspace(0.3, 0.7, 9)):
-                    crowd = np.mean(np.abs(at - cut) < SPILL)
-                    side = np.count_nonzero(at < cut)
-                    if min(side, len(own) - side) >= LEAST and (best is None or crowd < best[0]):
-                        best = (crowd, d, cut, at)
+            best = _split(sample[own], drawn())
             if best and best[0] <= CROWD:
-                _, d, cut, at = best
+                _, _, d, cut, at = best
                 k = len(tree.kids)
                 tree.directions.append(d)
                 tree.thresholds.append(float(cut))
                 tree.kids.append((0, 0))
                 tree.kids[k] = (node(own[at - cut < SPILL]), node(own[at - cut >= -SPILL]))
                 return k
-        # the sample is too thin to split on, the vectors it stands for are many: splits through the
-        # leaf's middle go on, in directions common to all leaves, so that the tree stays bounded
+        # the sample is too thin to split on, the vectors it stands for are many: deepen() goes on, in
+        # directions common to all leaves, so that the splits are small
         bits = 0
-        if len(own) and len(own) < 2 * LEAST and len(own) * weight > LEAF and np.linalg.norm(sample[own].mean(0)) < CLUMP:
-            bits = min(DEEPEST, int(np.ceil(np.log2(len(own) * weight / LEAF))))
-        tree.deeper.append((bits, sample[own].mean(0) if bits else None))
+        if len(own) < 2 * LEAST and len(own) * weight > LEAF:
+            bits = int(np.ceil(np.log2(len(own) * weight / LEAF)))
+        tree.deeper.append((bits, None))
         return -tree.leaves
 
     tree.common = rng.normal(size=(DEEPEST, sample.shape[1]))
@@ -123,6 +147,35 @@ def grow(sample: np.ndarray, total: int, rng: np.random.Generator) -> Tree:
     return tree
 
 
+def grow_below(x: np.ndarray, weight: float, pool: np.ndarray, rng: np.random.Generator) -> Deep:
+    """Splits of one leaf, fitted on rows of it in random order that stand for `weight` vectors each.
+
+    As in grow(); but a threshold is chosen on every second row, and the others must not crowd it
+    either: the least crowded of many thresholds looks emptier than it is.
+    """
+    which, thresholds, kids, leaves = [], [], [], 0
+
+    def node(own: np.ndarray) -> int:
+        nonlocal leaves
+        if len(own) * weight > LEAF and len(own) >= 4 * LEAST:
+            best = _split(x[own[::2]], [(int(k), pool[k]) for k in rng.permutation(len(pool))[:8]])
+            if best and best[0] <= CROWD:
+                _, name, d, cut, _ = best
+                at = x[own] @ d - cut
+                if np.mean(np.abs(at[1::2]) < SPILL) <= CROWD:
+                    k = len(kids)
+                    which.append(name)
+                    thresholds.append(float(cut))
+                    kids.append((0, 0))
+                    kids[k] = (node(own[at < SPILL]), node(own[at >= -SPILL]))
+                    return k
+        leaves += 1
+        return -leaves
+
+    root = node(np.arange(len(x)))
+    return Deep(np.array(which, np.int16), np.array(thresholds), np.array(kids, np.int32).reshape(-1, 2), root)
+
+
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     # scaled first, so that squares of very large or small components stay finite
@@ -169,12 +222,47 @@ def fit(reps: DataFrame, kind: str, seed: int = SEED) -> dict[int, tuple[int, li
         trees = [grow(sample, counts[dim], rng) for _ in range(TREES)]
         out[dim] = (at, trees)
         at += sum(t.leaves for t in trees)
-    return out
+    return deepen(reps, kind, out, seed)
+
+
+def deepen(reps: DataFrame, kind: str, forest: dict[int, tuple[int, list[Tree]]], seed: int) -> dict[int, tuple[int, list[Tree]]]:
+    """The forest with splits below its thin leaves, each fitted on further rows of that leaf in a task of its own."""
+    if not any(bits for _, trees in forest.values() for t in trees for bits, _ in t.deeper):
+        return forest
+    held = reps.sparkSession.sparkContext.broadcast(forest)
+    share = min(1.0, FURTHER / LEAF)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column(0))
+            for dim in np.unique(dims):
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                x = unit(part.column(1).to_pylist(), kind)
+                for k, tree in enumerate(held.value[int(dim)][1]):
+                    rows, leaves = tree.assign(x)
+                    thin = np.array([bits > 0 for bits, _ in tree.deeper])[leaves]
+                    take, leaves = pa.array(rows[thin]), leaves[thin]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.full(len(leaves), k, np.int32)), pa.array(leaves), part.column(2).take(take), part.column(1).take(take)], names=["dim", "tree", "leaf", "h", "raw"])
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        dim, k, leaf = (int(frame[c].iloc[0]) for c in ("dim", "tree", "leaf"))
+        x = unit(list(frame.sort_values(["h", "raw"])["raw"]), kind)
+        deep = grow_below(x, 1 / share, held.value[dim][1][k].common, np.random.default_rng([seed, dim, k, leaf]))
+        return pd.DataFrame({"dim": [dim], "tree": [k], "leaf": [leaf], "deep": [pickle.dumps(deep)]})
+
+    h = F.xxhash64(F.lit(seed + 1), "id")
+    some = reps.select("dim", "raw", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = some.mapInArrow(run, "dim int, tree int, leaf bigint, h bigint, raw binary")
+    # about 14 bytes a split come back, one split for each LEAF vectors or so in each tree
+    for r in rows.groupBy("dim", "tree", "leaf").applyInPandas(one, "dim int, tree int, leaf bigint, deep binary").toLocalIterator():
+        tree = forest[r["dim"]][1][r["tree"]]
+        tree.deeper[r["leaf"]] = (tree.deeper[r["leaf"]][0], pickle.loads(r["deep"]))
+    return forest
 
 
 def _leaves(reps: DataFrame, forest: dict, kind: str) -> DataFrame:
     """Every representative in each of its leaves: (leaf, id, times, raw, leaves)."""
-    held = reps.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE and TREES
+    held = reps.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE and TREES, and about 14 bytes for each split below thin leaves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,3 +69,15 @@ def test_dedupe_and_ttl(spark, tmp_path):
     ttl = arrivals.latest_with_ttl(arrivals.late(stream, "at", "1 minute"), "kind", "at", "value")
     last = arrivals.run_available(ttl, "latest", "update", str(tmp_path / "d"))
     assert {r["kind"]: r["value"] for r in last.collect()} == {"a": 58.0, "b": 59.0}
+
+
+def test_stream_equal_compares_on_any_path(spark, monkeypatch):
+    """A path with a scheme is streamed too: a stream that loses rows there is not reported as equal."""
+    from waymesh.plans import streaming_q
+
+    for d in ("/root/testdata/sf0.001", "file:///root/testdata/sf0.001"):
+        row = streaming_q.x_stream_equal(spark, d).first()
+        assert row["n"] > 0 and row["same"] is True
+    run = arrivals.run_available
+    monkeypatch.setattr(arrivals, "run_available", lambda *a: run(*a).limit(1))
+    assert streaming_q.x_stream_equal(spark, "file:///root/testdata/sf0.001").first()["same"] is False

@@ -11,7 +11,7 @@ import public_tokenizers as tokens
 import pytest
 import tiktoken
 
-from waymesh.llm import bpe, embeddings, jaccard, langid, mixing, quality, secrets, substrings, token_counts, warc
+from waymesh.llm import _shared, bpe, embeddings, jaccard, langid, mixing, quality, secrets, substrings, token_counts, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, words int, label string, `key` string"
@@ -241,8 +241,11 @@ def test_mixing(docs, empty):
         assert abs(taken[s] - want[s]) <= max(20, 0.2 * want[s]) or max(r["size"] for r in got if r["mix_source"] == s) > 0.5 * want[s]
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5), mixing.weigh_in_turn).collect()))
     assert mixing.mix(empty, mixing.weigh_in_turn).count() == 0
-    repeated = mixing.repeat_rows(docs, mixing.mix(docs, mixing.weigh_in_turn))
+    repeated = mixing.mixed_rows(docs, mixing.weigh_in_turn)
     assert repeated.columns == docs.columns
+    times = collections.Counter(r["doc_id"] for r in repeated.collect())
+    assert times == collections.Counter({r["doc_id"]: n for r in got if (n := sum(x["copies"] for x in got if x["doc_id"] == r["doc_id"]))})
+    assert mixing.mixed_rows(empty, mixing.weigh_in_turn).count() == 0
 
 
 def test_flow_prefers_fresh_text():
@@ -394,6 +397,61 @@ def test_redaction(docs):
             assert not base_spans(clean[i])
 
 
+WEAK = {"weak_id": (3, "id"), "weak_secret": (4, "secret"), "endpoint": (5, "endpoint")}
+
+
+def all_spans(t):
+    """Base spans, and weak spans for which a loop over all pairs finds a complementary part in scope."""
+    base = base_spans(t)
+    weak = [(m.start(), WEAK[k][0], m.end(), k) for k, p in (("weak_id", secrets.WEAK_ID), ("weak_secret", secrets.WEAK_SECRET), ("endpoint", secrets.ENDPOINT)) for m in re.finditer(p, t)]
+    part = {"assign": "secret", "hex": "secret", "access": "id"} | {k: c for k, (_, c) in WEAK.items()}
+    wants = {"secret": ("id", "endpoint"), "id": ("secret",), "endpoint": ("secret",)}
+    kept = [x for x in weak if any(abs(x[0] - y[0]) <= secrets.SCOPE and part[y[3]] in wants[part[x[3]]] for y in base + weak)]
+    return sorted(base + kept)
+
+
+def secret_texts():
+    rng = random.Random(17)
+    bits = ["pwd: abc12", "login=bob", "https://h.example/p?token=abcdef1", "token=abcdefg", "AKIA" + "Q" * 17, "0123456789abcdef" * 3, "host: db.x", "password='s3cretpass'", "\x01", "é𝛼", "\n", "user: u_1", "A" * 40]
+    out = ["".join(rng.choice(bits) + rng.choice([" ", "", "x" * rng.randrange(260)]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    return out + ["https://a.b/" + "pwd:abcdef/" * 300 + " login=x9", "f" * 5000, "𝛼" * 1023 + "token=abcdef", "𝛼" * 1020 + "token=abcdefgh" * 2]
+
+
+def test_secret_links_of_all_pairs(spark):
+    rows = list(enumerate(secret_texts()))
+    got = secrets.digest(secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    for r in got:
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in all_spans(rows[r["doc_id"]][1]))
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rows = [(i, t, i) for i, t in enumerate(secret_texts())]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string, row int"), "[r]").collect()}
+    for i, t, _ in rows:
+        at, out = 0, ""
+        for s, _, e, _ in all_spans(t):
+            if s >= at:
+                out += t[at:s] + "[r]"
+            at = max(at, e)
+        assert clean[i] == out + t[at:], i
+
+
+def test_secrets_of_a_megabyte(spark):
+    n = 64_000
+    df = spark.createDataFrame([(1, " ".join(f"token=abcdef{k}" for k in range(n)))], "doc_id bigint, text string")
+    assert secrets.digest(secrets.find(df)).first()["n_assign"] == n
+    assert secrets.redact(df).first()["text"] == " ".join(["[redacted]"] * n)
+
+
+@pytest.mark.parametrize("gone", [[], [3], list(range(0, 400, 3)) + [10**12]])
+def test_rows_without_ids(spark, monkeypatch, gone):
+    monkeypatch.setattr(_shared, "ID_BITS", 1 << 17)
+    rows = [(None if i == 7 else i % 390, f"t{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = _shared.without_ids(docs, spark.createDataFrame([(g,) for g in gone], "doc_id bigint"), "doc_id")
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] not in gone)
+
+
 def test_quality(docs, empty):
     got = quality.judge(docs, measures=True).collect()
     assert len(got) == len(corpus())

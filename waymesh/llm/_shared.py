@@ -189,3 +189,26 @@ class Forest:
             a, b = b, a
         self.up[b] = a
         return True
+
+
+#: Bits of the set of ids that keeps most other rows from a join, and bits of one of its pages.
+ID_BITS, PAGE_BITS = 1 << 23, 1 << 15
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in ids (one column, no nulls); null ids stay.
+
+    A bitmap of id hashes of fixed size (1 MB) is broadcast. Rows that miss it stay where they
+    are; only the others meet ids in a join.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(ID_BITS))
+    gone = ids.select(F.col(id_col).alias("__gone"))
+    pages = gone.select(F.pmod(F.xxhash64("__gone"), F.lit(ID_BITS)).alias("p")).groupBy(F.floor(F.col("p") / PAGE_BITS).alias("__page")).agg(F.bitmap_construct_agg(F.col("p") % PAGE_BITS).alias("__map"))
+    pages = stash(pages, "pages")
+    bit = place % PAGE_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)) & F.col(id_col).isNotNull()
+    told = docs.join(F.broadcast(pages), F.floor(place / PAGE_BITS) == F.col("__page"), "left").withColumn("__hit", hit)
+    stay = told.where(~F.col("__hit")).select(*docs.columns)
+    met = told.where("__hit").join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    return stay.union(met)

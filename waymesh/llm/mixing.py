@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import stash
@@ -119,22 +120,41 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 3) ->
     return [sum(net.room[k ^ 1] for k in own) for own in arcs]
 
 
-def sized(docs: DataFrame, members, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, members array, pat, size, h): the words of every whole text, and its seeded hash."""
+def sized(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", *kept: Column) -> DataFrame:
+    """(id, members array, pat, size, h, and the kept columns): the words of every whole text, and its seeded hash."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("bigint"), F.lit(0))
     mark = F.transform(members, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))
-    rows = docs.select(F.col(id_col).alias("id"), members.alias("members"), F.concat_ws("\x1f", F.array_sort(mark)).alias("pat"), size.alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), members.alias("members"), F.concat_ws("\x1f", F.array_sort(mark)).alias("pat"), size.alias("size"), *kept)
     return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id"), 1))
 
 
-def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", members_col: str | None = None) -> DataFrame:
-    """(id, source.., size, source_size, target, copies, taken) for every document.
+def _members(source_col: str, members_col: str | None) -> Column:
+    return F.array_sort(F.col(members_col)) if members_col else F.array(F.col(source_col).cast("string"))
 
-    weigh maps the ordered source names to weights. With members_col, an array of sources, a
-    document counts for several sources; source, source_size and target are then its first's.
-    """
-    members = F.array_sort(F.col(members_col)) if members_col else F.array(F.col(source_col).cast("string"))
-    rows = stash(sized(docs, members, id_col, text_col), "sized")
+
+@dataclass
+class Plan:
+    """What a mix has decided, as tables: of a row a pattern, and of ids that several rows share."""
+
+    patterns: DataFrame
+    spans: DataFrame
+    closers: DataFrame
+    shared_ids: DataFrame
+    sent: Callable[[DataFrame], DataFrame]
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """Adds the plan and `copies` to sized() rows; where the tables are broadcast, rows do not move."""
+        same = (F.col("pat") == F.col("c_pat")) & (F.col("h") == F.col("c_h"))
+        total = rows.join(self.sent(self.patterns), "pat").join(self.sent(self.spans), "pat", "left").join(self.sent(self.closers), same, "left")
+        few = F.broadcast if self.shared_ids.count() <= SMALL else lambda d: d
+        # all rows of an id are taken together, so that their size is that of all of them
+        total = total.join(few(self.shared_ids), (F.col("pat") == F.col("u_pat")) & (F.col("h") == F.col("u_h")), "left").withColumn("unit", F.coalesce("unit", "size"))
+        extra = F.coalesce(_within("unit"), F.lit(False)) | F.coalesce("closes", F.lit(False))
+        return total.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + extra.cast("int")).otherwise(F.lit(0)))
+
+
+def plan(rows: DataFrame, weigh: Callable[[list], dict], most: int = 3, overlap: bool = False) -> Plan:
+    """Decide the mix of sized() rows, a written table."""
     sums = rows.groupBy("members", "pat").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
     found = [(tuple(r["members"]), r["pat"], r["n"]) for r in sums]
     found.sort(key=lambda x: x[1])
@@ -144,14 +164,31 @@ def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: s
             sizes[s] = sizes.get(s, 0) + n
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     total = sum(n for _, _, n in found)
-    quotas = targets({s: sizes[s] for s in names}, weigh(names), most) if members_col is None else _shared_targets(total, sizes, names, weigh, most)
+    quotas = _shared_targets(total, sizes, names, weigh, most) if overlap else targets({s: sizes[s] for s in names}, weigh(names), most)
     flow = route([(own, n) for own, _, n in found], quotas, most)
-    plan = [(pat, own[0] if own else None, n, float(quotas[own[0]]) if own else 0.0, int(sizes[own[0]]) if own else 0, min(most, f // n) if n else 0, f - min(most, f // n) * n if n else 0) for (own, pat, n), f in zip(found, flow)]
-    spark = docs.sparkSession
-    plans = spark.createDataFrame(plan, "pat string, first_source string, pat_size bigint, target double, source_size bigint, passes int, rest bigint")
-    picked = _pick(rows, plans, F.broadcast if len(plan) <= SMALL else lambda d: d, max((r["k"] for r in sums), default=0))
-    copies = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("extra"), 1).otherwise(0)).otherwise(F.lit(0))
-    return picked.select(F.col("id").alias(id_col), F.col("first_source").alias("mix_source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    made = [(pat, own[0] if own else None, n, float(quotas[own[0]]) if own else 0.0, int(sizes[own[0]]) if own else 0, min(most, f // n) if n else 0, f - min(most, f // n) * n if n else 0) for (own, pat, n), f in zip(found, flow)]
+    patterns = rows.sparkSession.createDataFrame(made, "pat string, first_source string, pat_size bigint, target double, source_size bigint, passes int, rest bigint")
+    return _pick(rows, patterns, F.broadcast if len(made) <= SMALL else lambda d: d, max((r["k"] for r in sums), default=0))
+
+
+def mix(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", members_col: str | None = None) -> DataFrame:
+    """(id, source.., size, source_size, target, copies, taken) for every document.
+
+    weigh maps the ordered source names to weights. With members_col, an array of sources, a
+    document counts for several sources; source, source_size and target are then its first's.
+    """
+    rows = stash(sized(docs, _members(source_col, members_col), id_col, text_col), "sized")
+    picked = plan(rows, weigh, most, members_col is not None).applied(rows)
+    return picked.select(F.col("id").alias(id_col), F.col("first_source").alias("mix_source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weigh: Callable[[list], dict], most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", members_col: str | None = None) -> DataFrame:
+    """The documents the mix takes, each as often as it takes it; same columns as docs, and no shuffle of texts."""
+    members = _members(source_col, members_col)
+    decided = plan(stash(sized(docs, members, id_col, text_col), "sized"), weigh, most, members_col is not None)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src")
+    taken = decided.applied(sized(docs, members, id_col, text_col, whole)).where("copies > 0")
+    return taken.select("src", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("src.*")
 
 
 def _shared_targets(total: int, sizes: dict, names: list, weigh, most: float) -> dict:
@@ -161,8 +198,8 @@ def _shared_targets(total: int, sizes: dict, names: list, weigh, most: float) ->
     return {s: t * scale for s, t in targets({s: sizes[s] for s in names}, weights, most / max(scale, 1e-9)).items()}
 
 
-def _pick(rows: DataFrame, plans: DataFrame, sent, most_rows: int) -> DataFrame:
-    """Adds `extra`: whether the document is in its pattern's seeded rest; `sent` marks tables of a row a pattern.
+def _pick(rows: DataFrame, plans: DataFrame, sent, most_rows: int) -> Plan:
+    """Which documents are in their pattern's seeded rest; `sent` marks tables of a row a pattern.
 
     First fit in seeded order: a document that is larger than what is open is passed over. Each
     round takes what fits up to the first that does not, for all patterns at once.
@@ -188,13 +225,8 @@ def _pick(rows: DataFrame, plans: DataFrame, sent, most_rows: int) -> DataFrame:
     spans = stash(spans.groupBy("pat").agg(F.collect_list(F.struct("lo", "hi", "most")).alias("spans")), "spans")
     own = rows.select("pat", "h").limit(0) if not left else _nearest(units, spans, spark.createDataFrame(left, STATE), sent)
     own = stash(own.select(F.col("pat").alias("c_pat"), F.col("h").alias("c_h"), F.lit(True).alias("closes")), "closers")
-    same = (F.col("pat") == F.col("c_pat")) & (F.col("h") == F.col("c_h"))
-    # all rows of an id are taken together, so that their size is that of all of them
-    total = rows.join(sent(plans), "pat").join(sent(spans), "pat", "left").join(sent(own), same, "left")
     wide = units.where("k > 1").select(F.col("pat").alias("u_pat"), F.col("h").alias("u_h"), F.col("size").alias("unit"))
-    few = F.broadcast if wide.count() <= SMALL else lambda d: d
-    total = total.join(few(wide), (F.col("pat") == F.col("u_pat")) & (F.col("h") == F.col("u_h")), "left").withColumn("unit", F.coalesce("unit", "size"))
-    return total.withColumn("extra", F.coalesce(_within("unit"), F.lit(False)) | F.coalesce("closes", F.lit(False)))
+    return Plan(plans, spans, own, wide, sent)
 
 
 def _within(size: str):
@@ -232,10 +264,3 @@ def _nearest(units: DataFrame, spans: DataFrame, state: DataFrame, sent) -> Data
 def weigh_in_turn(names: list) -> dict:
     """Weights 1, 2, 3, 1, 2, 3, ... in source order."""
     return {s: i % 3 + 1 for i, s in enumerate(names)}
-
-
-def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents the mix takes, each as often as it takes it; same columns as docs."""
-    chosen = mixed.where("copies > 0").select(F.col(id_col).alias("__mix_id"), F.col("copies").alias("__mix_n")).distinct()
-    out = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return out.withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*docs.columns)

@@ -9,7 +9,8 @@ endpoint.
 
 The join is on (document, bin of SCOPE code points): the parts of each class are first reduced
 to their first and last start in a bin, so a part meets at most three rows of a class and no
-pairs are made, however many parts a text has.
+pairs are made, however many parts a text has. Texts whose parts can't complement each other do
+not enter it.
 
 Positions are code points, ends exclusive; a span is the whole match. Defined results: null
 and empty text has no spans; repeated rows with one id each give a row.
@@ -40,33 +41,80 @@ KINDS = [("assign", 0, "secret"), ("access", 1, "id"), ("hex", 2, "secret"), ("w
 BASE = ("assign", "access", "hex")
 
 
+#: Parts whose running sums are folded together; a fold copies what it has at each step.
+RUN = 256
+#: Code points of a text that are cut together.
+CHUNK = 1024
+#: Encloses matches. Texts that hold it are searched with STAND_IN in its place, which no pattern tells from it.
+MARKER, STAND_IN = "\x01", "\x02"
+_SPANS = "array<struct<s:int,e:int>>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _positions(parts: Column) -> Column:
+    """Places of the wanted ones of array<struct<n, ok>> parts that lie end to end: running sums in blocks of RUN."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["n"]
+        return F.struct(end.alias("at"), F.when(x["ok"], F.array_append(acc["out"], F.struct(acc["at"].alias("s"), end.alias("e")))).otherwise(acc["out"]).alias("out"))
+
+    def moved(block: Column, base: Column) -> Column:
+        return F.transform(block["out"], lambda x: F.struct((x["s"] + base).alias("s"), (x["e"] + base).alias("e")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(parts, k * RUN + 1, F.lit(RUN)), start, step))
+
+    def based(found: Column) -> Column:
+        bases = F.aggregate(found, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + b["at"]))
+        return F.flatten(F.zip_with(found, F.slice(bases, F.lit(1), F.size(found)), moved))
+
+    return _let(blocks, based)
+
+
 def spans(text: Column, pattern: str, good=None) -> Column:
     """array<struct<s, e>> of the leftmost non-overlapping matches, without those that `good` refuses.
 
-    The text between matches (split) and the matches themselves give the positions by running sums.
+    One pass of the pattern encloses the matches in MARKER; the parts between markers are then
+    a gap, a match, a gap and so on. The time is in proportion to the text and its matches.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), (good(m) if good else F.lit(True)).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARKER}$0{MARKER}")), MARKER, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        return F.struct((s + x["n"]).alias("at"), F.when(x["ok"], F.array_append(acc["out"], F.struct(s.alias("s"), (s + x["n"]).alias("e")))).otherwise(acc["out"]).alias("out"))
+    def found(p: Column) -> Column:
+        parts = F.transform(p, lambda x, i: F.struct(F.length(x).alias("n"), ((i % 2 == 1) & (good(x) if good else F.lit(True))).alias("ok")))
+        return F.when(F.size(p) > 1, _let(parts, _positions)).otherwise(F.array().cast(_SPANS))
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    return _let(pieces, found)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, one array of spans for each kind) of every whole text; no shuffle."""
+def _scanned(docs: DataFrame, text_col: str, *kept: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.when(F.contains(text, F.lit(MARKER)), F.translate(text, MARKER, STAND_IN)).otherwise(text)
     patterns = {
         "assign": spans(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_ASSIGN),
         "access": spans(text, ACCESS, lambda m: F.length(m) >= MIN_ACCESS),
         "hex": spans(text, HEX),
         "weak_id": spans(text, WEAK_ID), "weak_secret": spans(text, WEAK_SECRET), "endpoint": spans(text, ENDPOINT),
     }
-    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in patterns.items()])
+    return docs.select(*kept, F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in patterns.items()])
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, one array of spans for each kind) of every whole text; no shuffle."""
+    return _scanned(docs, text_col, F.col(id_col).alias("id"))
+
+
+def _some(kinds) -> Column:
+    return sum((F.size(k) for k in kinds[1:]), F.size(kinds[0])) > 0
+
+
+def _linkable() -> Column:
+    """Whether a scanned text has weak candidates and parts that complement each other at all."""
+    secret, other = [k for k, _, c in KINDS if c == "secret"], [k for k, _, c in KINDS if c != "secret"]
+    return _some(secret) & _some(other) & _some([k for k, _, _ in KINDS if k not in BASE])
 
 
 def _as_part(kind: str, order: int, part: str):
@@ -80,8 +128,7 @@ def _as_found(kind: str, order: int):
 def link(scanned: DataFrame) -> DataFrame:
     """(row, weak): the weak spans that have a complementary part in their scope."""
     kinds = F.array(*[F.transform(F.col(k), _as_part(k, o, c)) for k, o, c in KINDS])
-    any_weak = F.size("weak_id") + F.size("weak_secret") + F.size("endpoint") > 0
-    parts = scanned.where(any_weak).select("row", F.explode(F.flatten(kinds)).alias("p")).select("row", "p.*").withColumn("bin", F.floor(F.col("s") / SCOPE))
+    parts = scanned.where(_linkable()).select("row", F.explode(F.flatten(kinds)).alias("p")).select("row", "p.*").withColumn("bin", F.floor(F.col("s") / SCOPE))
     # of each class in a bin only the first and the last start can be the nearest to another bin
     seen = parts.withColumn("wants", F.when(F.col("part") == "secret", F.array(F.lit("id"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret"))))
     ends = parts.groupBy("row", "part", "bin").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
@@ -92,14 +139,22 @@ def link(scanned: DataFrame) -> DataFrame:
     return linked.groupBy("row").agg(F.collect_set(F.struct("s", "o", "e", "kind")).alias("weak"))
 
 
+_FOUND = "array<struct<s:int,o:int,e:int,kind:string>>"
+
+
+def _base() -> Column:
+    return F.flatten(F.array(*[F.transform(F.col(k), _as_found(k, o)) for k, o, _ in KINDS if k in BASE]))
+
+
+def _all_found() -> Column:
+    return F.array_sort(F.concat(_base(), F.coalesce("weak", F.array().cast(_FOUND))))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, found): every document's spans as array<struct<s, o, e, kind>> by start, then kind."""
     scanned = stash(scan(docs, id_col, text_col), "scanned")
-    weak = link(scanned)
-    base = F.flatten(F.array(*[F.transform(F.col(k), _as_found(k, o)) for k, o, _ in KINDS if k in BASE]))
-    rows = scanned.select("id", "row", base.alias("base")).join(weak, "row", "left")
-    none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
-    return rows.select(F.col("id").alias(id_col), "row", F.array_sort(F.concat("base", F.coalesce("weak", none))).alias("found"))
+    rows = scanned.join(link(scanned), "row", "left")
+    return rows.select(F.col("id").alias(id_col), "row", _all_found().alias("found"))
 
 
 def joined(found: Column) -> Column:
@@ -115,21 +170,47 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[redacted]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every found span of the text replaced by `mark`; same columns and rows.
 
-    Overlapping spans are merged. Texts without spans pass unchanged. Ids may repeat: equal
-    (id, text) rows have equal spans, and are redacted alike.
+    Overlapping spans are merged. Texts without spans pass unchanged. The spans stay beside
+    their text: only texts with complementary parts meet the links in a join.
     """
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    hit = find(docs.withColumn("__key", F.struct(F.col(id_col).alias("i"), key.alias("k"))), "__key", text_col).where(F.size("found") > 0)
-    hit = hit.groupBy(F.col("__key").alias("__hit")).agg(F.first("found").alias("__found"))
-    # both parts of the key as plain columns; a null id equals a null id
-    out = docs.withColumn("__k", key).join(hit.select(F.col("__hit.i").alias("__i"), F.col("__hit.k").alias("__hk"), "__found"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__hk")), "left")
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    scanned = stash(_scanned(docs, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src")), "scanned")
+    alone = scanned.where(~_linkable()).select("src", F.array_sort(_base()).alias("found"))
+    met = scanned.where(_linkable()).join(link(scanned), "row", "left").select("src", _all_found().alias("found"))
+    text = F.col("src")[text_col]
+    clean = F.when(F.size("found") > 0, _without(text, F.col("found"), mark)).otherwise(text)
+    return alone.union(met).select(*[clean.alias(c) if c == text_col else F.col("src")[c].alias(c) for c in docs.columns])
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        more = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    cut = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.col("__found").isNull(), text).otherwise(cut)).select(*docs.columns)
+def _without(text: Column, found: Column, mark: str) -> Column:
+    """text with each found span replaced by mark, in pieces of CHUNK code points: in proportion to text and spans."""
+    chunk = lambda at: F.floor(at / CHUNK).cast("int")
+
+    def parted(x: Column) -> Column:  # a span as its parts in chunks; the first is its head
+        def part(k: Column) -> Column:
+            return F.struct(k.alias("c"), (F.greatest(x["s"], k * CHUNK) - k * CHUNK).alias("s"), (k == chunk(x["s"])).alias("head"), (F.least(x["e"], (k + 1) * CHUNK) - k * CHUNK).alias("e"))
+
+        return F.transform(F.sequence(chunk(x["s"]), chunk(x["e"] - 1)), part)
+
+    def grouped(parts: Column) -> Column:  # chunk -> its parts, which adjoin in their order
+        numbered = F.transform(parts, lambda x, i: F.struct(x["c"].alias("c"), i.alias("i"), F.coalesce(F.get(parts, i - 1)["c"] != x["c"], F.lit(True)).alias("first")))
+
+        def entries(heads: Column) -> Column:
+            def entry(h: Column, j: Column) -> Column:
+                return F.struct(h["c"].alias("c"), F.slice(parts, h["i"] + 1, F.coalesce(F.get(heads, j + 1)["i"], F.size(parts)) - h["i"]).alias("own"))
+
+            return F.map_from_entries(F.transform(heads, entry))
+
+        return _let(F.filter(numbered, lambda x: x["first"]), entries)
+
+    by_chunk = _let(F.array_sort(F.flatten(F.transform(found, parted))), grouped)
+
+    def cut(piece: Column, own: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            more = F.concat(F.substring(piece, acc["at"] + 1, x["s"] - acc["at"]), F.when(x["head"], F.lit(mark)).otherwise(F.lit("")))
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], more)).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array(F.lit("")).alias("out"))
+        return F.aggregate(own, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(piece, acc["at"] + 1, F.lit(CHUNK))))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return _let(by_chunk, lambda m: F.array_join(F.transform(pieces, lambda p, k: F.coalesce(cut(p, m[k]), p)), ""))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymesh.llm import bpe, jaccard, langid, mixing, secrets
-from waymesh.llm._shared import stash, table
+from waymesh.llm._shared import stash, table, without_ids
 from waymesh.llm.queries import VOCABULARY
 
 
@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.components(docs.where(F.col("doc_id").isNotNull()))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return without_ids(docs, gone, "doc_id")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_rows(docs, mixing.mix(docs, mixing.weigh_in_turn))
+    return mixing.mixed_rows(docs, mixing.weigh_in_turn)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

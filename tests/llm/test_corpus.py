@@ -68,6 +68,70 @@ def test_language_id(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def syllables(rng, kind, n):
+    """Invented prose of one of three languages with letters in common."""
+    parts = {"aa": "an the ing ter ble wh ou sh".split(), "bb": "chen ung pf keit ber ge ö ü".split(), "cc": "ción lla qu ez rr os í ñ".split()}[kind]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def languages(spark):
+    rng = random.Random(21)
+    rows = [(i, syllables(rng, k, rng.randrange(3, 60)), k) for i, k in enumerate(["aa", "bb", "cc"] * 200)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string").cache()
+
+
+def test_language_scores_are_calibrated(languages):
+    model = langid.fit(languages.where(langid.in_training()))
+    got = langid.predict(languages, model).join(languages.select("doc_id", "lang"), "doc_id").where(langid.held_out()).collect()
+    assert len(got) > 100 and not any(r["rejected"] for r in got)
+    right = np.array([r["lang"] == r["lang_pred"] for r in got])
+    score = np.array([r["score"] for r in got])
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(right[bins == b].mean() - score[bins == b].mean()) * np.mean(bins == b) for b in set(bins))
+    assert right.mean() > 0.98 and error < 0.03
+
+
+@pytest.mark.parametrize("text", ["Η γρήγορη καφέ αλεπού πηδά πάνω", "สุนัขจิ้งจอกสีน้ำตาลกระโดด", "A gyors barna róka átugrik a lusta kutya fölött", "qzxv wkjt dfgh mnbv", "быстрая лиса прыгает через собаку"])
+def test_language_rejects_what_it_has_not_learned(languages, text):
+    model = langid.fit(languages.where(langid.in_training()))
+    names, score, rejected, unseen = model.predict([text, text * 50])
+    assert rejected.all() and set(names) <= {"aa", "bb", "cc"} and ((0 <= score) & (score <= 1)).all()
+    assert (unseen > model.unseen_most).all()
+
+
+def test_language_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    emb, out, bias = rng.normal(size=(12, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    rows = [(np.array([0, 3, 5]), np.array([1.0, 2.0, 1.0])), (np.array([3, 7]), np.array([4.0, 1.0])), (np.array([11]), np.array([2.0]))]
+    y = np.array([2, 0, 1])
+
+    def loss():
+        total = 0
+        for (b, c), k in zip(rows, y):
+            z = (emb[b] * (c / c.sum())[:, None]).sum(0) @ out + bias
+            total += np.log(np.exp(z).sum()) - z[k]
+        return total / len(rows)
+
+    idx, of_emb, of_out, of_bias = langid.gradients(emb, out, bias, rows, y)
+    whole = np.zeros_like(emb)
+    whole[idx] = of_emb
+    for array, got in ((emb, whole), (out, of_out), (bias, of_bias)):
+        for at in np.ndindex(array.shape):
+            kept = array[at]
+            array[at] = kept + 1e-6
+            up = loss()
+            array[at] = kept - 1e-6
+            slope = (up - loss()) / 2e-6
+            array[at] = kept
+            assert slope == pytest.approx(got[at], abs=1e-6)
+
+
+def test_language_null_id_is_not_held_out(spark, docs):
+    row = docs.select(langid.held_out().alias("h"), langid.in_training().alias("t"), "doc_id").where("doc_id is null").first()
+    assert (row["h"], row["t"]) == (False, False)
+
+
 def test_byte_bpe(docs, empty):
     path = tokens.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

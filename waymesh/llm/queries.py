@@ -16,7 +16,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.in_training()))
-    return langid.predict(docs, model).withColumn("held_out", ~langid.in_training()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected", "unseen")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,64 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert got == want
 
 
+def shingles(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def near_sets():
+    """Families that share a passage, each with near copies and with one text in very many copies."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for family in range(14):
+        own = passage + [f"f{family}-{k}" for k in range(12 + family % 3)]
+        for _ in range(6):
+            words = list(own)
+            words[rng.randrange(30, len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+        rows += [" ".join(own)] * (60 if family == 3 else 1)
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("batch", [2, 3, 50, 10_000])
+def test_jaccard_in_any_batches(spark, monkeypatch, batch):
+    """Runs far longer than RUN, cut by batches anywhere, of which one set comes from many tasks."""
+    monkeypatch.setattr(jaccard, "RUN", 4)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = near_sets()
+    s = {i: shingles(t.split()) for i, t in rows}
+    want = components(s, lambda a, b: 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]))
+    spark.conf.set(key, batch)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == want
+
+
+def test_jaccard_long_run_over_a_batch(spark):
+    """A run of one shingle whose tail is copies of one set from many tasks stays long in the next batch."""
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(k, 100, 7) for k in range(300)] + [(1000, 101, 7)] * 40 + [(1001, 102, 7)]
+    found = []
+    for batch in (10_000, 340):
+        spark.conf.set(key, batch)
+        try:
+            df = spark.createDataFrame(rows, "f1 bigint, n bigint, key bigint").selectExpr("f1", "n", "array(key) AS keys")
+            found.append(sorted(map(tuple, jaccard._candidates(df).collect())))
+        finally:
+            spark.conf.set(key, before)
+    assert found[0] == found[1] and len(found[0]) == 301 and (1000, 1001) in found[0]
+
+
+def test_jaccard_one_id_with_two_texts(spark):
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    rows = [(5, a), (5, b), (3, a[:-1] + ["z"]), (4, b[:-1] + ["z"]), (9, a), (5, a), (6, [])]
+    got = jaccard.components(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted([(5, 26, 3), (5, 26, 4), (3, 26, 3), (4, 26, 4), (9, 26, 3), (5, 26, 3), (6, 0, 6)])
+
+
 def test_signature_tree_finds_all_links():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 1 << 62, 30).astype(np.uint64)) for _ in range(6)]

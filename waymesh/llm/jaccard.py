@@ -7,8 +7,9 @@ without words, empty and linked with nothing), as 64-bit hashes. Two documents l
 1. Equal sets are one class with one representative; only representatives go on.
 2. A lossless partition: two sets that link share m of the first n - ceil(3n/4) + m shingles
    of each in any common order; m is a tenth of the smaller set. The order puts shingles with
-   small counts in a fixed-size count sketch first, so that shared passages come last and
-   rarely meet. Pairs that share enough of them, and neighbours by size where very many sets
+   small counts in a sketch first, so that shared passages come last and rarely meet. The
+   sketch grows with the number of documents up to 64 MB; what it tells decides the order,
+   never the result. Pairs that share enough of them, and neighbours by size where very many sets
    share one, make the edges of groups.
 3. In a group, a signature tree: leaves and inner nodes hold the OR of their sets' bitmaps and
    their size range. A dual traversal compares node pairs and prunes those whose greatest
@@ -19,10 +20,11 @@ without words, empty and linked with nothing), as 64-bit hashes. Two documents l
    are all in one component are pruned too: they cannot add a component.
 
 Nothing is capped: an unpruned pair is compared, in some block pair's task. No task gets more
-than two blocks. What reaches the driver are counts of rounds and the sketch of fixed size.
+than two blocks. What reaches the driver are counts of rounds and the sketch of bounded size.
 
-Defined results: null text has no words; rows with one id and one set are one document; a
-document without an id has the component id of its equals, else none.
+Defined results: null text has no words; rows with one id and one set are one document; where
+an id has several texts, each row has the component of its own text; a document without an id
+has the component id of its equals, else none, and links no others.
 """
 from __future__ import annotations
 
@@ -41,8 +43,8 @@ from ._shared import Forest, connected, free_shuffles, lean, slices, small_batch
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Slots of the count sketch that orders shingles: fixed, whatever the corpus.
-SLOTS = 1 << 23
+#: Slots of the count sketch for each document, fewest and most; a slot is a byte once counted.
+SLOTS_EACH, FEWEST_SLOTS, MOST_SLOTS = 32, 1 << 18, 1 << 26
 #: Longest run of one shingle whose pairs are counted.
 RUN = 32
 #: Documents of a block of a large group.
@@ -84,42 +86,55 @@ def margin(n):
     return np.maximum(1, n // 10)
 
 
+def _slots(documents: int) -> int:
+    """Slots of the sketch, a power of two."""
+    return min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (SLOTS_EACH * documents).bit_length()))
+
+
 def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How many (document, shingle) pairs fall in each slot, over all documents."""
+    """About 8 log2 of how many (document, shingle) pairs fall in each slot, over all documents."""
     parts = 256
-    width = SLOTS // parts
+    slots = _slots(docs.count())
+    width = slots // parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
             data, starts, ends = strings(batch.column(0))
             for i, j in slices(starts, ends):
                 keys, _ = shingle_sets(data, starts[i:j], ends[i:j])
-                slot, n = np.unique((keys & U(SLOTS - 1)).astype(np.int64), return_counts=True)
+                slot, n = np.unique((keys & U(slots - 1)).astype(np.int64), return_counts=True)
                 counts[slot] += n.astype(np.uint32)
-        if counts.any():
-            packed = [zlib.compress(counts[p * width : (p + 1) * width].tobytes(), 1) for p in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+        for p in range(parts):
+            own = counts[p * width : (p + 1) * width]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}  # a few parts of fixed width in a task, however many rows stream by
+        totals: dict[int, np.ndarray] = {}  # a few parts of bounded width in a task, however many rows stream by
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total = totals.setdefault(part, np.zeros(width, np.uint64))
                 total += np.frombuffer(zlib.decompress(raw), np.uint32)
-        packed = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for x in totals.values()]
+        packed = [zlib.compress(np.minimum(8 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes(), 1) for x in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
-    out = np.zeros(SLOTS, np.uint32)
+    out = np.zeros(slots, np.uint8)
     got = docs.select(text_col).mapInArrow(lean(run), "part int, counts binary").repartition("part").mapInArrow(lean(add), "part int, counts binary")
     for r in got.collect():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
 
+def fingerprints(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit sum over each row's mixed shingles; two sets have the same with a chance of about 2^-64."""
+    mixed = np.r_[np.zeros(1, np.uint64), np.cumsum(_words.mix(keys ^ U(0x9E3779B97F4A7C15)))]
+    return _words.mix(mixed[at[1:]] - mixed[at[:-1]]).astype(np.int64)
+
+
 def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f1, f2, keys): set size, 128-bit fingerprint of the set, and its prefix shingles."""
-    counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text_col))  # SLOTS counters, fixed size
+    """(id, n, f1, keys): set size, 64-bit fingerprint of the set, and its prefix shingles."""
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text_col))  # MOST_SLOTS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_counts = counts.value
@@ -130,28 +145,25 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys, at = shingle_sets(data, starts[i:j], ends[i:j])
                 n = np.diff(at)
                 owner = np.repeat(np.arange(j - i), n)
-                rank = slot_counts[(keys & U(SLOTS - 1)).astype(np.int64)]
+                rank = slot_counts[(keys & U(len(slot_counts) - 1)).astype(np.int64)]
                 order = np.lexsort((keys, rank, owner))
                 place = np.arange(len(keys)) - at[owner]
-                sums = []
-                for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                    mixed = np.r_[np.zeros(1, np.uint64), np.cumsum(_words.mix(keys ^ U(salt)))]
-                    sums.append((mixed[at[1:]] - mixed[at[:-1]]).astype(np.int64))
+                sums = fingerprints(keys, at)
                 # equal sets of one task send their prefix once
                 again = np.zeros(j - i, np.bool_)
-                for k, f in enumerate(sums[0].tolist()):
+                for k, f in enumerate(sums.tolist()):
                     again[k] = f in met
                     met.add(f)
                 first = (place < (n - needed(n) + margin(n))[owner]) & ~again[owner]
                 prefix = keys[order][first].astype(np.int64)
                 offsets = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=j - i))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
-                    names=["id", "n", "f1", "f2", "keys"],
+                    [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(sums), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
+                    names=["id", "n", "f1", "keys"],
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col)
-    return rows.mapInArrow(lean(run), "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    return rows.mapInArrow(lean(run), "id bigint, n bigint, f1 bigint, keys array<bigint>")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -165,11 +177,12 @@ def _candidates(rows: DataFrame) -> DataFrame:
     dealt = keyed.repartition("key").sortWithinPartitions("key", "n", "f1")
     whole = 1 << 20  # the weight of an edge that needs no count
 
-    def edges(key: np.ndarray, n: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        same = np.r_[False, (key[1:] == key[:-1]) & (f[1:] == f[:-1])]  # equal sets of several tasks
-        key, n, f = key[~same], n[~same], f[~same]
+    def edges(key: np.ndarray, n: np.ndarray, f: np.ndarray, first_long: bool) -> pa.RecordBatch:
         new = np.r_[True, key[1:] != key[:-1]]
-        size = np.diff(np.r_[np.flatnonzero(new), len(key)])[np.cumsum(new) - 1]
+        size = np.diff(np.r_[np.flatnonzero(new), len(key)])
+        if first_long:  # the rest of a long run
+            size[0] = RUN + 1
+        size = size[np.cumsum(new) - 1]
         found = []
         for step in range(1, RUN):
             if len(key) <= step:
@@ -189,30 +202,31 @@ def _candidates(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(got[head, 0]), pa.array(got[head, 1]), pa.array(weight), pa.array(got[head, 3])], names=["a", "b", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held, long = [np.zeros(0, np.int64)] * 3, False  # of the run that goes on: its rows, or its last where it is long
         for batch in batches:
             key, n, f = (np.concatenate([h, np.asarray(batch.column(c))]) for h, c in zip(held, ("key", "n", "f1")))
             if not len(key):
                 continue
+            once = np.r_[True, (key[1:] != key[:-1]) | (f[1:] != f[:-1])]  # equal sets come from several tasks
+            key, n, f = key[once], n[once], f[once]
             last = int(np.searchsorted(key, key[-1]))
-            if len(key) - last > 4 * RUN and last == 0:
-                # one long run: it stays long, so its tail alone stands for it
-                yield edges(key, n, f)
-                cut = len(key) - RUN - 1
-            else:
-                if last:
-                    yield edges(key[:last], n[:last], f[:last])
-                cut = last
+            goes_on = len(key) - last > RUN or (long and last == 0)
+            cut = len(key) if goes_on else last
+            if cut:
+                yield edges(key[:cut], n[:cut], f[:cut], long)
+                long = False
+            if goes_on:
+                cut, long = len(key) - 1, True
             held = [key[cut:], n[cut:], f[cut:]]
         if len(held[0]):
-            yield edges(*held)
+            yield edges(*held, long)
 
     counted = dealt.mapInArrow(lean(run), "a bigint, b bigint, w bigint, n bigint").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
     return counted.where(F.col("w") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).select("a", "b")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted's rows (id, ...) with `words`: the document's sorted shingles as bytes."""
+    """wanted's rows (id, f1, ...) with `words`: the sorted shingles, as bytes, of that id's text with that fingerprint."""
     spark = docs.sparkSession
     # a bitmap of fixed size keeps most other texts from the shuffle; the join itself is exact
     bits = 1 << 23
@@ -235,10 +249,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             for i, j in slices(starts, ends):
                 keys, first = shingle_sets(data, starts[i:j], ends[i:j])
                 raw = [keys[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(raw, pa.binary())], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fingerprints(keys, first)), pa.array(raw, pa.binary())], names=["id", "f1", "words"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).withColumn("bit", hashed)
-    return wanted.join(rows.mapInArrow(lean(run), "id bigint, words binary"), "id")
+    return wanted.join(rows.mapInArrow(lean(run), "id bigint, f1 bigint, words binary"), ["id", "f1"])
 
 
 class SignatureTree:
@@ -402,21 +416,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     keyed = stash(_with_keys(small_batches(docs), id_col, text_col), "prefixes")
     edges = stash(_candidates(keyed.where("n > 0")), "candidates")
-    rows = stash(keyed.select("id", "n", "f1", "f2"), "fingerprints")
+    rows = stash(keyed.select("id", "n", "f1"), "fingerprints")
     unstash(keyed)
     free_shuffles(spark)
     groups = connected(spark, edges, "grouped")
     unstash(edges)
-    reps = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
-    wanted = reps.join(groups, F.col("f1") == F.col("node")).select("id", F.col("label").alias("gid"))
-    wanted = stash(wanted, "wanted")
-    sets = stash(_sets_of(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
+    reps = rows.where("n > 0 and id is not null").groupBy("f1").agg(F.min("id").alias("id"))
+    wanted = stash(reps.join(groups, F.col("f1") == F.col("node")).select("id", "f1", F.col("label").alias("gid")), "wanted")
+    # a set is named by its fingerprint: an id can have several
+    sets = _sets_of(docs, wanted, id_col, text_col).dropDuplicates(["f1"]).select("gid", F.col("f1").alias("id"), "words")
+    sets = stash(sets, "sets")
     free_shuffles(spark)
-    links = _tree_join(spark, sets.select("gid", "id", "words"))
+    links = _tree_join(spark, sets)
     unstash(sets)
     labels = connected(spark, links, "components")
-    low = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    low = low.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("low"))
-    low = stash(low, "lows")  # a table of its own, so that a set with very many copies is a join that Spark can split
-    out = rows.select("id", "n", "f1", "f2").join(low, ["f1", "f2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    known = reps.join(labels.select(F.col("node").alias("f1"), "label"), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
+    known = stash(known, "known")
+    low = known.groupBy("label").agg(F.min("id").alias("low"))
+    low = stash(known.join(low, "label").select("f1", "low"), "lows")  # a table of its own, so that a set with very many copies is a join that Spark can split
+    some = rows.where("n > 0").join(low, "f1", "left").select("id", "n", F.coalesce("low", "id").alias("component_id"))
+    out = some.union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

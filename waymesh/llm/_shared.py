@@ -75,7 +75,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 #: Most bytes of an Arrow batch between the JVM and Python, on both sides of which it is held.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from ._shared import lean, small_batches
 
-#: Pieces in a generation, and token pairs, that a worker remembers.
-REMEMBERED = 600_000
+#: Pieces in a generation, and token pairs, that a task remembers.
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 500_000
 #: Pieces longer than this are encoded each time.
 LONGEST_REMEMBERED = 64
 
@@ -43,7 +43,7 @@ class Vocabulary:
             self.bytes_of[rank] = token
         self.sizes = list(map(len, self.bytes_of))
         self.longest = max(self.sizes)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left + 1 and right in one number
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging, lowest rank first; only ever used on two joined tokens."""
@@ -65,16 +65,16 @@ class Vocabulary:
 
         left is -1 at the start of a piece: a token that merging never makes can't stand there.
         """
-        known = self._pairs.get((left, right))
+        pair = left + 1 << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) >= REMEMBERED:
+            if len(self._pairs) >= REMEMBERED_PAIRS:
                 self._pairs.clear()
             first = self.bytes_of[left] if left >= 0 else b""
             known = self.merged(first + self.bytes_of[right]) == ([left, right] if left >= 0 else [right])
-            self._pairs[left, right] = known
+            self._pairs[pair] = known
         return known
 
-
     def extend(self, piece: bytes, last: list[int]) -> None:
         """Put the last token of each prefix of `piece` beyond len(last) into `last`."""
         find, known, longest = self.ranks.get, self._pairs.get, self.longest
@@ -85,7 +85,7 @@ class Vocabulary:
                 if token is None:
                     continue
                 before = last[start - 1] if start else -1
-                good = known((before, token))
+                good = known(before + 1 << 32 | token)
                 if good or good is None and self.neighbours(before, token):
                     last.append(token)
                     break
@@ -217,14 +217,11 @@ class OpenText:
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit integers")
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for a worker process."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    """A task's encoder. It takes a tenth of a second to make, and goes with its task: workers live on."""
+    return Encoder(path, pattern)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -139,7 +139,7 @@ class Model:
         i = 0
         while i < n:  # a bounded number of characters at a time; one text may be longer
             j, size = i, 0
-            while j < n and (j == i or size + len(texts[j] or "") <= 1 << 19):
+            while j < n and (j == i or size + len(texts[j] or "") <= 1 << 18):
                 size += len(texts[j] or "")
                 j += 1
             self._add([t or "" for t in texts[i:j]], sums[i:j], counts[i:j], others[i:j])

@@ -328,6 +328,24 @@ def test_suffix_dedup_many_boundaries(spark, monkeypatch):
         assert got == want
 
 
+def test_suffix_dedup_one_id_with_several_texts(spark):
+    """Texts of one id are documents of their own, in the order of their SHA-256."""
+    rng = random.Random(13)
+    p, q, r = ("".join(rng.choice("abcdefgh é") for _ in range(110)) for _ in range(3))
+    rows = [(1, p), (2, q + p), (2, q[:50]), (2, r + q), (3, r), (3, q + p), (2, q + p), (0, "short"), (None, p)]
+    order = sorted({x for x in rows if x[0] is not None}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).hexdigest()))
+    want = removed(dict(enumerate(t for _, t in order)))
+    want = {row: want[k] for k, row in enumerate(order)} | {rows[-1]: (len(p.encode()), 0, 0, hashlib.sha256(p.encode()).hexdigest())}
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((str(x[0]), *want[x]) for x in rows)
+
+
+def test_equal_bytes():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    got = substrings._equal_bytes(data, np.array([0, 0, 0, 6]), np.array([3, 6, 3, 0]), np.array([3, 3, 2, 3]))
+    assert got.tolist() == [False, True, True, True]
+
+
 def test_suffix_sort_orders_suffixes():
     rng = np.random.default_rng(2)
     buffer = rng.integers(97, 99, 700).astype(np.uint8)

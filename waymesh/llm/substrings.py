@@ -20,9 +20,14 @@ document with a smaller id, or earlier in the same one). Strings are judged on t
 No step gathers an unbounded group: runs are streamed in sorted order, blocks are bounded, and
 copies of a text are dropped in their batch and have a rule of their own.
 
+A match of whole contexts in a batch, and every match of the sort, is compared byte by byte;
+contexts of several tasks match by 128 bits of hash (anchor and context), windows of several
+blocks likewise, and whole texts by SHA-256.
+
 Defined results: null text is empty; texts under LENGTH bytes keep all; rows with equal ids and
-equal texts are one document; of equal texts all but the smallest id's are removed whole; a
-document without an id keeps all and is no earlier document.
+equal texts are one document; several texts of one id are documents of their own, in the order
+of their SHA-256 (2^22 of one id at most); of equal texts all but the smallest id's are removed
+whole; a document without an id keeps all and is no earlier document.
 """
 from __future__ import annotations
 
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words
@@ -107,29 +112,48 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_FOUND = "kind int, key bigint, doc bigint, lo bigint, size int, place int"
+_FOUND = "kind int, key bigint, win bigint, doc bigint, lo bigint, size int, place int"
 
 
-def _found(kind: int, key, doc, lo, size, place) -> pa.RecordBatch:
+def _found(kind: int, key, doc, lo, size, place, win=None) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(key).astype(np.int64)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(lo, np.int64)), pa.array(np.asarray(size).astype(np.int32)), pa.array(np.asarray(place).astype(np.int32))], names=["kind", "key", "doc", "lo", "size", "place"])
+    win = np.zeros(n, np.int64) if win is None else win.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(key).astype(np.int64)), pa.array(win), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(lo, np.int64)), pa.array(np.asarray(size).astype(np.int32)), pa.array(np.asarray(place).astype(np.int32))], names=["kind", "key", "win", "doc", "lo", "size", "place"])
 
 
 MARK, CONTEXT = 0, 1
+#: A place in a document is `lo`: which of its id's texts it is in, and the byte's offset there.
+OFFSET_BITS = 40
+OFFSETS = (1 << OFFSET_BITS) - 1
+
+
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are equal, for each element."""
+    out = np.ones(len(a), np.bool_)
+    span = np.arange(int(size.max()) if len(size) else 0)
+    for i in range(0, len(a), 1 << 13):
+        j = slice(i, i + (1 << 13))
+        inside = span < size[j][:, None]
+        at = np.where(inside, span, 0)
+        out[j] = ((data[a[j][:, None] + at] == data[b[j][:, None] + at]) | ~inside).all(1)
+    return out
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Contexts that are first in their batch, and marks for those that repeat in it; (kind, key, ctx, doc, lo)."""
+    """Contexts of (doc, raw, alt) that are first in their batch, and marks for those that repeat in it.
+
+    (key, ctx, tag, doc, lo): tag holds kind, size and the anchor's place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smallest: dict[bytes, int] = {}
         for batch in batches:
             data, starts, ends = strings(batch.column(1))
-            ids = np.asarray(batch.column(0))
+            ids, alt = np.asarray(batch.column(0)), np.asarray(batch.column(2)).astype(np.int64)
             for i, j in slices(starts, ends, STRETCH):  # bounds the arrays of contexts
-                yield stretch(smallest, data, starts[i:j], ends[i:j], ids[i:j])
+                yield stretch(smallest, data, starts[i:j], ends[i:j], ids[i:j], alt[i:j] << OFFSET_BITS)
 
-    def stretch(smallest: dict[bytes, int], data, starts, ends, ids) -> pa.RecordBatch:
+    def stretch(smallest: dict[bytes, int], data, starts, ends, ids, base) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
         live = []
         for r in order:  # a text met before in this task with a smaller id goes no further
@@ -141,20 +165,23 @@ def _scan(docs: DataFrame) -> DataFrame:
                 live.append(r)
         keep = np.zeros(len(ids), np.bool_)
         keep[live] = True
-        ends = np.where(keep, ends, starts)
-        key, ctx, row, lo, size, place = contexts_kept(data, starts, ends, keep)
-        doc = ids[row]
-        packed = ((ctx >> U(16)) << U(16)) | (size.astype(np.uint64) << U(8)) | place.astype(np.uint64)
-        order = np.lexsort((lo, doc, packed, key))
-        key, packed, doc, lo = key[order], packed[order], doc[order], lo[order]
+        key, ctx, row, lo, size, place = contexts_kept(data, starts, np.where(keep, ends, starts), keep)
+        doc, at = ids[row], starts[row] + lo
+        lo = base[row] + lo
+        order = np.lexsort((lo, doc, size, place, ctx, key))
+        key, ctx, doc, lo, at, size, place = (x[order] for x in (key, ctx, doc, lo, at, size, place))
         again = np.zeros(len(key), np.bool_)
-        again[1:] = (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])
-        kind = np.where(again, MARK, CONTEXT).astype(np.int32)
+        again[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (size[1:] == size[:-1]) & (place[1:] == place[:-1])
+        hit = np.flatnonzero(again)
+        for k in hit[~_equal_bytes(data, at[hit], at[hit - 1], size[hit])]:  # collisions get another hash
+            again[k] = False
+            ctx[k] = np.frombuffer(hashlib.blake2b(data[at[k] : at[k] + size[k]], digest_size=8).digest(), np.uint64)[0]
+        tag = (np.where(again, MARK, CONTEXT) << 16 | size << 8 | place).astype(np.int32)
         # a mark has no use for its anchor any more; under a key of its own it burdens no run
         key = np.where(again, _words.mix(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + lo.astype(np.uint64)), key)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(doc), pa.array(lo)], names=["kind", "key", "ctx", "doc", "lo"])
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ctx.astype(np.int64)), pa.array(tag), pa.array(doc), pa.array(lo)], names=["key", "ctx", "tag", "doc", "lo"])
 
-    return docs.mapInArrow(lean(run), "kind int, key bigint, ctx bigint, doc bigint, lo bigint")
+    return docs.select("doc", "raw", "alt").mapInArrow(lean(run), "key bigint, ctx bigint, tag int, doc bigint, lo bigint")
 
 
 def contexts_kept(data, starts, ends, keep):
@@ -176,33 +203,33 @@ def contexts_kept(data, starts, ends, keep):
 
 def _resolve(scanned: DataFrame) -> DataFrame:
     """Runs of each anchor in sorted order: repeats of whole contexts become marks; anchors with several contexts stay."""
-    dealt = scanned.select("key", "ctx", "doc", "lo", "kind").repartition("key").sortWithinPartitions("key", "ctx", "doc", "lo")
+    dealt = scanned.repartition("key").sortWithinPartitions("key", "ctx", "tag", "doc", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (key, ctx, doc, lo) of the last row
+        before = None  # (key, ctx, tag, doc, lo) of the last row
         waiting = None  # the only context so far of the last key
         for batch in batches:
-            key, ctx, doc, lo, kind = (np.asarray(batch.column(c)) for c in range(5))
-            if (m := kind == MARK).any():  # of the batch they come from; they only pass through
-                yield _found(MARK, key[m], doc[m], lo[m], (ctx[m] >> 8) & 0xFF, ctx[m] & 0xFF)
-                key, ctx, doc, lo = key[~m], ctx[~m], doc[~m], lo[~m]
+            key, ctx, tag, doc, lo = (np.asarray(batch.column(c)) for c in range(5))
+            if (m := tag >> 16 == MARK).any():  # of the batch they come from; they only pass through
+                yield _found(MARK, key[m], doc[m], lo[m], (tag[m] >> 8) & 0xFF, tag[m] & 0xFF)
+                key, ctx, tag, doc, lo = key[~m], ctx[~m], tag[~m], doc[~m], lo[~m]
             # one place met twice: a row that is in the table more than once
             twice = np.zeros(len(key), np.bool_)
-            twice[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
+            twice[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (tag[1:] == tag[:-1]) & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
             if before is not None and len(key):
-                twice[0] = (key[0], ctx[0], doc[0], lo[0]) == before
+                twice[0] = (key[0], ctx[0], tag[0], doc[0], lo[0]) == before
             if twice.any():
-                key, ctx, doc, lo = key[~twice], ctx[~twice], doc[~twice], lo[~twice]
+                key, ctx, tag, doc, lo = key[~twice], ctx[~twice], tag[~twice], doc[~twice], lo[~twice]
             n = len(key)
             if not n:
                 continue
             new_key, new_ctx = np.ones(n, np.bool_), np.ones(n, np.bool_)
             new_key[1:] = key[1:] != key[:-1]
-            new_ctx[1:] = new_key[1:] | (ctx[1:] != ctx[:-1])
+            new_ctx[1:] = new_key[1:] | (ctx[1:] != ctx[:-1]) | (tag[1:] != tag[:-1])
             if before is not None:
                 new_key[0] = key[0] != before[0]
-                new_ctx[0] = new_key[0] or ctx[0] != before[1]
-            size, place = (ctx >> 8) & 0xFF, ctx & 0xFF
+                new_ctx[0] = new_key[0] or (ctx[0], tag[0]) != before[1:3]
+            size, place = (tag >> 8) & 0xFF, tag & 0xFF
             if not new_ctx.all():
                 m = ~new_ctx
                 yield _found(MARK, key[m], doc[m], lo[m], size[m], place[m])
@@ -224,7 +251,7 @@ def _resolve(scanned: DataFrame) -> DataFrame:
                 if np.count_nonzero(new_ctx & last) == 1:
                     k = int(np.flatnonzero(new_ctx & last)[0])
                     waiting = (key[k], doc[k], lo[k], size[k], place[k])
-            before = (key[-1], ctx[-1], doc[-1], lo[-1])
+            before = (key[-1], ctx[-1], tag[-1], doc[-1], lo[-1])
 
     return dealt.mapInArrow(lean(run), _FOUND)
 
@@ -363,8 +390,8 @@ def _sorted_blocks(blocks: DataFrame) -> DataFrame:
             begin = (np.cumsum(size) - size)[c] + offset[left]
             _, inverse = _words.powers(len(buffer) + 1)
             window = _words.mix((suffixes.total[begin + LENGTH] - suffixes.total[begin]) * inverse[begin] + (place[c] - offset[left]).astype(np.uint64))
-            # key and window hash together name the string: both parts of 64 bits
-            yield _found(CONTEXT, window ^ _words.mix(key[c].astype(np.uint64)), doc[c], lo[c] + offset[left], np.full(len(c), LENGTH), np.zeros(len(c)))
+            # key and window hash together name the string: both of 64 bits
+            yield _found(CONTEXT, key[c], doc[c], lo[c] + offset[left], np.full(len(c), LENGTH), np.zeros(len(c)), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -406,22 +433,22 @@ def _cuts(rows: pa.Table) -> Iterator[pa.Table]:
 
 def _first_windows(windows: DataFrame) -> DataFrame:
     """Marks for all but the first of equal windows from several blocks, streamed in sorted order."""
-    dealt = windows.select("key", "doc", "lo").repartition("key").sortWithinPartitions("key", "doc", "lo")
+    dealt = windows.select("key", "win", "doc", "lo").repartition("key", "win").sortWithinPartitions("key", "win", "doc", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            key, doc, lo = (np.asarray(batch.column(c)) for c in range(3))
+            key, win, doc, lo = (np.asarray(batch.column(c)) for c in range(4))
             if not len(key):
                 continue
             new = np.ones(len(key), np.bool_)
-            new[1:] = key[1:] != key[:-1]
+            new[1:] = (key[1:] != key[:-1]) | (win[1:] != win[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             first_doc, first_lo = doc[head], lo[head]
-            if last is not None and key[0] == last[0]:  # the run goes on from the last batch
-                first_doc[head == 0], first_lo[head == 0] = last[1], last[2]
+            if last is not None and (key[0], win[0]) == last[:2]:  # the run goes on from the last batch
+                first_doc[head == 0], first_lo[head == 0] = last[2:]
             again = (doc != first_doc) | (lo != first_lo)  # one place met twice is no repeat
-            last = (key[-1], first_doc[-1], first_lo[-1])
+            last = (key[-1], win[-1], first_doc[-1], first_lo[-1])
             doc, lo = doc[again], lo[again]
             order = np.lexsort((lo, doc))
             doc, lo = doc[order], lo[order]
@@ -436,8 +463,8 @@ def _first_windows(windows: DataFrame) -> DataFrame:
 
 def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted's contexts (key, doc, lo, size, place, blk, many) with their bytes."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "lo", "size", "place", "blk", "many")).alias("need"))
-    joined = docs.join(lists, docs["doc"] == lists["doc"]).select(docs["doc"], "raw", "need")
+    lists = wanted.groupBy("doc", F.shiftright("lo", OFFSET_BITS).alias("alt")).agg(F.collect_list(F.struct("key", "lo", "size", "place", "blk", "many")).alias("need"))
+    joined = docs.join(lists, ["doc", "alt"]).select("doc", "raw", "need")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,7 +475,7 @@ def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             lo, size = np.asarray(flat.field("lo")), np.asarray(flat.field("size")).astype(np.int64)
             for i in range(0, len(owner), 1 << 15):
                 j = slice(i, min(len(owner), i + (1 << 15)))
-                at, n = starts[owner[j]] + lo[j], size[j]
+                at, n = starts[owner[j]] + (lo[j] & OFFSETS), size[j]
                 offsets = np.r_[0, np.cumsum(n)]
                 index = np.repeat(at - offsets[:-1], n) + np.arange(offsets[-1])
                 raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
@@ -458,13 +485,29 @@ def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(lean(run), "key bigint, blk bigint, many bigint, doc bigint, lo bigint, place int, bytes binary")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, lo, size): byte ranges to remove, overlapping, of documents that are not copies of an earlier one.
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, raw, alt) and facts (doc, alt, sha, n_bytes), written; alt tells an id's different texts apart."""
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc"), raw.alias("raw"))
+    facts = stash(rows.select("doc", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
+    several = facts.where("doc is not null").groupBy("doc").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("doc")
+    shas = facts.join(several, "doc", "left_semi").select("doc", "sha").distinct()
+    later = shas.withColumn("alt", F.dense_rank().over(Window.partitionBy("doc").orderBy("sha")).cast("bigint") - 1).where("alt > 0")
+    later = stash(later, "later")
+    if later.isEmpty():  # no id has two texts
+        none = F.lit(0).cast("bigint").alias("alt")
+        return rows.select("doc", "raw", none), facts.select("doc", none, "sha", "n_bytes")
+    alt = F.coalesce("alt", F.lit(0).cast("bigint")).alias("alt")
+    return rows.withColumn("sha", F.sha2("raw", 256)).join(later, ["doc", "sha"], "left").select("doc", "raw", alt), stash(facts.join(later, ["doc", "sha"], "left").select("doc", alt, "sha", "n_bytes"), "facts")
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """(doc, alt, r): each document's sorted byte ranges to remove, overlapping; rows are texts_of() a table.
 
-    A copy's ranges may be partly missing: copies are removed whole by apply().
+    A copy of an earlier document's text may lack some of its ranges: it is removed whole by apply().
     """
-    spark = docs.sparkSession
-    rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("raw"))
+    spark = rows.sparkSession
+    rows = rows.where("doc is not null")
     found = stash(_resolve(_scan(rows)), "resolved")
     free_shuffles(spark)
     left = found.where(F.col("kind") == CONTEXT)
@@ -485,13 +528,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
-    """(doc, ranges): each document's disjoint, sorted byte ranges to remove."""
-    listed = ranges.distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("lo") + F.col("size")).alias("hi")))).alias("r"))
-    return listed
+    """(doc, alt, r): each document's sorted byte ranges to remove; they may overlap."""
+    own = F.col("lo").bitwiseAND(F.lit(OFFSETS))
+    placed = ranges.distinct().select("doc", F.shiftright("lo", OFFSET_BITS).alias("alt"), F.struct(own.alias("lo"), (own + F.col("size")).alias("hi")).alias("x"))
+    return placed.groupBy("doc", "alt").agg(F.array_sort(F.collect_list("x")).alias("r"))
 
 
 def _cut(batch: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
-    """Documents (doc, raw, r) without their ranges r; ranges are merged as arrays of numbers."""
+    """Documents (doc, raw, r, alt) without their ranges r; ranges are merged as arrays of numbers."""
     data, starts, ends = strings(batch.column(1))
     ranges = batch.column(2)
     flat, offsets = ranges.flatten(), np.asarray(ranges.offsets)
@@ -506,40 +550,36 @@ def _cut(batch: pa.RecordBatch, keep_text: bool) -> pa.RecordBatch:
     removed = np.bincount(own, end - begin, len(ranges)).astype(np.int64)
     count = np.bincount(own, minlength=len(ranges))
     at = np.searchsorted(own, np.arange(len(ranges) + 1))
-    sums, shas, kept = [], [], []
+    shas, kept = [], []
     for k in range(len(ranges)):
         raw = data[starts[k] : ends[k]].tobytes()
         edges = [0, *np.stack([begin[at[k] : at[k + 1]], end[at[k] : at[k + 1]]], 1).ravel().tolist(), len(raw)]
         left = b"".join(raw[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
-        sums.append(hashlib.md5(raw).hexdigest())
         shas.append(hashlib.sha256(left).hexdigest())
         if keep_text:
             kept.append(left)
-    columns = [batch.column(0), pa.array(sums), pa.array(removed), pa.array(count.astype(np.int64)), pa.array(shas)]
+    columns = [batch.column(0), batch.column(3), pa.array(removed), pa.array(count.astype(np.int64)), pa.array(shas)]
     if keep_text:
         columns.append(pa.array(kept, pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "sum", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "alt", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 
 
-def apply(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def apply(rows: DataFrame, facts: DataFrame, ranges: DataFrame, id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """Per document: (id, n_bytes, n_removed, n_spans, kept_sha256), with keep_text also `kept` bytes."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("raw"))
-    facts = stash(rows.select("doc", F.md5("raw").alias("sum"), F.octet_length("raw").cast("bigint").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
     # a table of its own: joining it, Spark can split a text with very many copies
-    firsts = stash(facts.where(F.col("n_bytes") >= LENGTH).groupBy("sum", "n_bytes").agg(F.min("doc").alias("first")), "firsts")
-    known = facts.join(firsts, ["sum", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
-    schema = "doc bigint, sum string, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_text else "")
+    firsts = stash(facts.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc").alias("first")), "firsts")
+    known = facts.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
+    schema = "doc bigint, alt bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 yield _cut(batch.slice(i, 512), keep_text)
 
-    cut = rows.join(ranges.select(F.col("doc").alias("d2"), "r"), F.col("doc") == F.col("d2")).select("doc", "raw", "r").mapInArrow(lean(run), schema)
+    cut = rows.join(ranges, ["doc", "alt"]).select("doc", "raw", "r", "alt").mapInArrow(lean(run), schema)
     if not keep_text:
         cut = stash(cut, "cut")
-    best = known.join(cut.dropDuplicates(["doc", "sum"]), ["doc", "sum"], "left")
+    best = known.join(cut.dropDuplicates(["doc", "alt"]), ["doc", "alt"], "left")
     none = ~F.col("copy") & F.col("n_removed").isNull()
     picked = [
         F.col("doc").alias(id_col), "n_bytes",
@@ -552,5 +592,6 @@ def apply(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col:
     return best.select(*picked)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return apply(docs, spans(docs, id_col, text_col), id_col, text_col)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    rows, facts = texts_of(docs, id_col, text_col)
+    return apply(rows, facts, spans(rows), id_col, keep_text)

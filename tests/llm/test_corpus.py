@@ -631,10 +631,13 @@ def page_rows():
     return [(1, "http://www.a.org/x?y=1", long), (5, "http://b.org/", long), (3, "https://b.org:444/z", long), (2, None, None), (4, "http://a.org/x", ""), (6, "http://a.org/x", "short"), (7, "http://a.org/x", "short"), (8, "::bad[", "é" * 600), (None, "http://n.org", long), (9, "http://a.org/x", "\r\n\r\nhead"), (7, "http://a.org/x", "short")]
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("block", [512, 2])
+def test_warc(spark, monkeypatch, block):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    monkeypatch.setattr(warc, "BETWEEN", 512 // block % 511 + 1)
     df = spark.createDataFrame([(*r, "clash") for r in page_rows()], "page_id bigint, url string, html string, digest string")
     captures, index = warc.archive(df)
-    got = warc.read_records(warc.captures_of(index.directory), payloads=True).collect()
+    got = warc.read_records(index.look_up(warc.keys_of(df)), payloads=True).collect()
     assert len(got) == len(page_rows())
     want = {}
     for i, _, h in page_rows():
@@ -644,15 +647,28 @@ def test_warc(spark):
         want[i] = (len(raw), hashlib.sha1(raw).hexdigest(), "response" if ref is None else "revisit", ref)
     for r in got:
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == want[r["page_id"]]
-    assert {int(x[0]) for x in index.find("http://a.org/x")} == {4, 6, 7, 9}
-    assert index.find("http://nowhere.org/") == []
-    kinds = {h["WARC-Type"] for h, _ in index.fetch("http://www.a.org/x?y=1")}
-    assert kinds == {"revisit"}
-    assert [p for h, p in index.fetch("http://b.org/")] == [page_rows()[1][2].encode()]
+    assert sorted(int(r["page_id"]) for r in index.find("http://a.org/x").collect()) == [4, 6, 7, 7, 9]
+    assert index.find("http://nowhere.org/").count() == 0
+    assert sorted(r["page_id"] for r in index.find("http://b.org/", "http://nowhere.org/", "http://www.a.org/x?y=1").collect()) == ["1", "5"]
+    assert [r["record_type"] for r in warc.read_records(index.find("http://www.a.org/x?y=1")).collect()] == ["revisit"]
+    assert [bytes(r["payload"]) for r in warc.read_records(index.find("http://b.org/"), payloads=True).collect()] == [page_rows()[1][2].encode()]
+    assert warc.CaptureIndex(index.directory.limit(0)).find("http://b.org/").count() == 0
     assert warc.round_trip(spark, df.limit(0)).count() == 0
     assert warc.surt("http://WWW.A.org:80/q?r") == "org,a,www)/q?r"
 
 
+def test_warc_hot_url_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    monkeypatch.setattr(warc, "BETWEEN", 2)
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i % 7}.org/{i}", f"page {i}") for i in range(200)] + [(None, None, "x")] * 20
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    _, index = warc.archive(df)
+    assert index.directory.count() >= len(rows) // 3
+    assert sorted(int(r["page_id"]) for r in index.find("http://hot.org/").collect()) == [i for i in range(200) if i % 3]
+    got = warc.read_records(index.look_up(warc.keys_of(df))).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+
+
 def test_token_counts(docs, empty):
     path = tokens.path("byte_bpe_50k.tiktoken")
     sizes = [len(bpe.encoder(path, tokens.PATTERN).encode(r[1] or "")) // 4 for r in corpus()]

@@ -2,9 +2,14 @@
 
 Records are written by Spark tasks into the shared folder, one gzip member a record, and each
 task reports (reversed-host key, file, offset, length) of what it wrote. The index sorts these
-keys over range partitions into compressed blocks; a sparse directory keeps only each block's
-first and last key and its place. A look-up searches the directory, reads one block by range,
-searches it by bisection, and reads the record by range.
+keys, with the page id behind them, over range partitions into compressed blocks; a sparse
+directory keeps only each block's first and last key and its place.
+
+A look-up is of one key or a range of keys. A bounded number of the directory's keys, its
+fences, are broadcast and deal both directory and look-ups into stretches of the key order; in
+its stretch a look-up is searched in the directory by bisection, the block it names is read by
+range and searched by bisection, and the records found are read by range. No directory, block
+list or hot URL is gathered in one place.
 
 Of records with equal payloads of at least REVISIT_BYTES bytes the one with the largest page
 id is a `response`, the others are `revisit` records that refer to it; shorter payloads are
@@ -36,6 +41,10 @@ from ._shared import new_path, stash
 REVISIT_BYTES = 1000
 #: Captures in one index block.
 BLOCK = 512
+#: Fences at the most, and directory entries between two of them at the least.
+FENCES, BETWEEN = 1 << 16, 8
+#: Sorts behind every page id.
+LAST_ID = "~"
 DATE = "2024-01-01T00:00:00Z"
 #: Captures; a page id is text here, so that nulls and large ids pass pandas unchanged.
 ENTRY = "surt string, page_id string, file string, offset bigint, length bigint"
@@ -142,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write sorted, compressed blocks; returns the sparse directory (first, last, file, offset, length, n)."""
+    """Write sorted, compressed blocks; returns the sparse directory (first, first_id, last, last_id, file, offset, length, n)."""
     folder = folder or new_path(captures.sparkSession, "index")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +166,7 @@ def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
             raw = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode())
             out.write(raw)
             at += len(raw)
-            return {"first": rows[0][0], "last": rows[-1][0], "file": f"{folder}/{name}", "offset": at - len(raw), "length": len(raw), "n": len(rows)}
+            return {"first": rows[0][0], "first_id": rows[0][1] or "", "last": rows[-1][0], "last_id": rows[-1][1] or "", "file": f"{folder}/{name}", "offset": at - len(raw), "length": len(raw), "n": len(rows)}
 
         for frame in frames:
             ids = [None if x is None or pd.isna(x) else x for x in frame["page_id"]]
@@ -174,7 +183,7 @@ def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
             out.close()
 
     ranged = captures.repartitionByRange("surt", "page_id", "file", "offset").sortWithinPartitions("surt", "page_id", "file", "offset")
-    return stash(ranged.mapInPandas(run, "first string, last string, file string, offset bigint, length bigint, n bigint"), "directory")
+    return stash(ranged.mapInPandas(run, "first string, first_id string, last string, last_id string, file string, offset bigint, length bigint, n bigint"), "directory")
 
 
 def _range(opened: dict, uri: str, offset: int, length: int) -> bytes:
@@ -190,16 +199,89 @@ def read_block(opened: dict, uri: str, offset: int, length: int) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(_range(opened, uri, offset, length)).decode().split("\n")]
 
 
-def captures_of(directory: DataFrame) -> DataFrame:
-    """All captures, read from the index blocks."""
+def _key(row: list) -> tuple[str, str]:
+    return row[0], row[1] or ""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened: dict = {}
-        for frame in frames:
-            for uri, offset, length in zip(frame["file"], frame["offset"], frame["length"]):
-                yield pd.DataFrame(read_block(opened, uri, int(offset), int(length)), columns=["surt", "page_id", "file", "offset", "length"])
 
-    return directory.repartition(F.col("file"), F.col("offset")).mapInPandas(run, ENTRY)
+def keys_of(pages: DataFrame) -> DataFrame:
+    """Look-ups (surt, low, high) of each page by its key and its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), batch.column(1)], names=["surt", "low", "high"])
+
+    page_id = F.coalesce(F.col("page_id").cast("bigint").cast("string"), F.lit(""))
+    return pages.select(F.col("url").cast("string"), page_id.alias("page_id")).mapInArrow(run, "surt string, low string, high string").distinct()
+
+
+class CaptureIndex:
+    """Look-ups through the directory and its blocks."""
+
+    def __init__(self, directory: DataFrame) -> None:
+        self.directory = directory
+
+    def fences(self) -> list[tuple[str, str]]:
+        """Keys of the directory that part it, by a hash of their places; FENCES of them or a few more."""
+        step = max(BETWEEN, -(-self.directory.count() // FENCES))
+        some = self.directory.where(F.pmod(F.xxhash64("file", "offset"), F.lit(step)) == 0).select("first", "first_id").distinct().collect()
+        return [("", ""), *sorted((r["first"], r["first_id"]) for r in some)]
+
+    def look_up(self, keys: DataFrame) -> DataFrame:
+        """The captures of distinct look-ups (surt, low, high): those with that key and an id from low to high."""
+        fences = keys.sparkSession.sparkContext.broadcast(self.fences())
+        shape = "stretch int, tag int, surt string, low string, high string, file string, offset bigint, length bigint"
+
+        def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = fences.value
+            for frame in frames:
+                first = [bisect.bisect_right(own, k) - 1 if t == 0 else max(0, bisect.bisect_left(own, k) - 1) for t, k in zip(frame["tag"], zip(frame["surt"], frame["low"]))]
+                last = [bisect.bisect_right(own, k) - 1 for k in zip(frame["surt"], frame["high"])]
+                # a range of keys, and a key that is a fence, are looked up in each stretch they reach
+                frame["stretch"] = [range(a, b + 1) for a, b in zip(first, last)]
+                yield frame.explode("stretch").astype({"stretch": "int32"})[["stretch", "tag", "surt", "low", "high", "file", "offset", "length"]]
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opened: dict = {}
+            stretch, firsts, places = None, [], []
+            at, rows, found = None, [], []
+            for batch in batches:
+                for s, tag, key, low, high, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                    if s != stretch:
+                        stretch, firsts, places = s, [], []
+                    if tag == 0:
+                        firsts.append((key, low))
+                        places.append((file, offset, length))
+                        continue
+                    j = max(0, bisect.bisect_left(firsts, (key, low)) - 1)
+                    while j < len(firsts) and firsts[j] <= (key, high):
+                        if at != places[j]:
+                            at, rows = places[j], read_block(opened, *places[j])
+                        a, b = bisect.bisect_left(rows, (key, low), key=_key), bisect.bisect_right(rows, (key, high), key=_key)
+                        found += rows[a:b]
+                        j += 1
+                    if len(found) >= 4096:
+                        yield _captures(found)
+                        found = []
+            if found:
+                yield _captures(found)
+
+        none = [F.lit("").alias("file"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).cast("bigint").alias("length")]
+        entries = self.directory.select(F.lit(0).alias("tag"), F.col("first").alias("surt"), F.col("first_id").alias("low"), F.col("first_id").alias("high"), "file", "offset", "length")
+        asked = keys.select(F.lit(1).alias("tag"), "surt", "low", "high", *none)
+        dealt = entries.union(asked).mapInPandas(deal, shape)
+        # of a stretch first its part of the directory, which is in key order, then what is looked up in it
+        return dealt.repartition("stretch").sortWithinPartitions("stretch", "tag", "surt", "low", "file", "offset").mapInArrow(search, ENTRY)
+
+    def find(self, *urls: str) -> DataFrame:
+        """All captures of the URLs."""
+        spark = self.directory.sparkSession
+        return self.look_up(spark.createDataFrame(sorted({(surt(u), "", LAST_ID) for u in urls}), "surt string, low string, high string"))
+
+
+def _captures(rows: list[list]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), *(pa.array(c, pa.int64()) for c in columns[3:])], names=["surt", "page_id", "file", "offset", "length"])
 
 
 def read_records(captures: DataFrame, payloads: bool = False) -> DataFrame:
@@ -230,33 +312,12 @@ def read_records(captures: DataFrame, payloads: bool = False) -> DataFrame:
     return captures.repartition(F.col("file"), stretch).sortWithinPartitions("file", "offset").mapInPandas(run, schema)
 
 
-class CaptureIndex:
-    """Look-ups by URL through the directory and one block."""
-
-    def __init__(self, directory: DataFrame) -> None:
-        self.directory, self._opened = directory, {}
-
-    def find(self, url: str) -> list[tuple[str | None, str, int, int]]:
-        """(page id, file, offset, length) of the captures of a URL; blocks are pruned by the directory's key ranges."""
-        key = surt(url)
-        blocks = self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "offset").collect()
-        out = []
-        for b in blocks:
-            rows = read_block(self._opened, b["file"], b["offset"], b["length"])
-            keys = [r[0] for r in rows]
-            out += [tuple(r[1:]) for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
-        return out
-
-    def fetch(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        return [parse(gzip.decompress(_range(self._opened, f, o, n))) for _, f, o, n in self.find(url)]
-
-
 def archive(pages: DataFrame) -> tuple[DataFrame, CaptureIndex]:
     captures = write_archives(pages)
     return captures, CaptureIndex(build_index(captures))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write, index, and read every record back through the index."""
+    """Write and index every page, then look each page up and read its records back."""
     _, index = archive(pages)
-    return read_records(captures_of(index.directory))
+    return read_records(index.look_up(keys_of(pages)))

@@ -621,6 +621,15 @@ def test_cascade_order_changes_cost_not_verdict(docs):
     t = quality.Texts(data, ends - sizes, ends)
     want = quality.cascade(t, rules) < 0
     assert (want == (quality.cascade(t, rules[::-1]) < 0)).all()
+    for f in (quality.n_words, quality.word_chars, quality.n_symbols, quality.n_dup_lines, quality.n_repeat_words):
+        assert (t.measure(f) == f(t)).all()  # what the cascade knows of some texts, completed
+    asked = []
+    two = quality.Texts(data, ends - sizes, ends)
+    counted = lambda x: asked.append(len(x)) or quality.n_words(x)
+    counted.__name__ = "n_words"
+    some = np.arange(0, len(two), 3)
+    assert (two.take(some).measure(counted) == quality.n_words(t)[some]).all() and (two.measure(counted) == quality.n_words(t)).all()
+    assert asked == [len(some), len(two) - len(some)]
     measured = [("a", 1.0, 0.1), ("b", 0.1, 0.1), ("c", 1.0, 0.5)]
     named = [quality.Rule(n, None) for n in "abc"]
     assert [r.name for r in quality.ordered(named, measured)] == ["b", "c", "a"]

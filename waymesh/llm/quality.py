@@ -4,6 +4,7 @@ A rule computes one measure of a batch of texts and fails those beyond its limit
 sample each rule's cost (seconds a text) and rejection rate are estimated; rules are then run
 in the order of rejections per second, each only on texts that no earlier rule has failed. The
 order changes what the cascade costs, never its verdict: a text is kept iff no rule fails it.
+A measure that several rules need, or that is asked for as well, is computed once for a text.
 
 Defined results: null text and text without words has all measures 0; such a text fails the
 word-count rule. Rules with a share of nothing (no words, no lines) do not fail a text.
@@ -31,11 +32,14 @@ _BEGINS = (np.arange(256) & 0xC0) != 0x80
 
 
 class Texts:
-    """A batch of UTF-8 texts; what several rules need is computed once."""
+    """A batch of UTF-8 texts, or some of another one's; each measure of a text is computed once."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: Texts | None = None, rows: np.ndarray | None = None) -> None:
         self.data, self.starts, self.ends = data, starts, ends
         self._spans = self._words = None
+        self.whole, self.rows = (self, np.arange(len(starts))) if whole is None else (whole, rows)
+        #: In the whole batch: by measure, its values and the texts that it is known of.
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -45,7 +49,16 @@ class Texts:
         parts = [self.data[self.starts[r] : self.ends[r]] for r in rows]
         ends = np.cumsum([len(p) for p in parts], dtype=np.int64) if parts else np.zeros(0, np.int64)
         data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-        return Texts(data, ends - np.array([len(p) for p in parts], np.int64), ends)
+        return Texts(data, ends - np.array([len(p) for p in parts], np.int64), ends, self.whole, self.rows[rows])
+
+    def measure(self, f: Callable[[Texts], np.ndarray]) -> np.ndarray:
+        """f of each text, computed only where no rule has asked for it before."""
+        values, known = self.whole.known.setdefault(f.__name__, (np.zeros(len(self.whole), np.int64), np.zeros(len(self.whole), np.bool_)))
+        missing = np.flatnonzero(~known[self.rows])
+        if len(missing):
+            values[self.rows[missing]] = f(self if len(missing) == len(self) else self.take(missing))
+            known[self.rows[missing]] = True
+        return values[self.rows]
 
     def spans(self):
         if self._spans is None:
@@ -172,14 +185,14 @@ class Rule:
 def default_rules() -> list[Rule]:
     """The base rules, and limits that only texts far from prose reach."""
     return [
-        Rule("few_words", lambda t: n_words(t) < 10),
-        Rule("repeated_windows", lambda t: 100 * n_repeat_words(t) > 20 * n_words(t)),
+        Rule("few_words", lambda t: t.measure(n_words) < 10),
+        Rule("repeated_windows", lambda t: 100 * t.measure(n_repeat_words) > 20 * t.measure(n_words)),
         # a symbol for each fifth character of words, or more
-        Rule("symbols", lambda t: (5 * n_symbols(t) > word_chars(t)) & (n_words(t) > 0)),
+        Rule("symbols", lambda t: (5 * t.measure(n_symbols) > t.measure(word_chars)) & (t.measure(n_words) > 0)),
         # mean word of under two or over forty characters
-        Rule("word_length", lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 40 * n_words(t))),
+        Rule("word_length", lambda t: (t.measure(word_chars) < 2 * t.measure(n_words)) | (t.measure(word_chars) > 40 * t.measure(n_words))),
         # more than half of the lines repeat an earlier one
-        Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > n_lines(t)),
+        Rule("repeated_lines", lambda t: 2 * t.measure(n_dup_lines) > t.measure(n_lines)),
     ]
 
 
@@ -199,10 +212,10 @@ def cascade(texts: Texts, rules: list[Rule]) -> np.ndarray:
     return first
 
 
-def estimate(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share it fails) measured on at most `rows` texts of a seeded sample."""
-    level = F.xxhash64(F.lit(seed), F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    sample = docs.select(F.col(text_col).alias("t")).where(F.pmod(level, F.lit(64)) == 0).limit(rows)
+def estimate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share it fails) measured on at most `rows` texts, those of a seeded share of the ids."""
+    every = max(1, docs.count() // (2 * rows))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(every)) == 0).select(F.col(text_col).alias("t")).limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, failed, seen = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
@@ -235,7 +248,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
     are independent: no shuffle. Other columns are not read.
     """
     rules = default_rules() if rules is None else rules
-    rules = ordered(rules, estimate(docs, rules, text_col))
+    rules = ordered(rules, estimate(docs, rules, id_col, text_col))
     names = [r.name for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +261,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
                 out = ["id", "kept", "failed_rule"]
                 if measures:
                     for f in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words):
-                        columns.append(pa.array(f(texts), pa.int64()))
+                        columns.append(pa.array(texts.measure(f), pa.int64()))
                         out.append(f.__name__)
                 yield pa.RecordBatch.from_arrays(columns, names=out)
 

@@ -44,7 +44,7 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Slots of the count sketch for each document, fewest and most; a slot is a byte once counted.
-SLOTS_EACH, FEWEST_SLOTS, MOST_SLOTS = 32, 1 << 18, 1 << 26
+SLOTS_EACH, FEWEST_SLOTS, MOST_SLOTS = 32, 1 << 23, 1 << 26
 #: Longest run of one shingle whose pairs are counted.
 RUN = 32
 #: Documents of a block of a large group.

@@ -5,6 +5,8 @@ in its own, so no side is scanned for each row of the other; a pair is kept in o
 """
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,14 +105,14 @@ def lanes(rows: DataFrame, key: list[str], order: list[str], a: str = "a", b: st
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([a, b, *order], kind="stable")
+        busy: list = []  # (end, lane); windows come in the order of their starts, so a lane once free stays free
         free: list = []
         out = []
         for x, y in zip(frame[a], frame[b]):
-            k = next((k for k, end in enumerate(free) if end <= x), len(free))
-            if k == len(free):
-                free.append(y)
-            else:
-                free[k] = y
+            while busy and busy[0][0] <= x:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            k = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (y, k))
             out.append(k)
         return frame.assign(lane=out)
 

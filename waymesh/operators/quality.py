@@ -95,24 +95,27 @@ def filled_only(old: DataFrame, new: DataFrame, key: list[str], values: list[str
     return old.join(b, key).where(bad)
 
 
-def unreachable(platforms: DataFrame, entrances: DataFrame, edges: DataFrame, levels: int = 40) -> DataFrame:
-    """Platforms that have no entrance with a way both in and out, by repeated frontier expansion.
+def unreachable(platforms: DataFrame, entrances: DataFrame, edges: DataFrame) -> DataFrame:
+    """Platforms without an entrance that has a way both to them and from them, by frontier expansion.
 
-    edges: directed (a, b). The loop ends when no node is added, after `levels` steps at most.
+    edges: directed (a, b). Each entrance has reached sets of its own, so that both ways are of
+    one entrance; a loop ends when no node is new to its entrance.
     """
 
-    def closure(start: DataFrame, arcs: DataFrame) -> DataFrame:
-        seen = start.select("node").distinct().persist()
-        front = seen
-        for _ in range(levels):
+    def closure(arcs: DataFrame) -> DataFrame:
+        seen = front = entrances.select(F.col("node").alias("entrance"), "node").distinct().persist()
+        fronts, grown = [], [seen]
+        while True:
             # only new nodes go on; each level is kept, so that no level is computed again
-            front = front.join(arcs, front["node"] == arcs["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").persist()
+            front = front.join(arcs, front["node"] == arcs["a"]).select("entrance", F.col("b").alias("node")).distinct().join(seen, ["entrance", "node"], "left_anti").persist()
+            fronts.append(front)
             if front.isEmpty():
                 break
-            seen = cut(seen.union(front).persist())
+            grown.append(seen.union(front).persist())
+            seen = cut(grown[-1])
+        for level in fronts + grown[:-1]:
+            level.unpersist()
         return seen
 
-    out = closure(entrances, edges)
-    back = closure(entrances, edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    good = out.intersect(back)
-    return platforms.join(good, "node", "left_anti")
+    good = closure(edges).intersect(closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return platforms.join(good.select("node").distinct(), "node", "left_anti")

@@ -125,9 +125,16 @@ def d11_segments(spark, d):
     return aggregates.consensus(rows, "edge", "origin", "v").drop("share")
 
 
-@register("d27_plan")
+def _after_ride(before: str) -> str:
+    return f"(SELECT request, stop, min(t) AS t FROM (SELECT * FROM {before} UNION ALL SELECT request, g, arr FROM {before} JOIN rides ON stop = f AND dep >= t) GROUP BY 1, 2)"
+
+
+@register("d27_plan", f"""
+WITH rides AS (SELECT l_suppkey % 12 AS f, l_partkey % 12 AS g, (l_orderkey % 30) * 120 AS dep, min((l_orderkey % 30) * 120 + 300 + l_linenumber * 60) AS arr FROM lineitem WHERE l_suppkey % 12 <> l_partkey % 12 GROUP BY 1, 2, 3),
+b0 AS (SELECT i AS request, i AS stop, 0 AS t FROM range(12) r(i)), b1 AS {_after_ride("b0")}, b2 AS {_after_ride("b1")}, b3 AS {_after_ride("b2")}
+SELECT request, stop, t::INTEGER AS t FROM b3""")
 def d27_plan(spark, d):
-    """Earliest arrivals within three rides over all lines as connections of twelve stops; SQL would list every path."""
+    """Earliest arrivals within three rides over all lines as connections of twelve stops."""
     lines = t(spark, d, "lineitem").where("l_suppkey % 12 <> l_partkey % 12")
     trip = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
     dep = ((F.col("l_orderkey") % 30) * 120).cast("int")
@@ -192,14 +199,19 @@ def d17_indoor(spark, d):
     return status.join(n, "venue", "left")
 
 
+_SERVED = """(SELECT DISTINCT 'S' || l_suppkey AS a, 'C' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT 'C' || c_custkey, 'S' || (c_custkey % 7 + 1) FROM customer)"""
+
+
 @register("v_reachability", f"""
-WITH RECURSIVE g AS {_GRAPH}, f(node) AS (SELECT 0 UNION SELECT g.b FROM f JOIN g ON f.node = g.a WHERE g.w > 46), k(node) AS (SELECT 0 UNION SELECT g.a FROM k JOIN g ON k.node = g.b WHERE g.w > 46)
-SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT node FROM f INTERSECT SELECT node FROM k)""")
+WITH RECURSIVE g AS {_SERVED}, f(e, node) AS (SELECT x, x FROM (VALUES ('S1'), ('S2')) v(x) UNION SELECT f.e, g.b FROM f JOIN g ON f.node = g.a), k(e, node) AS (SELECT x, x FROM (VALUES ('S1'), ('S2')) v(x) UNION SELECT k.e, g.a FROM k JOIN g ON k.node = g.b)
+SELECT 'C' || c_custkey AS node FROM customer WHERE 'C' || c_custkey NOT IN (SELECT node FROM (SELECT * FROM f INTERSECT SELECT * FROM k))""")
 def v_reachability(spark, d):
-    g = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey")
-    edges = g.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"), ((F.col("s_nationkey") * 7 + F.col("c_nationkey") * 13) % 50 + 1).alias("w")).distinct().where("w > 46").cache()
-    nodes = t(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
-    return quality.unreachable(nodes, nodes.where("node = 0"), edges.select("a", "b"))
+    """Suppliers lead to whom they have served, a customer to one of seven suppliers; two suppliers are entrances."""
+    name = lambda letter, key: F.concat(F.lit(letter), key.cast("string"))
+    served = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(name("S", F.col("l_suppkey")).alias("a"), name("C", F.col("o_custkey")).alias("b")).distinct()
+    customers = t(spark, d, "customer").select("c_custkey")
+    edges = served.union(customers.select(name("C", F.col("c_custkey")), name("S", F.col("c_custkey") % 7 + 1)))
+    return quality.unreachable(customers.select(name("C", F.col("c_custkey")).alias("node")), spark.createDataFrame([("S1",), ("S2",)], "node string"), edges.persist())
 
 
 @register("o2_signature", """

@@ -31,9 +31,16 @@ def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
 
 def manifest_digest(files: DataFrame, group: list[str]) -> DataFrame:
-    """(group.., n_files, bytes, digest): digest over 'path:sha256' lines in path order."""
+    """(group.., n_files, bytes, digest): files are dealt by the first digits of their path's SHA-256; each deal
+    has a digest over its 'path:sha256' lines in path order, a group one over its deals' digests in their order.
+
+    So a task holds a 4096th of a group's lines, and then at most 4096 digests.
+    """
     rows = files.select(*group, "path", F.octet_length("content").cast("bigint").alias("size"), F.concat_ws(":", F.col("path").cast("string"), F.sha2("content", 256)).alias("line"))
-    return rows.groupBy(*group).agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n")).alias("digest"))
+    lines = lambda key, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(line).alias("v")))), lambda x: x["v"]), "\n")
+    dealt = rows.withColumn("deal", F.substring(F.sha2(F.col("path").cast("string").cast("binary"), 256), 1, 3))
+    deals = dealt.groupBy(*group, "deal").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.md5(lines("path", "line")).alias("part"))
+    return deals.groupBy(*group).agg(F.sum("n").alias("n_files"), F.sum("size").alias("bytes"), F.md5(lines("deal", "part")).alias("digest"))
 
 
 def manifest_problems(found: DataFrame, expected: DataFrame, allowed: str = r"^[A-Za-z0-9_./-]+$") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import clock, geo, structs, text
-from waymesh.operators import enrich, matching, rail, routing, spatial, stages
+from waymesh.operators import aggregates, enrich, matching, rail, routing, spatial, stages
 from waymesh.streaming import arrivals
 
 from .catalogue import register
@@ -445,3 +445,63 @@ def j33_join_shifted(spark, d):
     b = F.array(F.struct(first.alias("stop"), F.lit(1000).alias("t")), F.struct(F.lit(7).cast("bigint").alias("stop"), F.lit(1100).alias("t")))
     got = o.select("l_orderkey", matching.join_shifted(F.col("a"), b).alias("x"))
     return got.select("l_orderkey", F.when(F.col("x").isNotNull(), F.size("x")).alias("n"), F.element_at("x", -1)["t"].alias("end_t"))
+
+
+@register("a5_one_profile", """
+WITH x AS (SELECT l_quantity::INTEGER AS k, l_orderkey AS trip, l_linenumber AS q, l_linenumber * (60 + l_partkey % 2) AS v FROM lineitem), r AS (SELECT *, v - first_value(v) OVER (PARTITION BY k, trip ORDER BY q, v) AS rel FROM x),
+s AS (SELECT k, trip, list(rel ORDER BY q, v) AS profile FROM r GROUP BY 1, 2) SELECT k, count(DISTINCT profile) AS n_profiles, CASE WHEN count(DISTINCT profile) = 1 THEN min(trip) END AS template FROM s GROUP BY k""")
+def a5_one_profile(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("k"), F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("q"), (F.col("l_linenumber") * (F.col("l_partkey") % 2 + 60)).alias("v"))
+    return aggregates.one_profile(x, ["k"], "trip", "q", "v")
+
+
+@register("a8_headway", "SELECT p_partkey, greatest(p_size, (p_size % 7) * 10, CASE WHEN p_partkey % 3 = 0 THEN 30 ELSE 0 END)::INTEGER AS headway_s FROM part")
+def a8_headway(spark, d):
+    part = t(spark, d, "part").withColumn("numbers", F.array("p_size", F.lit(None).cast("int"), F.col("p_size") % 7 * 10))
+    return aggregates.headway(part, ["p_partkey"], "numbers", F.when(F.col("p_partkey") % 3 == 0, 30).otherwise(0))
+
+
+@register("a13_first_sources", """
+SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority || o_orderstatus))[1:5], '|') AS sources FROM orders GROUP BY 1""")
+def a13_first_sources(spark, d):
+    o = t(spark, d, "orders").withColumn("url", F.concat("o_orderpriority", "o_orderstatus"))
+    return aggregates.first_sources(o, ["o_custkey"], "url").withColumn("sources", F.array_join("sources", "|"))
+
+
+@register("a15_percentile_matrix", """
+WITH a AS (SELECT user_id % 20 AS origin, event_id % 15 AS destination, CASE WHEN event_id % 400 <> 0 THEN value END AS s FROM events)
+SELECT origin, destination, CASE WHEN count(s) = count(*) THEN round(quantile_cont(s, 0.9), 6) END AS seconds FROM a GROUP BY 1, 2""")
+def a15_percentile_matrix(spark, d):
+    a = t(spark, d, "events").select((F.col("user_id") % 20).alias("origin"), (F.col("event_id") % 15).alias("destination"), F.when(F.col("event_id") % 400 != 0, F.col("value")).alias("seconds"))
+    return routing.percentile_matrix(a).withColumn("seconds", F.round("seconds", 6))
+
+
+@register("a21_holiday_services", """
+WITH a AS (SELECT o_custkey % 25 AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1) SELECT n_nationkey AS service_id FROM nation JOIN a ON k = n_nationkey WHERE n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0 AND n >= 20""")
+def a21_holiday_services(spark, d):
+    k = F.col("n_nationkey")
+    week = {day: F.lit(0) for day in ("tuesday", "wednesday", "thursday", "friday", "saturday")}
+    calendar = t(spark, d, "nation").select(k.alias("service_id"), (k % 2).alias("sunday"), (k % 3 == 0).cast("int").alias("monday")).withColumns(week)
+    dates = t(spark, d, "orders").select((F.col("o_custkey") % 25).alias("service_id"), F.col("o_orderdate").cast("date").alias("date"), (F.col("o_orderkey") % 3).alias("exception_type"))
+    return aggregates.holiday_services(dates, calendar, 20)
+
+
+@register("j23_transfer_links", """
+WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey // 8 END AS p, c_custkey // 16 AS name, c_custkey % 10 AS i FROM customer),
+l AS (SELECT a.k, 'platform' AS kind, b.k AS other FROM s a JOIN s b ON a.p = b.p AND a.k <> b.k UNION ALL SELECT a.k, 'station', b.k FROM s a JOIN s b ON a.name = b.name AND a.k <> b.k AND a.p IS DISTINCT FROM b.p AND abs(a.i - b.i) <= 2)
+SELECT k AS from_stop_id, kind, count(*) AS n, sum(other)::BIGINT AS others FROM l GROUP BY 1, 2""")
+def j23_transfer_links(spark, d):
+    k = F.col("c_custkey")
+    stops = t(spark, d, "customer").select(k.alias("stop_id"), F.when(k % 7 != 0, F.floor(k / 8)).alias("parent_station"), F.floor(k / 16).alias("name_key"), (F.lit(22.2) + (k % 10) * F.lit(0.002)).alias("lat"), F.lit(114.0).alias("lon"))
+    return enrich.transfer_links(stops).groupBy("from_stop_id", "kind").agg(F.count("*").alias("n"), F.sum("to_stop_id").alias("others"))
+
+
+@register("j34_leg_provenance", """
+WITH a AS (SELECT l_orderkey, min('u' || l_suppkey) AS url, max(l_partkey) AS rev, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, min('v' || l_suppkey) AS url, list_sort(list(DISTINCT l_linestatus)) AS w FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1)
+SELECT o_orderkey AS trip_id, a.url AS shape_url, a.rev AS shape_revision, b.url AS time_url, array_to_string(list_concat(CASE WHEN r THEN ['returned'] ELSE [] END, coalesce(w, [])), ',') AS warnings FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
+def j34_leg_provenance(spark, d):
+    l = t(spark, d, "lineitem")
+    source = lambda rows, mark, warning: rows.select(F.col("l_orderkey").alias("trip_id"), F.concat(F.lit(mark), F.col("l_suppkey").cast("string")).alias("url"), F.col("l_partkey").alias("revision"), warning.alias("warning"))
+    sources = {"shape": source(l, "u", F.when(F.col("l_returnflag") == "R", "returned")), "time": source(l.where("l_linenumber % 2 = 0"), "v", F.col("l_linestatus"))}
+    got = enrich.leg_provenance(t(spark, d, "orders").select(F.col("o_orderkey").alias("trip_id")), sources)
+    return got.select("trip_id", F.col("shape.url").alias("shape_url"), F.col("shape.revision").alias("shape_revision"), F.col("time.url").alias("time_url"), F.array_join("warnings", ",").alias("warnings"))

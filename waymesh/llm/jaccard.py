@@ -226,7 +226,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted's rows (id, f1, ...) with `words`: the sorted shingles, as bytes, of that id's text with that fingerprint."""
+    """wanted's rows (id, f1, ...) with `words`: the sorted shingles, as bytes, of that id's text with that fingerprint, once each."""
     spark = docs.sparkSession
     # a bitmap of fixed size keeps most other texts from the shuffle; the join itself is exact
     bits = 1 << 23
@@ -239,6 +239,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        met: set[tuple] = set()  # a text that stands in very many rows is sent once by each task
         for batch in batches:
             at = np.asarray(batch.column(2))
             hit = np.flatnonzero((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
@@ -248,11 +249,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             data, starts, ends = strings(batch.column(1))
             for i, j in slices(starts, ends):
                 keys, first = shingle_sets(data, starts[i:j], ends[i:j])
-                raw = [keys[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fingerprints(keys, first)), pa.array(raw, pa.binary())], names=["id", "f1", "words"])
+                names = list(zip(batch.column(0)[i:j].to_pylist(), fingerprints(keys, first).tolist()))
+                new = [k for k, name in enumerate(names) if not (name in met or met.add(name))]
+                raw = [keys[first[k] : first[k + 1]].tobytes() for k in new]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[k][0] for k in new], pa.int64()), pa.array([names[k][1] for k in new], pa.int64()), pa.array(raw, pa.binary())],
+                    names=["id", "f1", "words"],
+                )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).withColumn("bit", hashed)
-    return wanted.join(rows.mapInArrow(lean(run), "id bigint, f1 bigint, words binary"), ["id", "f1"])
+    met = wanted.join(rows.mapInArrow(lean(run), "id bigint, f1 bigint, words binary"), ["id", "f1"])
+    return met.dropDuplicates(["id", "f1"])  # dealt as the join deals: the words move once
 
 
 class SignatureTree:
@@ -377,10 +384,8 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tree_join(spark: SparkSession, grouped: DataFrame) -> DataFrame | None:
-    """Links that make the components of (gid, id, words): spanning edges, written."""
-    # a table of its own: joining it, Spark can split a group with very many sets
-    sizes = stash(grouped.groupBy("gid").agg(F.count("*").alias("m")), "sizes")
-    rows = grouped.join(sizes, "gid").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+    """Links that make the components of (gid, m, id, words), m the sets of a group: spanning edges, written."""
+    rows = grouped.withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     # first round: one block holds a whole small group; large groups are dealt twice, so that blocks overlap
     turns = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     first = rows.withColumn("turn", F.explode(turns)).withColumn("blk", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id", "turn"), F.col("blocks"))).otherwise(F.lit(0)))
@@ -422,10 +427,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = connected(spark, edges, "grouped")
     unstash(edges)
     reps = rows.where("n > 0 and id is not null").groupBy("f1").agg(F.min("id").alias("id"))
-    wanted = stash(reps.join(groups, F.col("f1") == F.col("node")).select("id", "f1", F.col("label").alias("gid")), "wanted")
+    grouped = stash(reps.join(groups, F.col("f1") == F.col("node")).select("id", "f1", F.col("label").alias("gid")), "grouped-sets")
+    # sizes are joined before the words are there; a table of its own, so that Spark can split a group with very many sets
+    sizes = stash(grouped.groupBy("gid").agg(F.count("*").alias("m")), "sizes")
+    wanted = stash(grouped.join(sizes, "gid"), "wanted")
     # a set is named by its fingerprint: an id can have several
-    sets = _sets_of(docs, wanted, id_col, text_col).dropDuplicates(["f1"]).select("gid", F.col("f1").alias("id"), "words")
-    sets = stash(sets, "sets")
+    sets = stash(_sets_of(docs, wanted, id_col, text_col).select("gid", "m", F.col("f1").alias("id"), "words"), "sets")
     free_shuffles(spark)
     links = _tree_join(spark, sets)
     unstash(sets)

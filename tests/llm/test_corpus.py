@@ -164,6 +164,31 @@ def test_bpe_appends_and_edits():
     assert long.replace(2000, 2001, "x") < 12
 
 
+def test_bpe_edits_of_one_long_piece(monkeypatch):
+    """An edit near the start leaves the far prefixes as they are, and all are right."""
+    vocabulary = bpe.encoder(tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN).vocabulary
+    rng, computed, extend = random.Random(7), [], vocabulary.extend
+
+    def counting(piece, last, upto=None):
+        before = len(last)
+        extend(piece, last, upto)
+        computed.append(len(last) - before)
+
+    monkeypatch.setattr(vocabulary, "extend", counting)
+    whole = bytes(rng.choice(b"abcdethersion") for _ in range(6000))
+    state = bpe.PrefixState(vocabulary, whole)
+    for k in range(60):
+        a = rng.randrange(1000) if k % 3 else rng.choice([0, len(whole), len(whole) - 1])
+        b, new = min(len(whole), a + rng.randrange(4)), bytes(rng.choice(b"abcdethe") for _ in range(rng.randrange(5)))
+        computed.clear()
+        state.replace(a, b, new)
+        whole = whole[:a] + new + whole[b:]
+        assert sum(computed) <= len(new) + 4 * vocabulary.longest
+        fresh: list[int] = []
+        extend(whole, fresh)
+        assert state.piece == whole and state.last == fresh
+
+
 def sets():
     out = {}
     for i, t in texts().items():

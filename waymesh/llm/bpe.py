@@ -4,7 +4,7 @@ For every byte prefix of a piece there is exactly one token that may stand last
 prefix's encoding: a vocabulary entry t that ends there and whose predecessor (the last
 token of what is left of t) does not merge differently with t. Storing that one token per
 prefix gives the encoding of every prefix, so bytes can be appended exactly, and after an
-edit only the prefixes from the edit on are computed again.
+edit only the prefixes from the edit to where the old tokens stand again are computed.
 
 Defined results: null text is empty text (no ids, digests of nothing); every string is
 ordinary text, special tokens do not exist.
@@ -75,10 +75,10 @@ class Vocabulary:
             self._pairs[pair] = known
         return known
 
-    def extend(self, piece: bytes, last: list[int]) -> None:
-        """Put the last token of each prefix of `piece` beyond len(last) into `last`."""
+    def extend(self, piece: bytes, last: list[int], upto: int | None = None) -> None:
+        """Put the last token of each prefix of `piece` beyond len(last), of up to `upto` bytes, into `last`."""
         find, known, longest = self.ranks.get, self._pairs.get, self.longest
-        for end in range(len(last) + 1, len(piece) + 1):
+        for end in range(len(last) + 1, (len(piece) if upto is None else upto) + 1):
             # only one entry can stand last, so short ones, which mostly do, are tried first
             for start in range(end - 1, end - longest - 1 if end > longest else -1, -1):
                 token = find(piece[start:end])
@@ -120,10 +120,21 @@ class PrefixState:
         self.piece, self.last = self.piece[:size], self.last[:size]
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """Put `new` in place of bytes [start, end): only prefixes from `start` on are computed."""
-        tail = self.piece[end:]
-        self.cut(start)
-        self.append(new + tail)
+        """Put `new` in place of bytes [start, end).
+
+        Prefixes are computed from `start` on, until as many in a row as the longest entry has
+        bytes end in their old tokens: all that follow depend on these alone, and stay.
+        """
+        old, step = self.last[end:], self.vocabulary.longest
+        tail = start + len(new)
+        self.piece = self.piece[:start] + new + self.piece[end:]
+        del self.last[start:]
+        self.vocabulary.extend(self.piece, self.last, tail)
+        for done in range(0, len(old), step):
+            self.vocabulary.extend(self.piece, self.last, min(tail + done + step, len(self.piece)))
+            if self.last[tail + done :] == old[done : done + step]:
+                self.last += old[done + step :]
+                return
 
     def ids(self) -> list[int]:
         return self.vocabulary.unwind(self.last)

@@ -1,44 +1,45 @@
 """Words, word windows and lines of many texts at once, as numpy hashes over UTF-8 bytes.
 
 A word is a maximal run of bytes other than space and the controls 9 to 13, which is what the
-pattern `[^\\x20\\x09-\\x0D]+` matches. Words are hashed by a polynomial of random 64-bit byte
-codes; windows of words by a polynomial of the mixed word hashes. Two different windows have
-equal hashes with a chance of about 2^-64.
+pattern `[^\\x20\\x09-\\x0D]+` matches. Segments of up to SHORT bytes are hashed by two polynomials
+modulo primes near 2^32: two different segments of n bytes collide for n of the 2^32 bases of
+each prime at most, whatever the bytes. Longer segments are hashed by BLAKE2. Windows of words
+are hashed by a polynomial of the mixed word hashes. Where a batch holds all that is compared,
+`word_ids` tells words apart by their bytes instead.
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
-_rng = np.random.default_rng(0x5EED)
-#: A random 64-bit code for each byte, and odd multipliers.
-CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-STEP = U(0xD6E8FEB86659FD93)
+#: Bytes of a segment that polynomials hash.
+SHORT = 64
+#: The primes below 2^32 that are largest, and a base of each.
+PRIMES, BASES = (4294967291, 4294967279), (2654435769, 1779033703)
 _SEPARATOR = np.zeros(256, np.bool_)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER_CODE = CODE[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _PIECE = 1 << 20
-_POWER: list[np.ndarray] = []
+_POWER: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP^i and STEP^-i modulo 2^64 for i < n."""
-    if not _POWER or len(_POWER[0]) < n:
-        size = max(n, _PIECE + (1 << 12))
-        inverse = U(pow(int(STEP), -1, 1 << 64))
-        _POWER[:] = [_series(STEP, size), _series(inverse, size)]
-    return _POWER[0], _POWER[1]
+def powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime p, base^i and base^-i modulo p for i of a piece."""
+    if not _POWER:
+        _POWER.extend((_series(b, p), _series(pow(b, -1, p), p)) for b, p in zip(BASES, PRIMES))
+    return _POWER
 
 
-def _series(base: np.uint64, size: int) -> np.ndarray:
+def _series(base: int, prime: int, size: int = _PIECE + SHORT + 1) -> np.ndarray:
     out = np.ones(size, np.uint64)
-    filled, top = 1, int(base)
+    filled = 1
     while filled < size:
         more = min(filled, size - filled)
-        out[filled : filled + more] = out[:more] * U(top)
-        top = top * top % (1 << 64)
+        out[filled : filled + more] = out[:more] * U(pow(base, filled, prime)) % U(prime)
         filled += more
     return out
 
@@ -55,32 +56,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A hash of data[start:end] for each of the sorted, disjoint segments."""
     out = np.zeros(len(starts), np.uint64)
-    code = _LOWER_CODE if lower else CODE
-    i, n = 0, len(starts)
+    size = ends - starts
+    for k in np.flatnonzero(size > SHORT):
+        piece = data[starts[k] : ends[k]]
+        out[k] = int.from_bytes(hashlib.blake2b((LOWER[piece] if lower else piece).tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= SHORT)
+    i, n = 0, len(short)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE, side="right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        if j == i + 1 and b - a > _PIECE:
-            out[i] = _long_hash(data, a, b, code)
-        else:
-            power, inverse = powers(b - a + 1)
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(code[data[a:b]] * power[: b - a], out=total[1:])
-            s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = (total[e] - total[s]) * inverse[s]
+        a = int(starts[short[i]])
+        j = max(i + 1, int(np.searchsorted(ends[short], a + _PIECE, side="right")))
+        own = short[i:j]
+        piece = data[a : int(ends[own[-1]])]
+        code = (LOWER[piece] if lower else piece).astype(np.uint64) + U(1)
+        s, e = starts[own] - a, ends[own] - a
+        for (power, inverse), prime, shift in zip(powers(), PRIMES, (0, 32)):
+            # at most 2^20 terms under 2^41: no sum passes 64 bits
+            total = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(code * power[: len(code)], out=total[1:])
+            out[own] |= (total[e] - total[s]) % U(prime) * inverse[s] % U(prime) << U(shift)
         i = j
-    return mix(out + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-
-
-def _long_hash(data: np.ndarray, a: int, b: int, code: np.ndarray) -> np.uint64:
-    power, _ = powers(_PIECE + 1)
-    total, scale = U(0), U(1)
-    with np.errstate(over="ignore"):
-        for at in range(a, b, _PIECE):
-            end = min(b, at + _PIECE)
-            total += (code[data[at:end]] * power[: end - at]).sum(dtype=np.uint64) * scale
-            scale *= U(pow(int(STEP), end - at, 1 << 64))
-    return total
+    return mix(out + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+
+def word_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each of the sorted, disjoint, non-empty segments; equal ones, byte by byte, have the same."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    a = int(begin[0])
+    edge = np.zeros(int(end[-1]) - a + 1, np.int8)
+    edge[begin - a] += 1
+    edge[end - a] -= 1
+    bytes_ = data[a : int(end[-1])][np.cumsum(edge[:-1], dtype=np.int8).astype(np.bool_)]
+    offsets = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(end - begin, out=offsets[1:])
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])
+    return np.asarray(array.dictionary_encode().indices).astype(np.uint64)
 
 
 def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -68,7 +68,7 @@ class Texts:
     def words(self) -> np.ndarray:
         if self._words is None:
             begin, end, _ = self.spans()
-            self._words = _words.segment_hashes(self.data, begin, end)
+            self._words = _words.mix(_words.word_ids(self.data, begin, end))  # one to one
         return self._words
 
 
@@ -103,14 +103,25 @@ def n_symbols(t: Texts) -> np.ndarray:
     return total[t.ends - a] - total[t.starts - a]
 
 
-def _again(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(has an earlier equal (owner, key), has any other equal one) for each element."""
+def _again(owner: np.ndarray, key: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(has an earlier equal (owner, key), has any other equal one) for each element.
+
+    parts, if given, are what key is a hash of: elements are equal only if all of these are.
+    """
     n = len(key)
     both = _words.mix(key ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(both, kind="stable")
     same = np.zeros(n, np.bool_)
     if n > 1:
-        same[1:] = (both[order[1:]] == both[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        alike = both[order[1:]] == both[order[:-1]]
+        same[1:] = alike & (owner[order[1:]] == owner[order[:-1]])
+        for part in parts:
+            same[1:] &= part[order[1:]] == part[order[:-1]]
+        if (same[1:] != alike).any():  # a hash of different elements: they may stand between equal ones
+            order = np.lexsort((*parts[::-1], key, owner))
+            same[1:] = (owner[order[1:]] == owner[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+            for part in parts:
+                same[1:] &= part[order[1:]] == part[order[:-1]]
     later = np.zeros(n, np.bool_)
     later[order] = same
     shared = same.copy()
@@ -151,7 +162,10 @@ def lines_with_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def n_dup_lines(t: Texts) -> np.ndarray:
     begins, ends, rows = lines_with_words(t)
-    later, _ = _again(rows, _words.segment_hashes(t.data, begins, ends))
+    full = ends > begins
+    ids = np.zeros(len(rows), np.uint64)
+    ids[full] = _words.word_ids(t.data, begins[full], ends[full])
+    later, _ = _again(rows, ids)
     return np.bincount(rows[later], minlength=len(t)).astype(np.int64)
 
 
@@ -167,7 +181,7 @@ def n_repeat_words(t: Texts, size: int = 5) -> np.ndarray:
     owner = np.repeat(np.arange(len(t)), counts)
     inside = owner[: len(windows)] == owner[size - 1 :] if len(windows) else np.zeros(0, np.bool_)
     at_window = np.flatnonzero(inside)
-    _, every = _again(owner[at_window], windows[at_window])
+    _, every = _again(owner[at_window], windows[at_window], *(words[at_window + k] for k in range(size)))
     edge = np.zeros(len(words) + 1, np.int64)
     hit = at_window[every]
     np.add.at(edge, hit, 1)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, langid, mixing, quality, secrets, substrings, token_counts, warc
+from . import bpe, embeddings, jaccard, langid, merkle, mixing, quality, secrets, substrings, token_counts, warc
 from ._shared import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,7 +60,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(histogram).drop("grp")
 
 
-_ALL = [op1_language_id, op2_byte_bpe, op3_ngram_jaccard, op4_suffix_dedup, op5_source_mix, op6_embedding_dedup, op7_secrets, op8_quality_rules, op9_warc_index, op10_token_counts]
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and path, and what is found where a share of the rows has another n_chars."""
+    shown = merkle.manifest(
+        table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+        tampered={"n_chars": F.col("n_chars") + 1}, where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+    )
+    return shown.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "path"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+_ALL = [op1_language_id, op2_byte_bpe, op3_ngram_jaccard, op4_suffix_dedup, op5_source_mix, op6_embedding_dedup, op7_secrets, op8_quality_rules, op9_warc_index, op10_token_counts, op11_merkle_manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,9 +51,35 @@ PIECE = 1 << 20
 #: Bytes of texts whose contexts are first compared with each other.
 STRETCH = 8 << 20
 U = np.uint64
+_rng = np.random.default_rng(0x5EED)
+#: Codes of bytes and the base of the prefix hashes modulo 2^64. Strings of under 1,024 bytes are
+#: compared by them; only longer ones can collide whatever the codes.
+CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+STEP = U(0xD6E8FEB86659FD93)
+_POWER: list[np.ndarray] = []
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP^i and STEP^-i modulo 2^64 for i < n."""
+    if not _POWER or len(_POWER[0]) < n:
+        size = max(n, PIECE + (1 << 12))
+        inverse = U(pow(int(STEP), -1, 1 << 64))
+        _POWER[:] = [_series(STEP, size), _series(inverse, size)]
+    return _POWER[0], _POWER[1]
+
+
+def _series(base: np.uint64, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    filled, top = 1, int(base)
+    while filled < size:
+        more = min(filled, size - filled)
+        out[filled : filled + more] = out[:more] * U(top)
+        top = top * top % (1 << 64)
+        filled += more
+    return out
+
+
 def pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(starts, ends, row, offset in the row) of adjacent spans; a long row comes in overlapping parts of its own."""
     for i, j in slices(starts, ends, PIECE):
@@ -74,9 +100,9 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         if n < LENGTH:
             continue
         d = data[a:b]
-        power, inverse = _words.powers(n + 1)
+        power, inverse = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_words.CODE[d] * power[:n], out=total[1:])
+        np.cumsum(CODE[d] * power[:n], out=total[1:])
         gram = _words.mix((total[K:] - total[:-K]) * inverse[: n - K + 1])
         low = (gram >> U(22)) << U(22) | np.arange(len(gram), dtype=np.uint64)
         width, have = LENGTH - K + 1, 1
@@ -261,9 +287,9 @@ class Suffixes:
 
     def __init__(self, buffer: np.ndarray, at: np.ndarray) -> None:
         self.buffer, self.at = buffer, at
-        power, inverse = _words.powers(len(buffer) + 1)
+        power, inverse = powers(len(buffer) + 1)
         self.total = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_words.CODE[buffer] * power[: len(buffer)], out=self.total[1:])
+        np.cumsum(CODE[buffer] * power[: len(buffer)], out=self.total[1:])
         self.scale, self.base = inverse[at], self.total[at]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -388,7 +414,7 @@ def _sorted_blocks(blocks: DataFrame) -> DataFrame:
         if len(left):
             c = ctx[left]
             begin = (np.cumsum(size) - size)[c] + offset[left]
-            _, inverse = _words.powers(len(buffer) + 1)
+            _, inverse = powers(len(buffer) + 1)
             window = _words.mix((suffixes.total[begin + LENGTH] - suffixes.total[begin]) * inverse[begin] + (place[c] - offset[left]).astype(np.uint64))
             # key and window hash together name the string: both of 64 bits
             yield _found(CONTEXT, key[c], doc[c], lo[c] + offset[left], np.full(len(c), LENGTH), np.zeros(len(c)), window)

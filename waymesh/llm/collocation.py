@@ -7,8 +7,9 @@ keys builds them: a run of equal keys is a node, a node with the count of its pa
 parent's state, and the parent of a state's shortest phrase is its suffix link. Every state
 yields the phrases from its shortest to its longest with one count.
 
-1. Words and pairs: every shard gives (hash of the phrase, count); hashes whose sum reaches the
-   least count are put into a bitmap of fixed size.
+1. Words and pairs: every shard gives hashes with counts, packed by ranges of the hash whose
+   number grows with the text; hashes whose sum reaches the least count are put into a bitmap of
+   fixed size.
 2. Every shard gives, in words, the phrases that may reach the least count: those in the bitmap,
    and longer ones whose first part is in it and whose suffix link leads to one that is. Their
    counts are summed by words, so they are exact whatever the hashes; those of hashes only leave
@@ -40,7 +41,9 @@ UND = "und"
 #: Most words of a phrase, and fewest occurrences.
 LONGEST, LEAST = 3, 10
 #: Bytes of texts in a shard; one longer text is a shard of its own.
-SHARD = 16 << 20
+SHARD = 6 << 20
+#: Bytes of text for each range of hashes.
+RANGE_BYTES = 4 << 20
 #: Bits of the bitmap of frequent phrases, and of a page of it.
 BITS, PAGE_BITS = 1 << 26, 1 << 15
 #: A phrase that makes up this share of all words, of which there are at most as many, is hot.
@@ -206,25 +209,58 @@ def _coded(shard: Shard, names: list[str]) -> None:
 
 
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a hash."""
-    return (hashes & U(BITS - 1)).astype(np.int64), (hashes >> U(32) & U(BITS - 1)).astype(np.int64)
+    """The two bits of a hash's lowest 40 bits."""
+    mixed = _words.mix(hashes & U((1 << 40) - 1))
+    return (mixed & U(BITS - 1)).astype(np.int64), (mixed >> U(32) & U(BITS - 1)).astype(np.int64)
+
+
+#: What is shuffled of a hash: its range, then packed the bits below and a count (no more is kept than can matter).
+_PACKED = np.dtype([("low", "<u4"), ("mid", "u1"), ("n", "u1")])
+
+
+def _packed(hashes: np.ndarray, counts_: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, packed 40 bits and counts) of hashes, dealt by their highest bits."""
+    of = (hashes >> U(40)) * U(ranges) >> U(24)
+    order = np.argsort(of, kind="stable")
+    of, hashes, counts_ = of[order], hashes[order], counts_[order]
+    out = np.empty(len(hashes), _PACKED)
+    out["low"], out["mid"], out["n"] = hashes & U(0xFFFFFFFF), hashes >> U(32) & U(0xFF), np.minimum(counts_, 255)
+    cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    for i, j in zip(cut, np.r_[cut[1:], len(of)]):
+        yield int(of[i]), out[i:j].tobytes()
 
 
 def frequent(texts: DataFrame, least: int) -> bytes:
-    """A bitmap that holds the hashes of all words and pairs that occur `least` times; others by chance."""
+    """A bitmap that holds the hashes of all words and pairs that occur `least` times (255 at most); others by chance.
+
+    Hashes are dealt to ranges of about RANGE_BYTES of text each, whatever the input's size.
+    """
+    if least > 255:
+        raise ValueError("least is 255 at most")
+    size = texts.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0
+    ranges = min(1 << 24, max(64, -(-size // RANGE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, names in _shards(batches):
             automaton = Automaton(shard, 2)
             _coded(shard, names)
-            for length in (1, 2):
-                states = automaton.phrases(length)
-                for i in range(0, len(states), 1 << 17):
-                    part = states[i : i + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(shard, automaton.at[part], length).astype(np.int64)), pa.array(automaton.count[part])], names=["h", "n"])
-
-    known = texts.mapInArrow(lean(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bits = known.select(F.explode(F.array(F.col("h").bitwiseAND(BITS - 1), F.call_function("shiftrightunsigned", F.col("h"), F.lit(32)).bitwiseAND(BITS - 1))).alias("bit"))
+            both = [(phrase_hash(shard, automaton.at[x], k), automaton.count[x]) for k, x in ((k, automaton.phrases(k)) for k in (1, 2))]
+            found = list(_packed(np.concatenate([h for h, _ in both]), np.concatenate([n for _, n in both]), ranges))
+            del shard, automaton, both
+            for i in range(0, len(found), 1 << 12):
+                part = found[i : i + (1 << 12)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["r", "x"])
+
+    def summed(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(rows["x"].to_pylist()), _PACKED)
+        h = x["mid"].astype(np.uint64) << U(32) | x["low"]
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        many = np.add.reduceat(x["n"][order].astype(np.int64), first) >= least
+        return pa.table({"bit": np.unique(np.concatenate(_places(h[first[many]])))})
+
+    bits = texts.mapInArrow(lean(run), "r int, x binary").groupBy("r").applyInArrow(summed, "bit bigint")
     pages = bits.groupBy(F.floor(F.col("bit") / PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias("map"))
     out = bytearray(BITS // 8)
     for row in pages.collect():  # at most BITS / PAGE_BITS rows of 4 KB

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocation, embeddings, jaccard, langid, merkle, mixing, quality, secrets, substrings, token_counts, warc
+from . import bpe, classifier, collocation, embeddings, jaccard, langid, merkle, mixing, quality, secrets, substrings, token_counts, warc
 from ._shared import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -69,11 +69,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "path"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+#: The least score of a document that is called good.
+GOOD = 0.3
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classifier.fit(docs, labels.where(~classifier.held_out()))
+    scored = classifier.predict(docs, model)
+    return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine(table(spark, sf_dir, "documents")).select(F.col("grp").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-_ALL = [op1_language_id, op2_byte_bpe, op3_ngram_jaccard, op4_suffix_dedup, op5_source_mix, op6_embedding_dedup, op7_secrets, op8_quality_rules, op9_warc_index, op10_token_counts, op11_merkle_manifest, op13_collocations]
+_ALL = [op1_language_id, op2_byte_bpe, op3_ngram_jaccard, op4_suffix_dedup, op5_source_mix, op6_embedding_dedup, op7_secrets, op8_quality_rules, op9_warc_index, op10_token_counts, op11_merkle_manifest, op12_quality_classifier, op13_collocations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.clock import minutes_to_seconds
 from waymesh.operators.aggregates import consensus
-from waymesh.operators.intervals import intersect, lanes, union_windows
 
 
 def same_train(journeys: DataFrame) -> DataFrame:
@@ -72,48 +71,6 @@ def shift_bands(connections: DataFrame, frequencies: DataFrame) -> DataFrame:
     return connections.select("trip_id", "parent_id", "shift_s").join(f, "parent_id").select("trip_id", (F.col("start_s") + F.col("shift_s")).alias("start_s"), (F.col("end_s") + F.col("shift_s")).alias("end_s"), "headway_secs", "exact_times")
 
 
-def interchange_windows(journeys: DataFrame, bands: DataFrame, dates: DataFrame, most_sections: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Availability of whole interchange journeys; (windows, missing).
-
-    journeys: (path_id, sections array<struct(key, offset_s)>, total_s); bands: (section_key,
-    service_id, start_s, end_s, headway_secs, exact_times); dates: (service_id, date). The first
-    section's bands rule; each later section's availability, moved back by its offset, is
-    intersected with them on every date. Every section must have a timetable, else the path is
-    reported. The number of sections bounds the joins.
-    """
-    s = journeys.select("path_id", F.posexplode("sections").alias("n", "x")).select("path_id", "n", F.col("x.key").alias("section_key"), F.col("x.offset_s").alias("offset_s"))
-    missing = s.join(bands.select("section_key").distinct(), "section_key", "left_anti").select("path_id", "section_key").distinct()
-    usable = s.join(missing.select("path_id").distinct(), "path_id", "left_anti")
-    dated = bands.join(dates, "service_id")
-    first = usable.where("n = 0").join(dated, "section_key").select("path_id", "date", "headway_secs", "exact_times", F.col("start_s").alias("a"), F.col("end_s").alias("b"))
-    out = first
-    for k in range(1, most_sections):
-        part = usable.where(F.col("n") == k).join(dated, "section_key").select("path_id", "date", (F.col("start_s") - F.col("offset_s")).alias("a"), (F.col("end_s") - F.col("offset_s")).alias("b"))
-        part = union_windows(part, ["path_id", "date"])
-        has = usable.where(F.col("n") == k).select("path_id").distinct()
-        rest = out.join(has, "path_id", "left_anti")
-        keyed = out.join(has, "path_id", "left_semi")
-        # the ruling band's headway travels as part of the key of its windows
-        joined = intersect_keyed(keyed, part)
-        out = rest.unionByName(joined)
-    return out.withColumnsRenamed({"a": "start_s", "b": "end_s"}), missing
-
-
-def intersect_keyed(bands: DataFrame, windows: DataFrame, size: int = 3600) -> DataFrame:
-    """bands (path_id, date, headway_secs, exact_times, a, b) cut to the windows (path_id, date, a, b)."""
-    key = ["path_id", "date"]
-    variants = bands.select(*key, "headway_secs", "exact_times").distinct()
-    wide = windows.join(variants, key)
-    return intersect(bands, wide, [*key, "headway_secs", "exact_times"], size)
-
-
-def bundle(windows: DataFrame) -> DataFrame:
-    """Windows of a path grouped by identical (start, end, headway, exact) -> dates, with a service key, in lanes."""
-    day = windows.groupBy("path_id", "start_s", "end_s", "headway_secs", "exact_times").agg(F.array_sort(F.collect_set(F.date_format("date", "yyyyMMdd"))).alias("dates"))
-    keyed = day.withColumn("service_key", F.substring(F.sha2(F.array_join("dates", ","), 256), 1, 16)).drop("dates")
-    return lanes(keyed, ["path_id", "service_key"], ["headway_secs"], "start_s", "end_s")
-
-
 def apply_edges(stop_times: DataFrame, evidence: DataFrame, edge) -> DataFrame:
     """stop_times (trip_id, stop_sequence, stop_id, arrival_s, departure_s) re-timed with evidence seconds where an edge has them."""
     from waymesh.operators.sequences import propagate

@@ -113,7 +113,7 @@ def test_automaton(seed, depth):
 def test_filter_keeps_all_frequent(spark):
     rows = rows_of(5)
     docs = spark.createDataFrame(rows, "grp string, t string")
-    bitmap = np.frombuffer(collocation.frequent(docs, 10), np.uint8)
+    bitmap = np.frombuffer(collocation.frequent(docs, 10, collocation.hash_ranges(docs)), np.uint8)
     shard, names = shard_of(rows)
     automaton = collocation.Automaton(shard, 2)
     collocation._coded(shard, names)

@@ -220,7 +220,7 @@ _PACKED = np.dtype([("low", "<u4"), ("mid", "u1"), ("n", "u1")])
 
 def _packed(hashes: np.ndarray, counts_: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, packed 40 bits and counts) of hashes, dealt by their highest bits."""
-    of = (hashes >> U(40)) * U(ranges) >> U(24)
+    of = range_of(hashes, ranges)
     order = np.argsort(of, kind="stable")
     of, hashes, counts_ = of[order], hashes[order], counts_[order]
     out = np.empty(len(hashes), _PACKED)
@@ -230,15 +230,20 @@ def _packed(hashes: np.ndarray, counts_: np.ndarray, ranges: int) -> Iterator[tu
         yield int(of[i]), out[i:j].tobytes()
 
 
-def frequent(texts: DataFrame, least: int) -> bytes:
-    """A bitmap that holds the hashes of all words and pairs that occur `least` times (255 at most); others by chance.
+def hash_ranges(texts: DataFrame) -> int:
+    """Ranges of hashes to deal phrases to: one for about RANGE_BYTES of text, whatever the input's size."""
+    size = texts.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0
+    return min(1 << 24, max(64, -(-size // RANGE_BYTES)))
 
-    Hashes are dealt to ranges of about RANGE_BYTES of text each, whatever the input's size.
-    """
+
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> U(40)) * U(ranges) >> U(24)).astype(np.int64)
+
+
+def frequent(texts: DataFrame, least: int, ranges: int) -> bytes:
+    """A bitmap that holds the hashes of all words and pairs that occur `least` times (255 at most); others by chance."""
     if least > 255:
         raise ValueError("least is 255 at most")
-    size = texts.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0
-    ranges = min(1 << 24, max(64, -(-size // RANGE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, names in _shards(batches):
@@ -273,26 +278,44 @@ def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[one >> 3] >> (one & 7) & bitmap[other >> 3] >> (other & 7) & 1).astype(np.bool_)
 
 
+_BLOCK = "r int, grp string, k int, phrases array<string>, n array<int>"
+
+
+def _blocks(k: int, hashes: np.ndarray, ranges: int, groups: np.ndarray, names: list[str], phrases, sums: np.ndarray) -> pa.RecordBatch:
+    """A row for each range and group of some phrases of k words: lists of phrases and counts, which pack better than rows."""
+    key = range_of(hashes, ranges) * len(names) + groups
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    at = pa.array(np.r_[first, len(key)].astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array((key[first] // len(names)).astype(np.int32)),
+            pa.array(names, pa.string()).take(pa.array(key[first] % len(names))),
+            pa.array(np.full(len(first), k, np.int32)),
+            pa.ListArray.from_arrays(at, phrases.take(pa.array(order))),
+            pa.ListArray.from_arrays(at, pa.array(sums[order].astype(np.int32))),
+        ],
+        names=["r", "grp", "k", "phrases", "n"],
+    )
+
+
 def counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(grp, k, phrase, n) of texts (group, text): exact counts of all phrases that occur `least` times.
 
     One more row a group, k 0 and phrase null, has the number of its words.
     """
-    held = texts.sparkSession.sparkContext.broadcast(frequent(texts, least))
+    ranges = hash_ranges(texts)
+    held = texts.sparkSession.sparkContext.broadcast(frequent(texts, least, ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(held.value, np.uint8)
-
-        def batch(groups, k: int, phrases, sums) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([groups, pa.array(np.full(len(sums), k, np.int32)), phrases, pa.array(sums)], names=["grp", "k", "phrase", "n"])
-
         for shard, names in _shards(batches):
             automaton = Automaton(shard, longest)
             of = shard.of
             _coded(shard, names)
-            known = pa.array(names, pa.string())
-            sizes = np.bincount(shard.group, minlength=len(names))
-            yield batch(known, 0, pa.nulls(len(names), pa.string()), sizes)
+            codes = np.array([group_code(x) for x in names], np.uint64)
+            yield _blocks(0, _words.mix(codes), ranges, np.arange(len(names)), names, pa.nulls(len(names), pa.string()), np.bincount(shard.group, minlength=len(names)))
             kept = np.zeros(len(automaton.at), np.bool_)  # the state's phrase one word shorter than the present length
             for length in range(1, longest + 1):
                 states = automaton.phrases(length)
@@ -307,15 +330,23 @@ def counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
                 kept[:] = False
                 kept[states[good]] = True
                 states, at = states[good], at[good]
-                for i in range(0, len(states), 1 << 15):
-                    part = at[i : i + (1 << 15)]
-                    words = [pc.take(shard.names, pa.array(shard.name[shard.number[part - k] - 1])) for k in range(length - 1, -1, -1)]
-                    phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if length > 1 else words[0]
-                    group = known.take(pa.array(of[shard.number[part] - 1]))
-                    yield batch(group, length, phrases.cast(pa.binary()).cast(pa.string()), automaton.count[states[i : i + (1 << 15)]])
+                if not len(states):
+                    continue
+                words = [pc.take(shard.names, pa.array(shard.name[shard.number[at - k] - 1])) for k in range(length - 1, -1, -1)]
+                phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if length > 1 else words[0]
+                del words
+                yield _blocks(length, phrase_hash(shard, at, length), ranges, of[shard.number[at] - 1], names, phrases.cast(pa.binary()).cast(pa.string()), automaton.count[states])
+                del phrases
+
+    def summed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        phrases = pc.list_flatten(rows["phrases"])
+        owner = pc.list_parent_indices(rows["phrases"])
+        flat = pa.table({"grp": rows["grp"].take(owner), "k": rows["k"].take(owner), "phrase": phrases, "n": pc.list_flatten(rows["n"]).cast(pa.int64())})
+        total = flat.group_by(["grp", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["grp", "k", "phrase", "n"])
+        return total.filter(pc.or_(pc.greater_equal(total["n"], least), pc.equal(total["k"], 0)))
 
-    got = texts.mapInArrow(lean(run), "grp string, k int, phrase string, n bigint").groupBy("grp", "k", "phrase").agg(F.sum("n").alias("n"))
-    return got.where((F.col("n") >= least) | (F.col("k") == 0))
+    return texts.mapInArrow(lean(run), _BLOCK).groupBy("r").applyInArrow(summed, "grp string, k int, phrase string, n bigint")
 
 
 def _looked_up(rows: DataFrame, key: str, known: DataFrame, hot: DataFrame, name: str) -> DataFrame:
@@ -343,7 +374,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def best(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
     """The first `top` rows of each grp, as rank from 1 on, found in rounds of ever fewer groups."""
-    for share in (4096, 64):
+    for share in (4096, 128, 4):
         own = Window.partitionBy("grp", F.pmod(F.xxhash64("phrase"), F.lit(share))).orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top).drop("rank")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)

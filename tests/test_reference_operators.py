@@ -194,16 +194,6 @@ def test_all_pairs_never_subtract(spark):
     assert all(r["start_s"] == 0 for r in rail.shift_bands(made, bands).collect())
 
 
-def test_interchange_windows(spark):
-    j = spark.createDataFrame([("p", [("s1", 0), ("s2", 600)], 1200), ("q", [("s1", 0), ("s9", 60)], 300)], "path_id string, sections array<struct<key:string,offset_s:int>>, total_s int")
-    bands = spark.createDataFrame([("s1", "W", 0, 7200, 300, 0), ("s2", "W", 3600, 9000, 200, 0)], "section_key string, service_id string, start_s int, end_s int, headway_secs int, exact_times int")
-    dates = spark.createDataFrame([("W", "2024-01-01"), ("W", "2024-01-02")], "service_id string, d string").select("service_id", F.col("d").cast("date").alias("date"))
-    got, missing = rail.interchange_windows(j, bands, dates)
-    assert {(r["path_id"], r["start_s"], r["end_s"], r["headway_secs"]) for r in got.collect()} == {("p", 3000, 7200, 300)}
-    assert [tuple(r) for r in missing.collect()] == [("q", "s9")]
-    assert [r["lane"] for r in rail.bundle(got).collect()] == [0]
-
-
 def test_calendar_replacement(spark):
     days = lambda rows, schema: spark.createDataFrame(rows, schema).withColumn("date", F.col("date").cast("date"))
     trips = spark.createDataFrame([("t1", "S"), ("t2", "S")], "trip_id string, service_id string")

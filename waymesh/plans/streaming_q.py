@@ -1,7 +1,6 @@
 """Time-window, freshness and streaming queries."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from waymesh.streaming import arrivals
 
 from .catalogue import register
-from .tables import EVENT_S, events, t
+from .tables import EVENT_S, events, shared_folder, t
 
 
 @register("x_windows", """
@@ -77,8 +76,6 @@ def x_stream_equal(spark, d):
     daily = lambda e: arrivals.tumbling(e.withColumn("at", F.col("ts").cast("timestamp")), "at", "1 day", ["event_type"])
     want = daily(batch)
     name = f"stream_{uuid.uuid4().hex}"
-    # the checkpoint goes where all executors see it; to a local folder only where none is set
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    where = f"{shared.rstrip('/')}/waymesh-{name}" if shared else "file://" + tempfile.mkdtemp(prefix="waymesh-stream-")
+    where = shared_folder(spark, name)
     got = arrivals.run_available(daily(stream), name, "complete", where)
     return same_rows(want, got)

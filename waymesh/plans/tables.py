@@ -1,6 +1,11 @@
 """Readers of the driver tables and the derived relations that several queries share."""
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +42,31 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROLES = "(SELECT conv_id, list(role ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id)"
+
+
+_FOLDERS: list = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see, under spark.checkpoint.dir; removed when the driver ends.
+
+    Where that is unset a local folder is taken, on a local master only.
+    """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="waymesh-")
+    path = f"{shared.rstrip('/')}/waymesh-{uuid.uuid4().hex}-{name}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_folders() -> None:
+    for spark, path in _FOLDERS:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session is gone
+            return

@@ -43,7 +43,7 @@ LONGEST, LEAST = 3, 10
 #: Bytes of texts in a shard; one longer text is a shard of its own.
 SHARD = 6 << 20
 #: Bytes of text for each range of hashes.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 #: Bits of the bitmap of frequent phrases, and of a page of it.
 BITS, PAGE_BITS = 1 << 26, 1 << 15
 #: A phrase that makes up this share of all words, of which there are at most as many, is hot.
@@ -210,24 +210,40 @@ def _coded(shard: Shard, names: list[str]) -> None:
 
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of a hash's lowest 40 bits."""
-    mixed = _words.mix(hashes & U((1 << 40) - 1))
+    mixed = _words.mix(hashes & U(LOW))
     return (mixed & U(BITS - 1)).astype(np.int64), (mixed >> U(32) & U(BITS - 1)).astype(np.int64)
 
 
-#: What is shuffled of a hash: its range, then packed the bits below and a count (no more is kept than can matter).
-_PACKED = np.dtype([("low", "<u4"), ("mid", "u1"), ("n", "u1")])
+#: Bits of a hash that are shuffled.
+LOW = (1 << 40) - 1
 
 
-def _packed(hashes: np.ndarray, counts_: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, packed 40 bits and counts) of hashes, dealt by their highest bits."""
-    of = range_of(hashes, ranges)
-    order = np.argsort(of, kind="stable")
-    of, hashes, counts_ = of[order], hashes[order], counts_[order]
-    out = np.empty(len(hashes), _PACKED)
-    out["low"], out["mid"], out["n"] = hashes & U(0xFFFFFFFF), hashes >> U(32) & U(0xFF), np.minimum(counts_, 255)
+def squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def restored(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def _packed(hashes: np.ndarray, counts_: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
+    """(range, number of hashes, packed) of hashes: LOW bits in order, a plane for each byte, and counts up to 255."""
+    key = range_of(hashes, ranges).astype(np.uint64) << U(40) | hashes & U(LOW)
+    order = np.argsort(key)
+    key, n = key[order], np.minimum(counts_[order], 255).astype(np.uint8)
+    planes = key.astype("<u8").view(np.uint8).reshape(-1, 8)
+    of = (key >> U(40)).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
     for i, j in zip(cut, np.r_[cut[1:], len(of)]):
-        yield int(of[i]), out[i:j].tobytes()
+        yield int(of[i]), int(j - i), squeezed(b"".join(planes[i:j, k].tobytes() for k in range(4, -1, -1)) + n[i:j].tobytes())
+
+
+def _unpacked(number: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(restored(packed, 6 * number), np.uint8).reshape(6, number)
+    h = np.zeros(number, np.uint64)
+    for k in range(5):
+        h = h << U(8) | planes[k]
+    return h, planes[5]
 
 
 def hash_ranges(texts: DataFrame) -> int:
@@ -254,18 +270,18 @@ def frequent(texts: DataFrame, least: int, ranges: int) -> bytes:
             del shard, automaton, both
             for i in range(0, len(found), 1 << 12):
                 part = found[i : i + (1 << 12)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["r", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], names=["r", "m", "x"])
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(rows["x"].to_pylist()), _PACKED)
-        h = x["mid"].astype(np.uint64) << U(32) | x["low"]
+        parts = [_unpacked(m, x) for m, x in zip(rows["m"].to_pylist(), rows["x"].to_pylist())]
+        h, n = np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
         order = np.argsort(h)
         h = h[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        many = np.add.reduceat(x["n"][order].astype(np.int64), first) >= least
+        many = np.add.reduceat(n[order].astype(np.int64), first) >= least
         return pa.table({"bit": np.unique(np.concatenate(_places(h[first[many]])))})
 
-    bits = texts.mapInArrow(lean(run), "r int, x binary").groupBy("r").applyInArrow(summed, "bit bigint")
+    bits = texts.mapInArrow(lean(run), "r int, m int, x binary").groupBy("r").applyInArrow(summed, "bit bigint")
     pages = bits.groupBy(F.floor(F.col("bit") / PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias("map"))
     out = bytearray(BITS // 8)
     for row in pages.collect():  # at most BITS / PAGE_BITS rows of 4 KB
@@ -278,32 +294,35 @@ def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[one >> 3] >> (one & 7) & bitmap[other >> 3] >> (other & 7) & 1).astype(np.bool_)
 
 
-_BLOCK = "r int, grp string, k int, phrases array<string>, n array<int>"
+_BLOCK = "r int, grp string, k int, size int, phrases binary, n binary"
 
 
 def _blocks(k: int, hashes: np.ndarray, ranges: int, groups: np.ndarray, names: list[str], phrases, sums: np.ndarray) -> pa.RecordBatch:
-    """A row for each range and group of some phrases of k words: lists of phrases and counts, which pack better than rows."""
+    """A row for each range and group of some phrases of k words: their texts as lines, and their counts, both compressed."""
     key = range_of(hashes, ranges) * len(names) + groups
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable")  # phrases with one ending stay together
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    at = pa.array(np.r_[first, len(key)].astype(np.int32))
+    at = np.r_[first, len(key)].astype(np.int32)
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), phrases.take(pa.array(order))), b"\n").to_pylist()
+    sums = sums[order].astype("<u4")
     return pa.RecordBatch.from_arrays(
         [
             pa.array((key[first] // len(names)).astype(np.int32)),
             pa.array(names, pa.string()).take(pa.array(key[first] % len(names))),
             pa.array(np.full(len(first), k, np.int32)),
-            pa.ListArray.from_arrays(at, phrases.take(pa.array(order))),
-            pa.ListArray.from_arrays(at, pa.array(sums[order].astype(np.int32))),
+            pa.array([len(x) for x in texts], pa.int32()),
+            pa.array([squeezed(x) for x in texts], pa.binary()),
+            pa.array([squeezed(sums[i:j].tobytes()) for i, j in zip(at[:-1], at[1:])], pa.binary()),
         ],
-        names=["r", "grp", "k", "phrases", "n"],
+        names=["r", "grp", "k", "size", "phrases", "n"],
     )
 
 
 def counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(grp, k, phrase, n) of texts (group, text): exact counts of all phrases that occur `least` times.
 
-    One more row a group, k 0 and phrase null, has the number of its words.
+    One more row a group, k 0 and an empty phrase, has the number of its words.
     """
     ranges = hash_ranges(texts)
     held = texts.sparkSession.sparkContext.broadcast(frequent(texts, least, ranges))
@@ -315,7 +334,7 @@ def counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
             of = shard.of
             _coded(shard, names)
             codes = np.array([group_code(x) for x in names], np.uint64)
-            yield _blocks(0, _words.mix(codes), ranges, np.arange(len(names)), names, pa.nulls(len(names), pa.string()), np.bincount(shard.group, minlength=len(names)))
+            yield _blocks(0, _words.mix(codes), ranges, np.arange(len(names)), names, pa.array([b""] * len(names), pa.binary()), np.bincount(shard.group, minlength=len(names)))
             kept = np.zeros(len(automaton.at), np.bool_)  # the state's phrase one word shorter than the present length
             for length in range(1, longest + 1):
                 states = automaton.phrases(length)
@@ -335,14 +354,17 @@ def counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
                 words = [pc.take(shard.names, pa.array(shard.name[shard.number[at - k] - 1])) for k in range(length - 1, -1, -1)]
                 phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if length > 1 else words[0]
                 del words
-                yield _blocks(length, phrase_hash(shard, at, length), ranges, of[shard.number[at] - 1], names, phrases.cast(pa.binary()).cast(pa.string()), automaton.count[states])
+                yield _blocks(length, phrase_hash(shard, at, length), ranges, of[shard.number[at] - 1], names, phrases.cast(pa.binary()), automaton.count[states])
                 del phrases
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        phrases = pc.list_flatten(rows["phrases"])
-        owner = pc.list_parent_indices(rows["phrases"])
-        flat = pa.table({"grp": rows["grp"].take(owner), "k": rows["k"].take(owner), "phrase": phrases, "n": pc.list_flatten(rows["n"]).cast(pa.int64())})
+        texts = [restored(x, size).decode() for x, size in zip(rows["phrases"].to_pylist(), rows["size"].to_pylist())]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+        owner = pc.list_parent_indices(lists)
+        sizes = pc.list_value_length(lists).to_pylist()
+        n = np.concatenate([np.frombuffer(restored(x, 4 * m), "<u4") for x, m in zip(rows["n"].to_pylist(), sizes)])
+        flat = pa.table({"grp": rows["grp"].combine_chunks().take(owner), "k": rows["k"].combine_chunks().take(owner), "phrase": pc.list_flatten(lists).cast(pa.string()), "n": n.astype(np.int64)})
+        del texts, lists
         total = flat.group_by(["grp", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["grp", "k", "phrase", "n"])
         return total.filter(pc.or_(pc.greater_equal(total["n"], least), pc.equal(total["k"], 0)))
 

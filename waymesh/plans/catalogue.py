@@ -22,7 +22,7 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-_MODULES = ["joins_q", "aggs_q", "windows_q", "functions_q", "domain_q", "stages_q", "merges_q", "sources_q", "streaming_q"]
+_MODULES = ["joins_q", "aggs_q", "windows_q", "functions_q", "domain_q", "stages_q", "merges_q", "sources_q", "search_q", "streaming_q"]
 
 
 def _load() -> None:

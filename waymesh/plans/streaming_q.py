@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymesh.streaming import arrivals
+from waymesh.streaming import arrivals, keyed
 
 from .catalogue import register
 from .tables import EVENT_S, events, shared_folder, t
@@ -79,3 +79,38 @@ def x_stream_equal(spark, d):
     where = shared_folder(spark, name)
     got = arrivals.run_available(daily(stream), name, "complete", where)
     return same_rows(want, got)
+
+
+def _in_files(spark, d, name, frame, parts: int):
+    """frame (with a column `part`) as a stream over files, one a batch, in the order of the parts."""
+    path = shared_folder(spark, name)
+    for k in range(parts):
+        frame.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema(frame.drop("part").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+@register("x5_stale_cache", f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ns(ts) // 1000000 AS ms, {EVENT_S} // 864000 AS part FROM events), q AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS following FROM (SELECT DISTINCT user_id, ms FROM e)),
+f(user_id, ms) AS (SELECT user_id, min(ms) FROM e GROUP BY 1 UNION ALL SELECT f.user_id, (SELECT min(e.ms) FROM e WHERE e.user_id = f.user_id AND e.ms >= f.ms + 7200000) FROM f WHERE f.ms IS NOT NULL)
+SELECT e.user_id, e.event_id, e.ms - f.ms AS age_ms, NOT (e.ms = f.ms AND e.event_id = (SELECT min(x.event_id) FROM e x WHERE x.user_id = e.user_id AND x.ms = e.ms)) AS hit FROM e ASOF JOIN (SELECT * FROM f WHERE ms IS NOT NULL) f ON e.user_id = f.user_id AND e.ms >= f.ms""")
+def x5_stale_cache(spark, d):
+    """Requests of each user against an answer that serves two hours, over four batches; state is kept between them."""
+    e = t(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    part = F.least(F.lit(3), F.floor((F.unix_timestamp("at") - 1_704_067_200) / 864_000)).cast("int")
+    stream = _in_files(spark, d, "requests", e.withColumn("part", part), 4)
+    found = keyed.cached(stream, ["user_id"], "at", "event_id", 7200)
+    got = keyed.run_to_end(found, shared_folder(spark, "hits"), shared_folder(spark, "hits-state"))
+    return got.select("user_id", "event_id", "age_ms", "hit")
+
+
+@register("x7_progress_log", """
+WITH s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, event_id, seq FROM s WHERE seq > n // 2 + length(event_type)""")
+def x7_progress_log(spark, d):
+    """Entries of each kind numbered over four batches, read from a cursor in the middle of each log."""
+    e = t(spark, d, "events").select("event_type", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    part = F.least(F.lit(3), F.floor((F.unix_timestamp("at") - 1_704_067_200) / 864_000)).cast("int")
+    stream = _in_files(spark, d, "progress", e.withColumn("part", part), 4)
+    log = keyed.run_to_end(keyed.appended(stream, ["event_type"], ["at", "event_id"]), shared_folder(spark, "log"), shared_folder(spark, "log-state"))
+    cursors = e.groupBy("event_type").agg((F.floor(F.count("*") / 2) + F.length("event_type")).alias("seq"))
+    return keyed.since(log, cursors, ["event_type"]).select("event_type", "event_id", "seq")

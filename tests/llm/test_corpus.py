@@ -719,3 +719,25 @@ def test_token_counts(docs, empty):
     assert token_counts.length_histogram(empty, path, tokens.PATTERN).count() == 0
     grouped = token_counts.with_suffix_sums(token_counts.length_histogram(docs, path, tokens.PATTERN, group_col="source"))
     assert {r["grp"] for r in grouped.select("grp").distinct().collect()} == {None, "s0", "s1", "s2", "s3"}
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_colliding_words(spark, n):
+    """Words that collide under polynomials modulo 2^64: no link, no repeated line or window, no removed byte."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate({97: "b", 98: "a"})
+    b = a.translate({97: "b", 98: "a"})
+    two = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}\n{a}"), (4, f"x y z v {a} p x y z v {b} q")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(two).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    judged = {r["doc_id"]: r for r in quality.judge(two, measures=True).collect()}
+    assert judged[3]["n_dup_lines"] == 1 and judged[4]["n_repeat_words"] == 0 and judged[2]["n_dup_lines"] == 0
+    seen, want = set(), {}
+    for doc, text in ((1, a), (2, b), (3, f"{a}\n{b}\n{a}"), (4, f"x y z v {a} p x y z v {b} q")):
+        gone = bytearray(len(text))
+        for i in range(len(text) - 99):
+            if text[i : i + 100] in seen:
+                gone[i : i + 100] = b"\x01" * 100
+            seen.add(text[i : i + 100])
+        want[doc] = sum(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup(two).collect()} == want

@@ -123,6 +123,36 @@ NOT (base_failed OR (5 * n_symbols > word_chars AND n_words > 0) OR word_chars <
     "op9_warc_index": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages), m AS (SELECT n, d, max(page_id) AS newest FROM p WHERE n >= 1000 GROUP BY n, d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to FROM p LEFT JOIN m USING (n, d)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE v AS (SELECT doc_id, lang, source, n_chars, text, list_reduce(list_prepend(4294967295, [ord(x) FOR x IN string_split(doc_id::VARCHAR, '')]::BIGINT[]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda q, i: xor(q >> 1, 3988292384 * (q & 1)))) AS crc FROM documents),
+h AS (SELECT doc_id, lang, sha256(a || b || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || t) AS leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(a || b || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || t) END AS changed FROM
+ (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') AS a, coalesce(strlen(lang) || ':' || lang, '-') AS b, coalesce(strlen(text) || ':' || text, '-') AS t FROM v)),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+nodes(g, level, i, n, h) AS (SELECT g, 0, i, n, leaf FROM leaves UNION ALL SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 2, n),
+roots AS (SELECT g, h, level AS height, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, i, n, h) AS (SELECT 0, g, n, h FROM roots UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+climb AS (SELECT g, i, unnest(range((SELECT max(level) FROM nodes))) AS level FROM leaves), place AS (SELECT g, i, level, (i >> level) & 1 AS side, xor(i >> level, 1) AS want FROM climb),
+rise AS (SELECT g, height, unnest(range((SELECT max(level) FROM tops) + 1)) AS level FROM roots),
+steps AS (SELECT c.g, c.i, c.level, side, s.h FROM place c JOIN nodes s ON s.g = c.g AND s.level = c.level AND s.i = want WHERE s.n > 1
+ UNION ALL SELECT l.g, l.i, r.height + r.level, (r.g >> r.level) & 1, t.h FROM leaves l JOIN rise r ON r.g = l.g JOIN tops t ON t.level = r.level AND t.i = xor(r.g >> r.level, 1) WHERE t.n > 1),
+fold(g, i, level, top, h) AS (SELECT l.g, l.i, 0, r.height + (SELECT max(level) FROM tops), coalesce(changed, leaf) FROM leaves l JOIN roots r ON r.g = l.g
+ UNION ALL SELECT f.g, f.i, f.level + 1, top, sha256(CASE WHEN s.side = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END) FROM fold f LEFT JOIN steps s ON s.g = f.g AND s.i = f.i AND s.level = f.level WHERE f.level < top),
+proof AS (SELECT g, i, sha256(string_agg(h, '' ORDER BY level)) AS p FROM steps GROUP BY g, i)
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, coalesce(p, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified FROM leaves l JOIN roots r ON r.g = l.g JOIN tops t ON t.n = 1 LEFT JOIN proof ON proof.g = l.g AND proof.i = l.i JOIN fold f ON f.g = l.g AND f.i = l.i AND f.level = f.top""",
+    "op13_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+q AS (SELECT lang, row_number() OVER () AS id, w FROM p), u AS (SELECT lang, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM q),
+e AS (SELECT lang, x, lead(x) OVER z AS y, lead(x, 2) OVER z AS v FROM u WINDOW z AS (PARTITION BY id ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, 1 AS k, x AS g FROM e UNION ALL SELECT lang, 2, x || ' ' || y FROM e WHERE y IS NOT NULL UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || v FROM e WHERE v IS NOT NULL) GROUP BY lang, k, g),
+c AS (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+h AS (SELECT lang, k, g, f AS a, 1 AS cut, w[1] AS p, array_to_string(w[2:], ' ') AS q FROM c UNION ALL SELECT lang, k, g, f, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+s AS (SELECT h.lang, h.g, h.k, a, cut, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score FROM h JOIN f x ON x.lang = h.lang AND x.g = p JOIN f y ON y.lang = h.lang AND y.g = q),
+b AS (SELECT lang, g, k, a, arg_min((l, r), (score, cut)) AS lr, min(score) AS score FROM s GROUP BY lang, g, k, a),
+m AS (SELECT lang, g, max(a) AS most FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS g, f AS a FROM c WHERE k = 3) GROUP BY lang, g),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN m ON k = 2 AND m.lang = b.lang AND m.g = b.g WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, g AS phrase, a, lr[1] AS l, lr[2] AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }
 
 

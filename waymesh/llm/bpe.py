@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ._shared import lean, small_batches
 
 #: Pieces in a generation, and token pairs, that a task remembers.
-REMEMBERED, REMEMBERED_PAIRS = 200_000, 500_000
+REMEMBERED, REMEMBERED_PAIRS = 100_000, 250_000
 #: Pieces longer than this are encoded each time.
 LONGEST_REMEMBERED = 64
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymesh.sources import archives
+from waymesh.sources import archives, rebuild
 
 from .catalogue import register
 from .tables import shared_folder, t
@@ -39,3 +39,36 @@ def s3_feed_stored(spark, d):
     """Stored archives, entered at each range's own offset; a column that no archive has is null."""
     rows = _read(spark, _written(spark, d, True), _TIMES + ", zone string")
     return rows.where("zone IS NULL").groupBy("stop_id").agg(F.count("*").alias("n"), F.sum("stop_sequence").alias("sequences"), F.round(F.sum("fare"), 4).alias("fares"))
+
+
+def _builds(spark, d):
+    """Line items in parts by supplier, built, changed in three parts, and built again."""
+    rows = t(spark, d, "lineitem").select((F.col("l_suppkey") % 16).cast("string").alias("part"), "l_partkey", "l_linenumber", "l_quantity", "l_tax")
+    p = F.col("part")
+    after = rows.where(p != "5").withColumns({"l_quantity": F.when((p == "7") & (F.col("l_linenumber") == 1), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")), "l_tax": F.when(p == "3", F.col("l_tax") + 1).otherwise(F.col("l_tax"))})
+    # the first stage does not read taxes, so the second is left alone where only these change
+    sums = rebuild.Stage("sums", ("lines",), lambda x: x["lines"].groupBy("part", "l_partkey").agg(F.sum(F.col("l_quantity").cast("decimal(20,2)")).alias("quantity"), F.count("*").alias("n")))
+    most = rebuild.Stage("most", ("sums",), lambda x: x["sums"].groupBy("part").agg(F.max("quantity").cast("double").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")))
+    store = rebuild.Store(spark, shared_folder(spark, "store"))
+    first, _ = rebuild.rebuild(store, {"lines": rows}, [sums, most])
+    second, report = rebuild.rebuild(store, {"lines": after}, [sums, most])
+    return store, most, first, second, report
+
+
+@register("u3_rebuilt_parts", """
+WITH l AS (SELECT (l_suppkey % 16)::VARCHAR AS part, l_partkey, l_quantity + CASE WHEN l_suppkey % 16 = 7 AND l_linenumber = 1 THEN 1 ELSE 0 END AS q FROM lineitem WHERE l_suppkey % 16 <> 5),
+s AS (SELECT part, l_partkey, sum(q::DECIMAL(20, 2)) AS quantity, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT part, max(quantity)::DOUBLE AS most, sum(n)::BIGINT AS n, count(*) AS parts, part = '7' AS fresh FROM s GROUP BY part""")
+def u3_rebuilt_parts(spark, d):
+    """The last stage after the second build, and which of its parts that build wrote."""
+    store, most, _, second, _ = _builds(spark, d)
+    rows = store.read(most, "part string, most double, n bigint, parts bigint")
+    fresh = store.manifest().where(F.col("stage") == most.mark).select("part", (F.col("version") == second).alias("fresh"))
+    return rows.join(fresh, "part")
+
+
+@register("d25_rebuild_report", """
+SELECT * FROM (VALUES ('sums', '3', 'same'), ('sums', '5', 'removed'), ('sums', '7', 'changed'), ('most', '5', 'removed'), ('most', '7', 'changed')) r(stage, part, change) WHERE part IN (SELECT (l_suppkey % 16)::VARCHAR FROM lineitem)""")
+def d25_rebuild_report(spark, d):
+    """What the second build recomputed, and what came of it."""
+    return _builds(spark, d)[4]

@@ -165,3 +165,26 @@ def test_rebuild(spark, tmp_path):
     _, report = rebuild.rebuild(store, base([("a", 0), ("a", 1), ("b", 5), ("c", 3), ("d", 1)]), [twice])
     assert len(said(report)) == 4 and read(twice) == {"a": 2, "b": 10, "c": 6, "d": 2}
     assert {r["part"]: r["s"] for r in store.read(counts, "part string, s bigint", first).collect()} == {"a": 1, "b": 5, "c": 3, "d": 1}
+
+
+def test_grammars():
+    import dataclasses
+
+    from waymesh.sources import grammars as g
+
+    hour = dataclasses.replace(g.HOUR_MINUTE, legend={"a": "via A", "red": "short"})
+    got = list(g.read([["Line 1", "Line 1"], ["Hour", "Minutes"], ["Weekdays", "Weekdays"], ["5-6", "05a 20"], ["7", "12"], ["1", "0"], ["x", "1"], ["8", "n/a"], ["9", "4b"], ["", ""], ["10", "10"], ["31", "1"]], [[], [], [], [], [None, "red"]], [g.FIRST_LAST, hour]))
+    times = [(r["start_s"], r["branch"]) for r in got if "reason" not in r]
+    assert times == [(18300, "via A"), (19200, None), (21900, "via A"), (22800, None), (25920, "short"), (90000, None), (36600, None)] and all(r["day"] == "Weekdays" for r in got)
+    assert [(r["row"], r["reason"]) for r in got if "reason" in r] == [(6, "unread_hour"), (7, "unread_minutes"), (8, "unknown_mark"), (11, "unread_hour")]
+    two = list(g.read([["小時", "分鐘", "小時", "分鐘"], ["6", "1", "7", "2"]], None, [g.HOUR_MINUTE]))
+    assert [r["start_s"] for r in two] == [21660, 25320]
+    bands = list(g.read([["Period", "Every A", "Headway"], ["06:00–09:30", "4-5", "2.5"], ["22:00-01:00", "9", ""], ["all day", "1", "1"], ["10:00-11:00", "5-3", "0"]], None, [g.HOUR_MINUTE, g.HEADWAY]))
+    assert [(r["branch"], r["start_s"], r["end_s"], r["low_s"], r["high_s"]) for r in bands if "reason" not in r] == [("A", 21600, 34200, 240, 300), (None, 21600, 34200, 150, 150), ("A", 79200, 90000, 540, 540)]
+    assert [r["reason"] for r in bands if "reason" in r] == ["unread_period", "unread_headway", "unread_headway"]
+    ends = list(g.read([["Station", "First train", "Last train", "Platform"], ["Hill", "05:50", "00:40", "2"], ["Bay", "late", "23:00", ""]], None, [g.FIRST_LAST]))
+    assert (ends[0]["start_s"], ends[0]["end_s"], ends[0]["platform"]) == (21000, 88800, "2") and ends[1]["reason"] == "unread_clock"
+    assert [r["platform"] for r in g.read([["Station", "Platform"], ["Hill", "3"]], None, [g.FIRST_LAST, g.PLATFORMS])] == ["3"]
+    assert [r["reason"] for r in g.read([["a", "b"], ["1", "2"]], None, [g.HEADWAY])] == ["no_grammar"] and not list(g.read([], None, [g.HEADWAY])) and not list(g.read(None, None, []))
+    with pytest.raises(ValueError, match="colour"):
+        g.Grammar("x", (("a", "colour"),), ())

@@ -1,9 +1,11 @@
 """Queries of sources: archives written and read back by the data source."""
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
-from waymesh.sources import archives, rebuild
+from waymesh.sources import archives, grammars, rebuild
 
 from .catalogue import register
 from .tables import shared_folder, t
@@ -72,3 +74,44 @@ SELECT * FROM (VALUES ('sums', '3', 'same'), ('sums', '5', 'removed'), ('sums',
 def d25_rebuild_report(spark, d):
     """What the second build recomputed, and what came of it."""
     return _builds(spark, d)[4]
+
+
+@register("d8_hour_minutes", """
+WITH e AS (SELECT user_id, 'day ' || (isodow(ts) - 1) AS day, hour(ts) AS h, minute(ts) AS m, CASE WHEN event_type = 'click' THEN 'x' WHEN event_type = 'error' THEN '?' END AS mark FROM events), b AS (SELECT DISTINCT * FROM e)
+SELECT user_id, day, ((h + CASE WHEN h < 3 THEN 24 ELSE 0 END) * 3600 + m * 60)::INTEGER AS start_s, CASE mark WHEN 'x' THEN 'express' END AS branch, NULL AS reason FROM b WHERE coalesce(mark, '') <> '?' AND NOT (user_id % 7 = 0 AND h = 5)
+UNION ALL SELECT user_id, day, NULL, NULL, 'unknown_mark' FROM b WHERE mark = '?' AND NOT (user_id % 7 = 0 AND h = 5) UNION ALL SELECT DISTINCT user_id, day, NULL::INTEGER, NULL, 'unread_minutes' FROM b WHERE user_id % 7 = 0 AND h = 5""")
+def d8_hour_minutes(spark, d):
+    """Hour-and-minute grids made of the events of each user, read back: headings of days, marks, and cells that cannot be read."""
+    e = t(spark, d, "events").select("user_id", F.weekday("ts").alias("w"), F.hour("ts").alias("h"), F.concat(F.minute("ts").cast("string"), F.when(F.col("event_type") == "click", "x").when(F.col("event_type") == "error", "?").otherwise("")).alias("m"))
+    cell = F.array_join(F.array_sort(F.collect_set("m")), ", ")
+    rows = e.groupBy("user_id", "w", "h").agg(F.when((F.col("user_id") % 7 == 0) & (F.col("h") == 5), "see note").otherwise(cell).alias("m"))
+    name = F.concat(F.lit("day "), F.col("w").cast("string"))
+    days = rows.groupBy("user_id", "w").agg(F.array_sort(F.collect_list(F.struct("h", "m"))).alias("x"))
+    body = F.concat(F.array(F.array(name, name)), F.transform("x", lambda x: F.array(x["h"].cast("string"), x["m"])))
+    pages = days.select("user_id", "w", body.alias("b")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("all"))
+    head = F.array(F.array(F.lit("Hour"), F.lit("Minutes")))
+    tables = pages.select("user_id", F.concat(head, F.flatten(F.transform("all", lambda x: x["b"]))).alias("grid"))
+    marked = dataclasses.replace(grammars.HOUR_MINUTE, legend={"x": "express"})
+    return grammars.records(tables, [grammars.HEADWAY, marked], ["user_id"]).select("user_id", "day", "start_s", "branch", "reason")
+
+
+@register("d9_branch_headways", """
+WITH s AS (SELECT o_orderkey AS k, j, o_custkey AS c FROM orders, range(3) r(j))
+SELECT k AS page, 'Weekdays' AS day, CASE b WHEN 0 THEN 'A' ELSE 'B' END AS branch, (j * 8 * 3600)::INTEGER AS start_s, ((j + 1) * 8 * 3600)::INTEGER AS end_s, ((c % 5 + j + b + 1) * 60)::INTEGER AS low_s, ((c % 5 + j + b + 1 + k % 3) * 60)::INTEGER AS high_s, NULL AS reason FROM s, range(2) r(b) WHERE NOT (k % 6 = 1 AND b = 1) AND NOT (k % 11 = 4 AND j = 1)
+UNION ALL SELECT k, 'Weekdays', NULL, NULL, NULL, NULL, NULL, 'unread_period' FROM s WHERE k % 11 = 4 AND j = 1 UNION ALL SELECT k, 'Weekdays', NULL, NULL, NULL, NULL, NULL, 'unread_headway' FROM s WHERE k % 6 = 1 AND NOT (k % 11 = 4 AND j = 1)""")
+def d9_branch_headways(spark, d):
+    """Headway tables with a column for each branch: ranges, periods over midnight, cells that cannot be read."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+
+    def row(j: int):
+        clock = lambda h: f"{h % 24:02d}:00"
+        period = F.when((k % 11 == 4) & F.lit(j == 1), "rush hours").otherwise(f"{clock(8 * j)} - {clock(8 * j + 8)}")
+        low = [c % 5 + j + b + 1 for b in (0, 1)]
+        cells = [F.when(k % 3 == 0, text(x)).otherwise(F.concat(text(x), F.lit("-"), text(x + k % 3))) for x in low]
+        return F.array(period, cells[0], F.when(k % 6 == 1, "often").otherwise(cells[1]))
+
+    title, day = (F.array(*[F.lit(x)] * 3) for x in ("Line", "Weekdays"))
+    head = F.array(F.lit("Period"), F.lit("Every A"), F.lit("Headway B"))
+    tables = t(spark, d, "orders").select(k.alias("page"), F.array(title, head, day, row(0), row(1), row(2)).alias("grid"))
+    return grammars.records(tables, [grammars.HOUR_MINUTE, grammars.HEADWAY], ["page"]).select("page", "day", "branch", "start_s", "end_s", "low_s", "high_s", "reason")

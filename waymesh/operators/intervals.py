@@ -5,9 +5,6 @@ in its own, so no side is scanned for each row of the other; a pair is kept in o
 """
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,28 +92,25 @@ def intersect_sections(sections: list[tuple[DataFrame, int]], key: list[str], si
 
 
 def lanes(rows: DataFrame, key: list[str], order: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Adds `lane`: first-fit in order of (a, b, order); a lane is free when its last window ends at or before a.
+    """Adds `lane`: first-fit in order of (a, b, order, other columns); a lane is free when its last window ends at or before a.
 
-    First-fit depends on all earlier windows of the key, so a key is folded in one task; keys
-    (a trip's bands, a worker's jobs) are bounded.
+    First-fit depends on all earlier windows of the key, so a key is one array, folded inside the
+    JVM; keys (a trip's bands, a worker's jobs) are bounded.
     """
-    fields = [f for f in rows.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lane int"
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([a, b, *order], kind="stable")
-        busy: list = []  # (end, lane); windows come in the order of their starts, so a lane once free stays free
-        free: list = []
-        out = []
-        for x, y in zip(frame[a], frame[b]):
-            while busy and busy[0][0] <= x:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            k = heapq.heappop(free) if free else len(busy)
-            heapq.heappush(busy, (y, k))
-            out.append(k)
-        return frame.assign(lane=out)
-
-    return rows.groupBy(*key).applyInPandas(pack, schema)
+    rest = [a, b, *order, *[c for c in rows.columns if c not in (*key, a, b, *order)]]
+    end = rows.schema[b].dataType.simpleString()
+    none = F.struct(F.array().cast(f"array<{end}>").alias("ends"), F.array().cast("array<int>").alias("lanes"))
+
+    def placed(state: Column, x: Column) -> Column:
+        free = F.array_position(F.transform(state["ends"], lambda e: e <= x[a]), F.lit(True)).cast("int")
+        at = F.when(free > 0, free - 1).otherwise(F.size(state["ends"]))
+        ends = F.when(free > 0, F.transform(state["ends"], lambda e, i: F.when(i == free - 1, x[b]).otherwise(e))).otherwise(F.array_append(state["ends"], x[b]))
+        return F.struct(ends.alias("ends"), F.array_append(state["lanes"], at).alias("lanes"))
+
+    one = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("__x"))
+    told = one.withColumn("__l", F.aggregate("__x", none, placed, lambda s: s["lanes"]))
+    zipped = F.zip_with("__x", "__l", lambda x, lane: F.struct(*[x[c].alias(c) for c in rest], lane.alias("lane")))
+    return told.select(*key, F.inline(zipped)).select(*rows.columns, "lane")
 
 
 def quarantine(records: DataFrame, key: list[str], record: str, size: int = 3600) -> DataFrame:

@@ -28,7 +28,9 @@ def undominated(labels: DataFrame, key: list[str]) -> DataFrame:
     # one on foot so far must still board inside the window, which one that has boarded need not
     no_later = lambda y, x: F.coalesce(y["dep_s"] >= x["dep_s"], y["dep_s"].isNull() & x["dep_s"].isNull())
     beats = lambda y, x: no_later(y, x) & (y["t"] <= x["t"]) & (y["rides"] <= x["rides"]) & (y["walk_s"] <= x["walk_s"]) & ~(no_later(x, y) & (x["t"] <= y["t"]) & (x["rides"] <= y["rides"]) & (x["walk_s"] <= y["walk_s"]))
-    best = labels.groupBy(*key, "dep_s", "t", "rides", "walk_s").agg(*[F.min(c).alias(c) for c in rest if c not in ("dep_s", "t", "rides", "walk_s")]).select(*key, *rest)
+    # first the earliest of each departure, rides and walk, by partial aggregates: few labels are left to compare
+    same = [*key, "dep_s", "rides", "walk_s"]
+    best = labels.groupBy(*same).agg(F.min(F.struct("t", *[c for c in rest if c not in ("dep_s", "t", "rides", "walk_s")])).alias("__b")).select(*same, "__b.*").select(*key, *rest)
     kept = best.groupBy(*key).agg(own.alias("__x")).withColumn("__k", F.filter("__x", lambda x: ~F.exists("__x", lambda y: beats(y, x))))
     return kept.select(*key, F.inline("__k"))
 

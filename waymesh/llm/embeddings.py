@@ -14,7 +14,7 @@ Equal vectors are one representative with a multiplicity.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components
 link with nothing, and so does a vector without an id; vectors of different lengths do not
-link; rows with one id are one vector, the last of them by chance where they differ; an empty
+link; rows with one id are one vector; where they differ, the one of the smallest component counts, then of the fewest links; an empty
 table gives no rows.
 """
 from __future__ import annotations
@@ -363,6 +363,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     known = known.select("dim", "raw", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("label", "id").alias("low"))
     out = raw.join(known, ["dim", "raw"]).select("id", "links", "low")
     ids = vectors.select(F.col(id_col).alias("v"), F.col(id_col).cast("bigint").alias("id"))
-    whole = ids.join(out.dropDuplicates(["id"]), "id", "left")
+    one = out.groupBy("id").agg(F.min(F.struct("low", "links")).alias("x")).select("id", "x.links", "x.low")
+    whole = ids.join(one, "id", "left")
     low = F.coalesce("low", "id")
     return whole.select(F.col("v").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), low.alias("component_id"), F.coalesce(F.col("id") == low, F.lit(True)).alias("kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ._shared import lean, small_batches
 
 #: Pieces in a generation, and token pairs, that a task remembers.
-REMEMBERED, REMEMBERED_PAIRS = 100_000, 250_000
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 500_000
 #: Pieces longer than this are encoded each time.
 LONGEST_REMEMBERED = 64
 
@@ -35,7 +35,8 @@ LONGEST_REMEMBERED = 64
 class Vocabulary:
     """Ranks of a .tiktoken file, and which two tokens may be neighbours."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pairs: int = REMEMBERED_PAIRS) -> None:
+        self.most_pairs = pairs
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
@@ -68,7 +69,7 @@ class Vocabulary:
         pair = left + 1 << 32 | right
         known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) >= REMEMBERED_PAIRS:
+            if len(self._pairs) >= self.most_pairs:
                 self._pairs.clear()
             first = self.bytes_of[left] if left >= 0 else b""
             known = self.merged(first + self.bytes_of[right]) == ([left, right] if left >= 0 else [right])
@@ -143,9 +144,9 @@ class PrefixState:
 class _Pieces(dict):
     """Ids of pieces met before, in two generations: what is not met again goes; a long piece is not kept."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -156,7 +157,7 @@ class _Pieces(dict):
         return ids
 
     def age(self) -> None:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
 
@@ -164,10 +165,10 @@ class _Pieces(dict):
 class Encoder:
     """Whole texts: each match of the pattern is a piece of its own."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED) -> None:
+        self.vocabulary = Vocabulary(path, remembered * REMEMBERED_PAIRS // REMEMBERED)
         self.pattern = regex.compile(pattern)
-        self._pieces = _Pieces(self.piece)
+        self._pieces = _Pieces(self.piece, remembered)
 
     def piece(self, text: str) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
@@ -230,15 +231,15 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit integers")
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     """A task's encoder. It takes a tenth of a second to make, and goes with its task: workers live on."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, remembered)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256, round_trip (decoded bytes equal the text's).
 
-    keep_ids adds the ids themselves as `ids` array<int>. Rows are independent: no shuffle.
+    remembered is how many pieces a task keeps: memory against time, the result is the same. keep_ids adds the ids themselves as `ids` array<int>. Rows are independent: no shuffle.
     A null text counts as empty; an empty table gives an empty result; other columns are not read.
     """
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
@@ -246,7 +247,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, remembered)
         for batch in batches:
             counts, sums, back, same, all_ids = [], [], [], [], []
             for text in batch.column(1):

@@ -44,7 +44,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    # four stages have filled the executors' heaps by now: half the pieces are remembered
+    return bpe.encode_texts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, remembered=bpe.REMEMBERED // 2)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

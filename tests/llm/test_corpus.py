@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as tokens
@@ -68,6 +69,25 @@ def test_language_id(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_id_features_reach_the_driver_as_bytes(spark):
+    # as lists of numbers each bucket and count was an object: 60 bytes a subword and more
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüßéèáñ", k=7)) for _ in range(1500)), "xy"[i % 2]) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    langid.sample_features(labelled)
+    tracemalloc.start()
+    features, labels = langid.sample_features(labelled)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(features) == 40 and labels == ["x"] * 20 + ["y"] * 20
+    assert sorted(map(_counted, features)) == sorted(_counted(np.unique(langid.subwords([rows[i][1]])[0], return_counts=True)) for i in range(40))
+    assert most < 40 * sum(len(b) for b, _ in features)
+
+
+def _counted(feature):
+    return [list(map(int, x)) for x in feature]
+
+
 def syllables(rng, kind, n):
     """Invented prose of one of three languages with letters in common."""
     parts = {"aa": "an the ing ter ble wh ou sh".split(), "bb": "chen ung pf keit ber ge ö ü".split(), "cc": "ción lla qu ez rr os í ñ".split()}[kind]

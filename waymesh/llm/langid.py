@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lean, small_batches
+from ._shared import lean, small_batches, trim
 
 #: Buckets of the hashed subwords.
 BUCKETS = 1 << 17
@@ -264,6 +264,8 @@ def sample_features(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
 
     The threshold hash of each language comes from a grouped, bounded histogram, so no task
     sorts a language; what reaches the driver is per_language sparse rows for each language.
+    They come as bytes, 8 for a bucket and its count: as lists each number would be an object,
+    in the driver's JVM and again in its Python.
     """
     level = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 30))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), level.alias("h"))
@@ -283,23 +285,25 @@ def sample_features(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
             for text in batch.column(1).to_pylist():
                 b, _ = subwords([text])
                 u, c = np.unique(b, return_counts=True)
-                out.append((u.astype(np.int32), c.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], names=["i", "l", "h", "b", "c"])
+                out.append((u.astype(">i4").tobytes(), c.astype(">i4").tobytes()))  # these bytes sort as the numbers do
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["i", "l", "h", "b", "c"])
 
-    kept = near.mapInArrow(lean(run), f"i {labelled.schema[id_col].dataType.simpleString()}, l string, h bigint, b array<int>, c array<int>").where(F.size("b") > 0)
+    kept = near.mapInArrow(lean(run), f"i {labelled.schema[id_col].dataType.simpleString()}, l string, h bigint, b binary, c binary").where(F.length("b") > 0)
     # rows that tie in language, hash and id differ in their subwords, or are alike
     got = sorted(kept.collect(), key=lambda r: (r["l"], r["h"], r["i"], r["b"], r["c"]))
     features, labels, seen = [], [], {}
     for r in got:
         seen[r["l"]] = seen.get(r["l"], 0) + 1
         if seen[r["l"]] <= per_language:
-            features.append((np.array(r["b"], np.int64), np.array(r["c"], np.float64)))
+            features.append((np.frombuffer(r["b"], ">i4").astype(np.int32), np.frombuffer(r["c"], ">i4").astype(np.int32)))
             labels.append(r["l"])
     return features, labels
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, **columns: str) -> Model:
-    return train(*sample_features(labelled, per_language, **columns))
+    model = train(*sample_features(labelled, per_language, **columns))
+    trim()
+    return model
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
@@ -84,6 +85,30 @@ def test_language_id_features_reach_the_driver_as_bytes(spark):
     assert most < 40 * sum(len(b) for b, _ in features)
 
 
+def test_narrow_tables_of_the_jaccard_join_are_written_in_few_files(spark, docs, monkeypatch):
+    # as a file for each shuffle partition a run on a hot input started 19,059 processes on the executors
+    monkeypatch.setattr(_shared, "drop", lambda *_: None)
+    monkeypatch.setattr(_shared, "_MADE", made := [])
+    settings = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.components(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[60] == got[61] == 4
+    files = {}
+    for _, path in made:
+        for folder, _, names in os.walk(path.removeprefix("file:").replace("//", "/")):
+            if parts := [x for x in names if x.startswith("part-")]:
+                files[os.path.basename(folder)] = len(parts)
+    narrow = {k: n for k, n in files.items() if k not in ("prefixes", "candidates", "sets", "links-1", "links-2", "parts")}
+    assert {"fingerprints", "grouped-0", "grouped-1", "grouped-labels", "groups-labels", "components-labels", "known", "lows"} <= set(narrow)
+    assert set(narrow.values()) == {1}
+
+
 def _counted(feature):
     return [list(map(int, x)) for x in feature]
 

@@ -54,9 +54,20 @@ def _drop_all() -> None:
             return
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+#: Rows of a file of a narrow table.
+ROWS_A_FILE = 250_000
+
+
+def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+
+    rows: what a narrow table has at the most. It is written in files of ROWS_A_FILE rows, not
+    in one for each task: for each file an executor asks the store three times, and where that
+    is a local folder starts a process each time.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
@@ -143,16 +154,17 @@ def slices(starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> Iterato
         i = j
 
 
-def connected(spark: SparkSession, edges: DataFrame, name: str = "cc") -> DataFrame:
+def connected(spark: SparkSession, edges: DataFrame, name: str = "cc", rows: int | None = None) -> DataFrame:
     """(a, b) edges of bigint ids -> (node, label): the smallest id that each node reaches.
 
     Alternating large-star and small-star steps; every step groups by node with a partial
     minimum and joins it back, so a node with very many edges is never gathered in one task.
-    Each round's edges are a written table. Isolated nodes do not appear.
+    Each round's edges are a written table, never of more rows than the one before; the first
+    has as many as edges at the most (rows, if known). Isolated nodes do not appear.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, seen = stash(pairs, f"{name}-0"), None
-    step = 0
+    now, seen = stash(pairs, f"{name}-0", rows), None
+    step, rows = 0, now.count()
     while True:
         step += 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,16 +173,16 @@ def connected(spark: SparkSession, edges: DataFrame, name: str = "cc") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hung.where("v = m").select("u", "v")).distinct()
-        after = stash(small, f"{name}-{step}")
+        after = stash(small, f"{name}-{step}", rows)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
         unstash(now)
-        now = after
+        now, rows = after, mark[0]
         if mark == seen:
             break
         seen = mark
     out = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     both = out.union(out.select(F.col("label").alias("node"), "label"))
-    done = stash(both.distinct(), f"{name}-labels")
+    done = stash(both.distinct(), f"{name}-labels", 2 * rows)
     unstash(now)
     return done
 

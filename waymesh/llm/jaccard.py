@@ -404,7 +404,7 @@ def _tree_join(spark: SparkSession, grouped: DataFrame) -> DataFrame | None:
     first = rows.withColumn("turn", F.explode(turns)).withColumn("blk", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id", "turn"), F.col("blocks"))).otherwise(F.lit(0)))
     found = stash(first.select("gid", "turn", "blk", "id", F.col("id").alias("label"), "words").groupBy("gid", "turn", "blk").applyInPandas(_within, _LINKS), "links-1")
     large = rows.where("blocks > 1")
-    labels = connected(spark, found, "groups")
+    labels = connected(spark, found, "groups", found.count())
     parts = large.select("gid", "id", "words").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     parts = stash(parts, "parts")
     # second round: groups that still have several components, in blocks by component
@@ -423,8 +423,8 @@ def _tree_join(spark: SparkSession, grouped: DataFrame) -> DataFrame | None:
     sides = pairs.select("gid", "meet", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("blk"))
     met = sides.join(blocked, ["gid", "blk"]).withColumn("side", (F.col("blk") == F.col("y")).cast("int"))
     more = met.select("gid", "meet", "side", "id", "label", "words").groupBy("gid", "meet").applyInPandas(_across, _LINKS)
-    out = stash(found.union(more), "links")
-    for t in (found, labels, parts):
+    out = found.union(stash(more, "links-2"))
+    for t in (labels, parts):
         unstash(t)
     return out
 
@@ -434,26 +434,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     keyed = stash(_with_keys(small_batches(docs), id_col, text_col), "prefixes")
     edges = stash(_candidates(keyed.where("n > 0")), "candidates")
-    rows = stash(keyed.select("id", "n", "f1"), "fingerprints")
+    documents = keyed.count()
+    rows = stash(keyed.select("id", "n", "f1"), "fingerprints", documents)
     unstash(keyed)
     free_shuffles(spark)
-    groups = connected(spark, edges, "grouped")
+    groups = connected(spark, edges, "grouped", edges.count())
     unstash(edges)
     reps = rows.where("n > 0 and id is not null").groupBy("f1").agg(F.min("id").alias("id"))
-    grouped = stash(reps.join(groups, F.col("f1") == F.col("node")).select("id", "f1", F.col("label").alias("gid")), "grouped-sets")
+    grouped = stash(reps.join(groups, F.col("f1") == F.col("node")).select("id", "f1", F.col("label").alias("gid")), "grouped-sets", documents)
     # sizes are joined before the words are there; a table of its own, so that Spark can split a group with very many sets
-    sizes = stash(grouped.groupBy("gid").agg(F.count("*").alias("m")), "sizes")
-    wanted = stash(grouped.join(sizes, "gid"), "wanted")
+    sizes = stash(grouped.groupBy("gid").agg(F.count("*").alias("m")), "sizes", documents)
+    wanted = stash(grouped.join(sizes, "gid"), "wanted", documents)
     # a set is named by its fingerprint: an id can have several
     sets = stash(_sets_of(docs, wanted, id_col, text_col).select("gid", "m", F.col("f1").alias("id"), "words"), "sets")
     free_shuffles(spark)
     links = _tree_join(spark, sets)
     unstash(sets)
-    labels = connected(spark, links, "components")
+    labels = connected(spark, links, "components", links.count())
     known = reps.join(labels.select(F.col("node").alias("f1"), "label"), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
-    known = stash(known, "known")
+    known = stash(known, "known", documents)
     low = known.groupBy("label").agg(F.min("id").alias("low"))
-    low = stash(known.join(low, "label").select("f1", "low"), "lows")  # a table of its own, so that a set with very many copies is a join that Spark can split
+    low = stash(known.join(low, "label").select("f1", "low"), "lows", documents)  # a table of its own, so that a set with very many copies is a join that Spark can split
     some = rows.where("n > 0").join(low, "f1", "left").select("id", "n", F.coalesce("low", "id").alias("component_id"))
     out = some.union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

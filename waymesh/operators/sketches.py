@@ -7,7 +7,9 @@ reads sketches, never rows again.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sketch size: exact for pairs with fewer observations.
@@ -42,6 +44,22 @@ def matrix(sketches: DataFrame, key: list[str], share: float = 0.9) -> DataFrame
     return rolled_up(sketches, key).select(*key, "n", F.when(F.col("missing") == 0, quantile(share)).alias("seconds"))
 
 
+def exact_matrix(rows: DataFrame, key: list[str], seconds: str, share: str = "0.9") -> DataFrame:
+    """matrix() of the rows themselves, exact for keys of any size; share is a decimal number as text.
+
+    Equal values of a key are counted by partial aggregates, so that a key's running count passes over its
+    different values, sorted, and not over its rows.
+    """
+    counts = rows.groupBy(*key, F.col(seconds).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    known = F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(0)
+    by = Window.partitionBy(*key)
+    told = counts.withColumns({"n": F.sum(known).over(by), "__at": F.sum(known).over(by.orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))})
+    # whole numbers: the share in doubles could miss a rank by one
+    rank = F.greatest(F.lit(1), F.col("n") - F.floor(F.col("n") * F.lit(1 - Decimal(share))))
+    value = F.min(F.when(F.col("__v").isNotNull() & (F.col("__at") >= rank), F.col("__v")))
+    return told.groupBy(*key).agg(F.max("n").alias("n"), F.when(F.count("*") == F.count("__v"), value).alias("seconds"))
+
+
 def coverage(sketches: DataFrame, pairs: DataFrame, key: list[str], shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """A row for each of the 168 hours: wanted pairs, covered ones, their share, and quantiles over all their observations.
 

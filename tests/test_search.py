@@ -139,3 +139,13 @@ def test_integrity(spark):
     raw = spark.createDataFrame([("a", 1, 5, "x", "y"), ("b", 1, 5, "x", "y"), ("c", 2, 5, "x", "y"), ("d", 1, 5, "x", "y"), ("e", 1, 5, "x", "y")], "title string, page_id int, revision int, text string, source string")
     assert {r["title"]: r["reason"] for r in identity.integrity(pages, raw).collect()} == {"b": "not_done", "c": "other_page", "d": "other_revision", "e": "empty", "f": "not_fetched"}
     assert list(itertools.islice(identity.TIERS, 1)) == ["official_link"]
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    """A hundred requests of two questions: two are searched, all are answered."""
+    rides = spark.createDataFrame([("a", 1, 2, 50, 90), ("b", 2, 3, 100, 140), ("c", 1, 3, 60, 200)], "trip_id string, from_stop int, to_stop int, dep_s int, arr_s int")
+    requests = spark.createDataFrame([(i, 1, 2 + i % 2, 0) for i in range(100)], "request int, stop int, destination int, t int")
+    asked, search = [], range_search.search
+    monkeypatch.setattr(range_search, "search", lambda r, *rest: asked.append(r.count()) or search(r, *rest))
+    got = collections.Counter((r["request"], r["dep_s"], r["arr_s"], r["rides"]) for r in range_search.plan(requests, rides, None, (100, 600), 1000, 2).collect())
+    assert got == collections.Counter((i, *x) for i in range(100) for x in ([(50, 140, 2), (60, 200, 1)] if i % 2 else [(50, 90, 1)])) and asked == [2]

@@ -44,42 +44,52 @@ def search(requests: DataFrame, rides: DataFrame, transfers: DataFrame | None, w
     to a journey that is not beaten.
     """
     legs = F.array().cast(_LEG)
-    asked = requests.select("request", F.col("t").alias("asked"))
     text = lambda c: F.col(c).cast("string")
+    long = lambda c: F.col(c).cast("bigint")
+    # labels belong to the stop and time they start from, whoever asks and wherever to
+    start = ["origin", "asked"]
 
     def walked(labels: DataFrame) -> DataFrame:
         if transfers is None:
             return labels
-        steps = labels.join(transfers, labels["stop"] == transfers["from_stop"]).select("request", F.col("to_stop").alias("stop"), "dep_s", (F.col("t") + F.col("seconds")).alias("t"), "rides", (F.col("walk_s") + F.col("seconds")).alias("walk_s"), "legs")
+        steps = labels.join(transfers, labels["stop"] == transfers["from_stop"]).select(*start, F.col("to_stop").alias("stop"), "dep_s", (F.col("t") + F.col("seconds")).alias("t"), "rides", (F.col("walk_s") + F.col("seconds")).alias("walk_s"), "legs")
         return labels.unionByName(steps)
 
-    long = lambda c: F.col(c).cast("bigint")
-    front = walked(requests.select("request", "stop", F.lit(None).cast("bigint").alias("dep_s"), long("t").alias("t"), F.lit(0).alias("rides"), F.lit(0).cast("bigint").alias("walk_s"), legs.alias("legs")))
-    known = front = cut(undominated(front, ["request", "stop"]))
+    starts = requests.select(F.col("stop").alias("origin"), long("t").alias("asked")).distinct()
+    front = walked(starts.select(*start, F.col("origin").alias("stop"), F.lit(None).cast("bigint").alias("dep_s"), F.col("asked").alias("t"), F.lit(0).alias("rides"), F.lit(0).cast("bigint").alias("walk_s"), legs.alias("legs")))
+    known = front = cut(undominated(front, [*start, "stop"]))
     for k in range(1, most_rides + 1):
-        at = front.join(rides.withColumnsRenamed({"dep_s": "__d", "arr_s": "__a"}), front["stop"] == rides["from_stop"]).join(asked, "request")
+        at = front.join(rides.withColumnsRenamed({"dep_s": "__d", "arr_s": "__a"}), front["stop"] == rides["from_stop"])
         first = (F.col("__d") < F.col("asked") + window) if k == 1 else F.lit(True)
         leg = F.struct(text("trip_id").alias("trip_id"), text("from_stop").alias("from_stop"), text("to_stop").alias("to_stop"), long("__d").alias("dep_s"), long("__a").alias("arr_s"))
         # a walk to the first stop leaves in time for its departure
         boarded = at.where((F.col("__d") >= F.col("t")) & first & (F.col("__a") <= F.col("asked") + horizon)).select(
-            "request", F.col("to_stop").alias("stop"), F.coalesce("dep_s", long("__d") - F.col("walk_s")).alias("dep_s"), long("__a").alias("t"), (F.col("rides") + 1).alias("rides"), "walk_s", F.concat("legs", F.array(leg)).alias("legs")
+            *start, F.col("to_stop").alias("stop"), F.coalesce("dep_s", long("__d") - F.col("walk_s")).alias("dep_s"), long("__a").alias("t"), (F.col("rides") + 1).alias("rides"), "walk_s", F.concat("legs", F.array(leg)).alias("legs")
         )
-        known = cut(undominated(known.unionByName(walked(boarded)), ["request", "stop"]))
+        known = cut(undominated(known.unionByName(walked(boarded)), [*start, "stop"]))
         front = known.where(F.col("rides") == k)
-    goal = requests.select("request", F.col("destination").alias("stop"))
-    return known.where("rides > 0").join(goal, ["request", "stop"]).select("request", "dep_s", F.col("t").alias("arr_s"), "rides", "walk_s", "legs")
+    goal = requests.select("request", F.col("stop").alias("origin"), long("t").alias("asked"), F.col("destination").alias("stop"))
+    return known.where("rides > 0").join(goal, [*start, "stop"]).select("request", "dep_s", F.col("t").alias("arr_s"), "rides", "walk_s", "legs")
 
 
 def plan(requests: DataFrame, rides: DataFrame, transfers: DataFrame | None = None, windows: tuple[int, ...] = (3600, 7200, 14400), horizon: int = 14400, most_rides: int = 3) -> DataFrame:
-    """search() in the first window that finds a journey, with the window; only open requests go on to the next."""
-    open_, found = requests, None
+    """search() in the first window that finds a journey, with the window; only open requests go on to the next.
+
+    Requests from one stop at one time to one destination find the same journeys, so that each such
+    question is searched once and its journeys are given to all requests that ask it. Labels grow with
+    the different questions, not with the requests.
+    """
+    asks = ["stop", "destination", "t"]
+    questions = cut(requests.select(*asks).distinct().select(F.struct(*asks).alias("request"), *asks))
+    open_, found = questions, None
     for w in windows:
         got = cut(search(open_, rides, transfers, w, w + horizon, most_rides).withColumn("window", F.lit(w)))
         found = got if found is None else found.unionByName(got)
         open_ = cut(open_.join(got.select("request").distinct(), "request", "left_anti"))
         if open_.isEmpty():
             break
-    return found
+    told = found.select(*[F.col(f"request.{c}").alias(c) for c in asks], *[c for c in found.columns if c != "request"])
+    return requests.join(told, asks).select("request", *[c for c in found.columns if c != "request"])
 
 
 def normalised(journeys: DataFrame, requests: DataFrame) -> DataFrame:

@@ -31,3 +31,13 @@ def test_quantiles_of_many_observations(spark, tmp_path):
     stamps = pa.array([i * 60_000_000 for i in range(n)] + [0, 0, 0], pa.timestamp("us"))
     values = pa.array([round(rng.expovariate(0.02), 4) for _ in range(n)] + [1.0, 2.0, 3.0])
     same_as_sql(spark, tmp_path, "a15_merged_quantiles", events=pa.table({"event_id": ids, "ts": stamps, "user_id": pa.array([0] * n + [3, 3, 4], pa.int64()), "event_type": ["view"] * (n + 3), "value": values}))
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_interchanges_shuffle_journeys_thrice(spark):
+    """By journey to number its sections, by section, by journey again; the rest are a timetable's own bands."""
+    for name in ("d15_interchange_windows", "d15_interchange_lanes", "d15_interchange_refused"):
+        assert shuffles(catalogue.queries()[name](spark, "/root/testdata/sf0.001")) <= 9, name

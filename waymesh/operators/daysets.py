@@ -47,10 +47,15 @@ def minus(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return left.join(other, [*key, "page"], "left").withColumn("bits", kept).drop("__r").where("bits <> 0").select(*left.columns)
 
 
+def dates_of(page: Column, bits: Column) -> Column:
+    """The dates of one page, as an array."""
+    on = F.filter(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda k: F.call_function("shiftright", bits, k.cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(on, lambda k: F.date_from_unix_date((page * PAGE + k).cast("int")))
+
+
 def dates(sets: DataFrame, key: list[str]) -> DataFrame:
     """(key.., date) of sets."""
-    on = F.filter(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda k: F.call_function("shiftright", F.col("bits"), k.cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return sets.select(*key, F.explode(F.transform(on, lambda k: F.date_from_unix_date((F.col("page") * PAGE + k).cast("int")))).alias("date"))
+    return sets.select(*key, F.explode(dates_of(F.col("page"), F.col("bits"))).alias("date"))
 
 
 def signed(sets: DataFrame, key: list[str]) -> DataFrame:

@@ -2,16 +2,16 @@
 
 A journey is cut at its changes into sections; a section's key is its line and stations. The
 first section's bands rule. The other sections' availability, moved back to the journey's
-departure, is intersected with them in one sweep of signed events, whatever their number: a
-moment is open when as many sections run as the journey has. Nothing waits between sections,
-since the recorded total holds the changes.
+departure, is intersected with them, section by section in the path's own arrays, with dates as
+bits. Nothing waits between sections, since the recorded total holds the changes.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.operators.intervals import intersect, lanes, union_windows
+from waymesh.operators import daysets
+from waymesh.operators.intervals import lanes, union_windows
 
 
 def checked(journeys: DataFrame) -> DataFrame:
@@ -51,42 +51,79 @@ def sections(journeys: DataFrame) -> DataFrame:
     return s.select("path_id", "n", F.concat(first["line"], F.lit(":"), F.array_join(stations, ">")).alias("section_key"), F.bround(first["t_min"] * 60).cast("bigint").alias("offset_s"))
 
 
-def open_windows(parts: DataFrame, bands: DataFrame, needed: DataFrame) -> DataFrame:
-    """(path_id, date, a, b): when all of a path's later sections run, by the journey's departure.
+def _section_windows(bands: DataFrame) -> DataFrame:
+    """(section_key, own, runs): a section's bands, and when it runs at all, each an array with dates as bits.
 
-    parts: (path_id, section_key, offset_s); bands: (section_key, date, start_s, end_s); needed:
-    (path_id, need), the number of parts. One event opens and one closes each window of a
-    section; windows of one section and date do not overlap, so the running count is the number of
-    sections that run. One shuffle by (path, date), however many sections there are.
+    own: (page, bits, s, e, headway_secs, exact_times, parent); runs: (page, bits, a, b), on no date
+    touching each other.
     """
-    runs = union_windows(bands.select("section_key", "date", F.col("start_s").alias("a"), F.col("end_s").alias("b")), ["section_key", "date"])
-    moved = parts.join(runs, "section_key").select("path_id", "date", (F.col("a") - F.col("offset_s")).alias("a"), (F.col("b") - F.col("offset_s")).alias("b"))
-    events = moved.select("path_id", "date", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    change = events.groupBy("path_id", "date", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    by = Window.partitionBy("path_id", "date").orderBy("at")
-    open_ = change.withColumns({"n": F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)), "b": F.lead("at").over(by)}).join(needed, "path_id")
-    return union_windows(open_.where("n = need AND b IS NOT NULL").select("path_id", "date", F.col("at").alias("a"), "b"), ["path_id", "date"])
+    key = "section_key"
+    band = ["start_s", "end_s", "headway_secs", "exact_times", "parent"]
+    sets = daysets.pages(bands.select(key, *band, "date"), [key, *band])
+    own = sets.groupBy(key).agg(F.collect_list(F.struct("page", "bits", F.col("start_s").cast("bigint").alias("s"), F.col("end_s").cast("bigint").alias("e"), *band[2:])).alias("own"))
+    united = union_windows(bands.select(key, "date", F.col("start_s").cast("bigint").alias("a"), F.col("end_s").cast("bigint").alias("b")), [key, "date"])
+    runs = daysets.pages(united, [key, "a", "b"]).groupBy(key).agg(F.collect_list(F.struct("page", "bits", "a", "b")).alias("runs"))
+    return own.join(runs, key, "left")
+
+
+def _both(x: Column, y: Column, made) -> Column:
+    """Where two arrays of windows with dates overlap: made(x, y, page, bits, low, high) of each pair that does."""
+    bits = lambda u, v: u["bits"].bitwiseAND(v["bits"])
+    meets = lambda u, v: (u["page"] == v["page"]) & (u["a"] < v["b"]) & (v["a"] < u["b"]) & (u["a"] < u["b"]) & (bits(u, v) != 0)
+    pairs = lambda z: F.flatten(F.transform(x, lambda u: F.transform(F.filter(z, lambda v: meets(u, v)), lambda v: made(u, v, u["page"], bits(u, v), F.greatest(u["a"], v["a"]), F.least(u["b"], v["b"])))))
+    # y is bound to a name, as an expression in its place would be computed for each element of x
+    return F.transform(F.array(y), pairs)[0]
+
+
+def _found(parts: DataFrame, bands: DataFrame) -> DataFrame:
+    """(path_id, missing, found) of every path: found holds (page, bits, start_s, end_s, headway_secs, exact_times, parent).
+
+    A part meets its section's bands once and its path once; dates stay bits on the way. In a
+    path the sections' windows are intersected in turn: as windows of a section do not touch,
+    those of an intersection do not either, so none has to be united again. A path's parts and
+    a section's bands are arrays: both are bounded, as timetables and journeys are.
+    """
+    known = parts.join(_section_windows(bands).withColumn("__known", F.lit(True)), "section_key", "left")
+    first = F.col("n") == 0
+    # only a first section's bands travel whole, and only the others' windows
+    part = F.struct("n", F.col("offset_s").cast("bigint").alias("off"), F.when(~first, F.col("runs")).alias("runs"))
+    one = known.groupBy("path_id").agg(
+        F.array_sort(F.collect_list(F.when(~first, part))).alias("later"), F.flatten(F.collect_list(F.when(first, F.col("own")))).alias("own"),
+        F.sum(F.col("__known").isNull().cast("int")).alias("__lost"), F.sum(first.cast("int")).alias("__firsts"),
+    )
+    moved = F.transform("later", lambda p: F.transform(F.coalesce(p["runs"], F.array().cast("array<struct<page:int,bits:bigint,a:bigint,b:bigint>>")), lambda w: F.struct(w["page"].alias("page"), w["bits"].alias("bits"), (w["a"] - p["off"]).alias("a"), (w["b"] - p["off"]).alias("b"))))
+    window = lambda u, v, page, bits, a, b: F.struct(page.alias("page"), bits.alias("bits"), a.alias("a"), b.alias("b"))
+    free = F.aggregate(F.slice("__m", F.lit(2), F.greatest(F.size("__m") - 1, F.lit(0))), F.element_at("__m", 1), lambda s, x: _both(s, x, window))
+    band = lambda page, bits, a, b, u: F.struct(page.alias("page"), bits.alias("bits"), a.alias("start_s"), b.alias("end_s"), u["headway_secs"].alias("headway_secs"), u["exact_times"].alias("exact_times"), u["parent"].alias("parent"))
+    alone = F.transform("own", lambda u: band(u["page"], u["bits"], u["s"], u["e"], u))
+    # own bands under the names that _both compares
+    ruling = F.transform("own", lambda u: F.struct(u["page"].alias("page"), u["bits"].alias("bits"), u["s"].alias("a"), u["e"].alias("b"), u["headway_secs"].alias("headway_secs"), u["exact_times"].alias("exact_times"), u["parent"].alias("parent")))
+    cut = _both(ruling, F.col("__free"), lambda u, v, page, bits, a, b: band(page, bits, a, b, u))
+    single = F.col("__firsts") == 1
+    told = one.withColumn("__m", moved).withColumn("__free", F.when(F.size("__m") > 0, free))
+    found = F.when((F.col("__lost") == 0) & single, F.when(F.size("__m") == 0, alone).otherwise(cut))
+    return told.select("path_id", (F.col("__lost") > 0).alias("missing"), found.alias("found"))
+
+
+def window_sets(parts: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """windows() with dates as bits: (path_id, page, bits, start_s, end_s, headway_secs, exact_times, parent), equal windows of several parents as they are, and the refused paths."""
+    told = _found(parts, bands)
+    # the outer form, as before the other one the optimizer puts a filter that computes the array once more
+    each = told.select("path_id", F.inline_outer("found")).where("page IS NOT NULL")
+    refused = told.where(F.col("missing") | (F.coalesce(F.size("found"), F.lit(0)) <= 0)).select("path_id", F.when(F.col("missing"), "no_timetable").otherwise("no_common_window").alias("reason"))
+    return each, refused
 
 
 def windows(parts: DataFrame, bands: DataFrame, size: int = 3600) -> tuple[DataFrame, DataFrame]:
     """(path_id, date, start_s, end_s, headway_secs, exact_times, parent) and (path_id, reason) of paths that have none.
 
     parts: sections(); bands: (section_key, date, start_s, end_s, headway_secs, exact_times,
-    parent), headway 0 for a single departure. Of equal windows with several parents the smallest counts.
+    parent), headway 0 for a single departure. Of equal windows with several parents the smallest
+    counts. `size` is no longer used: windows meet in their path's arrays, not in bins of time.
     """
-    missing = parts.join(bands.select("section_key").distinct(), "section_key", "left_anti").select("path_id").distinct()
-    usable = parts.join(missing, "path_id", "left_anti")
-    later = usable.where("n > 0")
-    need = usable.groupBy("path_id").agg((F.count("*") - 1).alias("need"))
-    first = usable.where("n = 0").join(bands.distinct(), "section_key").select("path_id", "date", F.struct("headway_secs", "exact_times", F.col("start_s").alias("s"), F.col("end_s").alias("e"), "parent").alias("band"), F.col("start_s").alias("a"), F.col("end_s").alias("b"))
-    single = first.join(need.where("need = 0"), "path_id", "left_semi")
-    free = open_windows(later, bands, need.where("need > 0"))
-    # the ruling band is part of the key, so that overlapping bands stay apart
-    wide = first.select("path_id", "date", "band").distinct().join(free, ["path_id", "date"])
-    cut = intersect(first.join(need.where("need > 0"), "path_id", "left_semi"), wide, ["path_id", "date", "band"], size)
-    got = cut.unionByName(single.select(*cut.columns)).groupBy("path_id", "date", F.col("a").alias("start_s"), F.col("b").alias("end_s"), "band.headway_secs", "band.exact_times").agg(F.min("band.parent").alias("parent"))
-    none = usable.select("path_id").distinct().join(got.select("path_id").distinct(), "path_id", "left_anti")
-    refused = missing.withColumn("reason", F.lit("no_timetable")).unionByName(none.withColumn("reason", F.lit("no_common_window")))
+    each, refused = window_sets(parts, bands)
+    dated = daysets.dates(each, ["path_id", "start_s", "end_s", "headway_secs", "exact_times", "parent"])
+    got = dated.groupBy("path_id", "date", "start_s", "end_s", "headway_secs", "exact_times").agg(F.min("parent").alias("parent"))
     return got, refused
 
 
@@ -96,20 +133,26 @@ def service_key(dates: Column) -> Column:
 
 
 def bundle(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bands, services) of windows(): equal bands over their dates, dealt to lanes.
+    """(bands, services) of windows() or window_sets(): equal bands over their dates, dealt to lanes.
 
     bands: (path_id, service_key, exact_times, start_s, end_s, headway_secs, parent, lane): bands of one
     lane follow each other, so that one trip holds them; a single departure is a lane of its own.
     services: (service_key, date), one key for equal sets of dates.
     """
-    day = found.groupBy("path_id", "start_s", "end_s", "headway_secs", "exact_times").agg(F.collect_set("date").alias("dates"), F.min("parent").alias("parent"))
+    key = ["path_id", "start_s", "end_s", "headway_secs", "exact_times"]
+    if "bits" in found.columns:
+        sets = found.groupBy(*key).agg(F.collect_set(F.struct("page", "bits")).alias("__s"), F.min("parent").alias("parent"))
+        day = sets.select(*key, F.array_distinct(F.flatten(F.transform("__s", lambda x: daysets.dates_of(x["page"], x["bits"])))).alias("dates"), "parent")
+    else:
+        day = found.groupBy(*key).agg(F.collect_set("date").alias("dates"), F.min("parent").alias("parent"))
     keyed = day.withColumn("service_key", service_key(F.col("dates")))
     services = keyed.dropDuplicates(["service_key"]).select("service_key", F.explode("dates").alias("date"))
-    rows = keyed.drop("dates")
-    often = lanes(rows.where("headway_secs > 0"), ["path_id", "service_key", "exact_times"], ["headway_secs", "parent"], "start_s", "end_s")
-    by = Window.partitionBy("path_id", "service_key", "exact_times").orderBy("start_s", "end_s", "parent")
-    single = rows.where("headway_secs = 0").withColumn("lane", -F.row_number().over(by))
-    return often.unionByName(single.select(*often.columns)), services
+    # both kinds in one flow, as two would compute all windows twice
+    rows = keyed.drop("dates").where("headway_secs >= 0").withColumn("__often", F.col("headway_secs") > 0)
+    own = ["path_id", "service_key", "exact_times", "__often"]
+    by = Window.partitionBy(*own).orderBy("start_s", "end_s", "parent")
+    dealt = lanes(rows, own, ["headway_secs", "parent"], "start_s", "end_s")
+    return dealt.withColumn("lane", F.when(F.col("__often"), F.col("lane")).otherwise(-F.row_number().over(by))).drop("__often"), services
 
 
 def connections(bands: DataFrame, journeys: DataFrame, trips: DataFrame) -> dict[str, DataFrame]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymesh.operators import calendar, interchange, layers, schedule_merge
@@ -50,16 +51,17 @@ def _interchanges(spark, d):
     )
     week = spark.range(1).select(F.explode(F.sequence(F.lit(datetime.date(2024, 3, 4)), F.lit(datetime.date(2024, 3, 10)))).alias("date"))
     dates = week.crossJoin(spark.range(3).select(F.col("id").alias("service"))).where("service = 0 OR dayofmonth(date) % (service + 1) <> 0")
-    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
-    part = F.transform("x", lambda x, i: F.struct(F.concat(F.lit("L"), x["l_suppkey"].cast("string"), F.lit(":A>B")).alias("section_key"), (i * 600).cast("bigint").alias("offset_s"), i.alias("n")))
-    parts = lines.where(F.size("x") > 1).select("path_id", F.explode(part).alias("p")).select("path_id", "p.n", "p.section_key", "p.offset_s")
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), "l_linenumber", "l_suppkey")
+    path = Window.partitionBy("path_id")
+    placed = lines.withColumns({"n": F.row_number().over(path.orderBy("l_linenumber", "l_suppkey")) - 1, "__k": F.count("*").over(path)}).where("__k > 1")
+    parts = placed.select("path_id", "n", F.concat(F.lit("L"), F.col("l_suppkey").cast("string"), F.lit(":A>B")).alias("section_key"), (F.col("n") * 600).cast("bigint").alias("offset_s"))
     return parts, bands.join(dates, "service").drop("service")
 
 
 @register("d15_interchange_windows", f"""WITH {_OPEN} SELECT path AS path_id, start_s, end_s, headway_secs, parent, substring(sha256(dates), 1, 16) AS service_key FROM day""")
 def d15_interchange_windows(spark, d):
     """Journeys of up to seven sections: when all of them run, with dates as one service."""
-    found, _ = interchange.windows(*_interchanges(spark, d))
+    found, _ = interchange.window_sets(*_interchanges(spark, d))
     bands, _ = interchange.bundle(found)
     return bands.select("path_id", "start_s", "end_s", F.col("headway_secs").cast("bigint").alias("headway_secs"), "parent", "service_key")
 
@@ -68,14 +70,14 @@ def d15_interchange_windows(spark, d):
 SELECT x.path AS path_id, substring(sha256(x.dates), 1, 16) AS service_key, count(DISTINCT (x.start_s, x.end_s)) > 0 AS any_band, max(n)::BIGINT AS lanes FROM k x JOIN (SELECT p.path, p.dates, p.start_s, count(*) AS n FROM (SELECT DISTINCT path, dates, start_s FROM k) p JOIN k q ON p.path = q.path AND p.dates = q.dates AND q.start_s <= p.start_s AND p.start_s < q.end_s GROUP BY 1, 2, 3) y ON x.path = y.path AND x.dates = y.dates GROUP BY 1, 2""")
 def d15_interchange_lanes(spark, d):
     """Lanes of every path and service: as many as its bands overlap at most."""
-    bands, _ = interchange.bundle(interchange.windows(*_interchanges(spark, d))[0])
+    bands, _ = interchange.bundle(interchange.window_sets(*_interchanges(spark, d))[0])
     return bands.where("headway_secs > 0").groupBy("path_id", "service_key").agg((F.count("*") > 0).alias("any_band"), (F.max("lane") + 1).cast("bigint").alias("lanes"))
 
 
 @register("d15_interchange_refused", f"""WITH {_OPEN}, c AS (SELECT path FROM s GROUP BY path HAVING max(need) > 0)
 SELECT path AS path_id, CASE WHEN path NOT IN (SELECT path FROM ok) THEN 'no_timetable' ELSE 'no_common_window' END AS reason FROM c WHERE path NOT IN (SELECT path FROM got)""")
 def d15_interchange_refused(spark, d):
-    return interchange.windows(*_interchanges(spark, d))[1]
+    return interchange.window_sets(*_interchanges(spark, d))[1]
 
 
 @register("d15_journey_checks", """

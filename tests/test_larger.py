@@ -41,3 +41,11 @@ def test_interchanges_shuffle_journeys_thrice(spark):
     """By journey to number its sections, by section, by journey again; the rest are a timetable's own bands."""
     for name in ("d15_interchange_windows", "d15_interchange_lanes", "d15_interchange_refused"):
         assert shuffles(catalogue.queries()[name](spark, "/root/testdata/sf0.001")) <= 9, name
+
+
+def test_rail_records_are_shuffled_once(spark):
+    """By path; what else is shuffled is the baseline and the calendar. Records in conflict are found without pairs."""
+    for name in ("d10_rail_bands", "d10_rail_refused"):
+        df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert shuffles(df) <= 6 and plan.count("lineitem.parquet") == 1, name

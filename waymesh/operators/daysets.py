@@ -58,11 +58,11 @@ def dates(sets: DataFrame, key: list[str]) -> DataFrame:
     return sets.select(*key, F.explode(dates_of(F.col("page"), F.col("bits"))).alias("date"))
 
 
-def signed(sets: DataFrame, key: list[str]) -> DataFrame:
-    """(key.., days, signature): one row a set, with its number of days and a text that equal sets share."""
-    one = F.array_sort(F.collect_list(F.struct("page", "bits")))
-    said = F.array_join(F.transform(one, lambda x: F.concat(x["page"].cast("string"), F.lit(":"), F.hex(x["bits"]))), ",")
-    return sets.groupBy(*key).agg(F.sum(F.bit_count("bits")).alias("days"), said.alias("signature"))
+def signed(sets: DataFrame, key: list[str], keep: bool = False) -> DataFrame:
+    """(key.., days, signature): one row a set, with its number of days and a text that equal sets share; kept, its pages and bits as `pages`."""
+    one = sets.groupBy(*key).agg(F.sum(F.bit_count("bits")).alias("days"), F.array_sort(F.collect_list(F.struct("page", "bits"))).alias("pages"))
+    said = F.array_join(F.transform("pages", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), F.hex(x["bits"]))), ",")
+    return one.select(*key, "days", said.alias("signature"), *(["pages"] if keep else []))
 
 
 def digest(signature: Column) -> Column:

@@ -117,14 +117,29 @@ def quarantine(records: DataFrame, key: list[str], record: str, size: int = 3600
     """Adds `reason` to timetable records (kind frequency with [start_s, end_s), or departure at start_s).
 
     Mixed services, overlapping frequency bands, and departures listed inside a band are all
-    rejected, both sides of a conflict; safe rows have a null reason.
+    rejected, both sides of a conflict; safe rows have a null reason. A record does not conflict with
+    rows of its own name. A key's records are passed over once in each direction, sorted by
+    start: what has begun before and ends latest, and what begins next, tell of any conflict, so no
+    pairs are made and one shuffle by key is all. `size` is no longer used.
     """
-    bands = records.where("kind = 'frequency'")
-    listed = records.where("kind = 'departure'")
-    pairs = overlapping_pairs(bands, key, record, "start_s", "end_s", size)
-    overlap = pairs.select(F.explode(F.array(f"{record}_1", f"{record}_2")).alias(record)).distinct().withColumn("__o", F.lit(True))
-    q = bands.select(*key, F.col(record).alias("__band"), F.col("start_s").alias("__a"), F.col("end_s").alias("__b"))
-    met = points_in_bands(listed.select(*key, record, "start_s"), q, "start_s", "__a", "__b", size, key)
-    inside = met.select(F.explode(F.array(record, "__band")).alias(record)).distinct().withColumn("__d", F.lit(True))
-    got = records.join(overlap, record, "left").join(inside, record, "left")
-    return got.withColumn("reason", F.when(F.col("mixed"), "mixed_service").when(F.col("__o"), "overlapping_bands").when(F.col("__d"), "departure_in_band")).drop("__o", "__d")
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    band = F.coalesce(whole & F.col(record).isNotNull() & (F.col("kind") == "frequency") & (F.col("start_s") < F.col("end_s")), F.lit(False))
+    listed = F.coalesce(whole & (F.col("kind") == "departure") & F.col("start_s").isNotNull(), F.lit(False))
+    # at one second a band comes before a departure, which it then holds
+    order = [F.col("start_s"), F.col("__p").cast("int"), F.col("end_s"), F.col(record)]
+    by = Window.partitionBy(*key)
+    before, after = (by.orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, [c.desc() for c in order]))
+    own = lambda name: F.col(f"{name}.{record}") == F.col(record)
+    at = records.withColumns({"__f": band, "__p": listed})
+    # the latest end so far and, for rows of the record that has it, the latest of any other record; likewise the next start
+    at = at.withColumn("__l", F.max(F.when(F.col("__f"), F.struct("end_s", record))).over(before))
+    at = at.withColumn("__l2", F.max(F.when(F.col("__f") & ~own("__l"), F.least("__l.end_s", "end_s"))).over(before))
+    at = at.withColumns({"__n": F.min(F.when(F.col("__f"), F.struct("start_s", record))).over(after), "__d": F.min(F.when(F.col("__p"), F.col("start_s"))).over(after)})
+    at = at.withColumn("__n2", F.min(F.when(F.col("__f") & ~own("__n"), F.greatest("__n.start_s", "start_s"))).over(after))
+    earlier, later = F.when(own("__l"), F.col("__l2")).otherwise(F.col("__l.end_s")), F.when(own("__n"), F.col("__n2")).otherwise(F.col("__n.start_s"))
+    overlaps = F.col("__f") & ((earlier > F.col("start_s")) | (later < F.col("end_s")))
+    inside = (F.col("__p") & F.col(record).isNotNull() & (F.col("__l.end_s") > F.col("start_s"))) | (F.col("__f") & (F.col("__d") < F.col("end_s")))
+    reason = F.when(F.col("mixed"), "mixed_service").when(overlaps, "overlapping_bands").when(inside, "departure_in_band")
+    return at.withColumn("reason", reason).drop("__f", "__p", "__l", "__l2", "__n", "__n2", "__d")

@@ -5,7 +5,7 @@ Intervals of all layers go through one sweep of signed events.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.operators import daysets
@@ -33,6 +33,27 @@ def top_layer(rows: DataFrame, key: list[str], layers: int = 3) -> DataFrame:
     return union_windows(open_.select(*key, "layer", F.col("at").alias("a"), "b"), [*key, "layer"])
 
 
+_SPANS = "array<struct<a:bigint,b:bigint>>"
+
+
+def united(spans: Column) -> Column:
+    """An array of [a, b), sorted, with touching and overlapping ones as one; empty ones are dropped."""
+    ends = F.array_sort(F.filter(spans, lambda x: x["a"] < x["b"]))
+    start = F.struct(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.array().cast(_SPANS).alias("done"))
+    one = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))
+    more = lambda s, x: F.when(x["a"] <= s["b"], F.struct(s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b"), s["done"].alias("done"))).otherwise(F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(s["a"].isNull(), s["done"]).otherwise(F.array_append(s["done"], one(s))).alias("done")))
+    return F.aggregate(ends, start, more, lambda s: F.when(s["a"].isNull(), s["done"]).otherwise(F.array_append(s["done"], one(s))))
+
+
+def gaps(cover: Column, low: Column, high: Column) -> Column:
+    """The parts of [low, high) that united spans leave."""
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    inside = F.filter(cover, lambda x: (x["b"] > low) & (x["a"] < high))
+    starts = F.concat(F.array(low), F.transform(inside, lambda x: x["b"]))
+    ends = F.concat(F.transform(inside, lambda x: x["a"]), F.array(high))
+    return F.filter(F.zip_with(starts, ends, span), lambda x: x["a"] < x["b"])
+
+
 def rail_schedule(records: DataFrame, baseline: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bands, services, refused) of one build: published records over the baseline, on each date.
 
@@ -45,32 +66,43 @@ def rail_schedule(records: DataFrame, baseline: DataFrame, days: DataFrame) -> t
     between the first and the last listed departure. Where `gaps` it fills all the rest of its
     span, else only the stretches of refused records, since a gap in a source may be meant.
 
-    bands: (path, service_key, origin, start_s, end_s, headway_s), one row for equal bands on all
-    their dates, so that what several services or tables say twice is kept once. services:
-    (service_key, date).
+    bands: (path, service_key, origin, start_s, end_s, headway_s, days), one row for equal bands on all
+    their dates, so that what several services or tables say twice is kept once; days is the number
+    of these dates. services: (service_key, date).
+
+    All is one flow by path: records that already lie by path are not shuffled again, and the
+    baseline comes to them. What one path and category has is an array, as its timetable is bounded.
     """
-    each = records.withColumn("category", F.explode(F.array_distinct("categories"))).withColumn("__id", F.concat_ws(":", "id", "category"))
-    judged = quarantine(each, ["path", "category"], "__id").drop("__id")
-    bad = judged.where("reason IS NOT NULL")
-    good = judged.where("reason IS NULL")
     long = lambda c: F.col(c).cast("bigint")
-    listed = good.where("kind = 'departure'").select("path", "category", long("start_s").alias("s")).distinct()
-    often = good.where("kind = 'frequency'").select("path", "category", long("start_s").alias("a"), long("end_s").alias("b"), long("headway_s").alias("headway_s")).distinct()
-    base = baseline.join(each.select("path", "category").distinct(), "path").select("path", "category", long("start_s").alias("a"), long("end_s").alias("b"), long("headway_s").alias("headway_s"), "gaps")
-    open_ = bad.select("path", "category", long("start_s").alias("x"), F.coalesce(long("end_s"), long("start_s") + 1).alias("y"))
-    blocked = base.where("NOT gaps").join(union_windows(open_, ["path", "category"], "x", "y"), ["path", "category"]).withColumns({"a": F.greatest("a", "x"), "b": F.least("b", "y")}).where("a < b").drop("x", "y")
-    base = base.where("gaps").unionByName(blocked).drop("gaps")
-    layer = lambda d, k: d.select("path", "category", F.lit(k).alias("layer"), "a", "b")
-    spans = listed.groupBy("path", "category").agg(F.min("s").alias("a"), (F.max("s") + 1).alias("b"))
-    heard = top_layer(layer(often, PUBLISHED).unionByName(layer(spans, LISTED)).unionByName(layer(base, FALLBACK)), ["path", "category"])
-    own = heard.where(F.col("layer") == FALLBACK).select("path", "category", F.col("a").alias("x"), F.col("b").alias("y"))
-    filled = base.join(own, ["path", "category"]).withColumns({"a": F.greatest("a", "x"), "b": F.least("b", "y")}).where("a < b")
-    said = lambda d, origin: d.select("path", "category", F.lit(origin).alias("origin"), F.col("a").alias("start_s"), F.col("b").alias("end_s"), "headway_s")
-    single = listed.select("path", "category", F.col("s").alias("a"), (F.col("s") + 1).alias("b"), F.lit(0).cast("bigint").alias("headway_s"))
-    all_ = said(single, "listed_departure").unionByName(said(often, "published_interval")).unionByName(said(filled, "retained_fallback"))
+    judged = quarantine(records.withColumn("category", F.explode(F.array_distinct("categories"))), ["path", "category"], "id")
+    good, single = F.col("reason").isNull(), F.col("kind") == "departure"
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    of = judged.groupBy("path", "category").agg(
+        F.collect_set(F.when(good & single, long("start_s"))).alias("listed"),
+        F.collect_set(F.when(good & (F.col("kind") == "frequency"), F.struct(long("start_s").alias("a"), long("end_s").alias("b"), long("headway_s").alias("headway_s")))).alias("often"),
+        F.collect_set(F.when(~good, span(long("start_s"), F.coalesce(long("end_s"), long("start_s") + 1)))).alias("open"),
+    )
+    base = baseline.groupBy("path").agg(F.collect_list(F.struct(long("start_s").alias("a"), long("end_s").alias("b"), long("headway_s").alias("headway_s"), "gaps")).alias("base"))
+    cover = F.concat(F.transform("often", lambda x: span(x["a"], x["b"])), F.when(F.size("listed") > 0, F.array(span(F.array_min("listed"), F.array_max("listed") + 1))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    met = of.join(base, "path", "left").withColumns({"cover": united(cover), "open": united(F.col("open"))})
+
+    def filled(w: Column) -> Column:
+        """The baseline's window w without what is covered: all of it, or what of it is open."""
+        free = gaps(F.col("cover"), w["a"], w["b"])
+        cut = F.flatten(F.transform(free, lambda x: F.transform(F.filter("open", lambda y: (x["a"] < y["b"]) & (y["a"] < x["b"])), lambda y: span(F.greatest(x["a"], y["a"]), F.least(x["b"], y["b"])))))
+        return F.transform(F.when(w["gaps"], free).when(~w["gaps"], cut).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda x: said("retained_fallback", x["a"], x["b"], w["headway_s"]))
+
+    said = lambda origin, a, b, h: F.struct(F.lit(origin).alias("origin"), a.alias("start_s"), b.alias("end_s"), h.alias("headway_s"))
+    none = F.array().cast("array<struct<a:bigint,b:bigint,headway_s:bigint,gaps:boolean>>")
+    rows = F.concat(
+        F.transform("listed", lambda s: said("listed_departure", s, s + 1, F.lit(0).cast("bigint"))), F.transform("often", lambda x: said("published_interval", x["a"], x["b"], x["headway_s"])),
+        F.flatten(F.transform(F.coalesce("base", none), filled)),
+    )
+    # the outer form: before the other one the optimizer puts a filter that computes the array once more
+    all_ = met.select("path", "category", F.inline_outer(rows)).where("origin IS NOT NULL")
     key = ["path", "origin", "start_s", "end_s", "headway_s"]
-    sets = daysets.union(all_.join(daysets.pages(days, ["category"]), "category").select(*key, "page", "bits"), key)
-    named = daysets.signed(sets, key).withColumn("service_key", daysets.digest(F.col("signature")))
-    one = named.groupBy("service_key").agg(F.min(F.struct(*key)).alias("k")).select("service_key", *[F.col(f"k.{c}").alias(c) for c in key])
-    services = daysets.dates(sets.join(one, key).select("service_key", "page", "bits"), ["service_key"])
-    return named.select("path", "service_key", "origin", "start_s", "end_s", "headway_s"), services, bad.select("id", "path", "category", "reason")
+    # eight categories' dates of the build window are a bounded table
+    sets = daysets.union(all_.join(F.broadcast(daysets.pages(days, ["category"])), "category").select(*key, "page", "bits"), key)
+    named = daysets.signed(sets, key, keep=True).withColumn("service_key", daysets.digest(F.col("signature")))
+    services = named.groupBy("service_key").agg(F.first("pages").alias("pages")).select("service_key", F.inline("pages"))
+    return named.select("path", "service_key", "origin", "start_s", "end_s", "headway_s", "days"), daysets.dates(services, ["service_key"]), judged.where(~good).select("id", "path", "category", "reason")

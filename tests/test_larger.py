@@ -1,10 +1,14 @@
 """Queries on tables that the driver's smallest ones do not stand for: hot keys, copies, many rows of a key."""
+import math
 import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from waymesh.functions import geo
+from waymesh.operators import spatial
 from waymesh.plans import catalogue
 
 
@@ -49,3 +53,28 @@ def test_rail_records_are_shuffled_once(spark):
         df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert shuffles(df) <= 6 and plan.count("lineitem.parquet") == 1, name
+
+
+@pytest.mark.parametrize("sphere", [True, False])
+def test_closest_is_exact_at_any_density(spark, sphere):
+    """A dense clump, copies of one place, and a thin rest, in tiles of twenty places, against all pairs."""
+    rng = random.Random(4)
+    spots = [(22.3 + rng.gauss(0, 0.00005), 114.1 + rng.gauss(0, 0.00005)) for _ in range(150)] + [(22.31, 114.1)] * 30 + [(rng.uniform(22.2, 22.4), rng.uniform(114.0, 114.2)) for _ in range(120)]
+    points = list(enumerate(spots))
+    frame = spark.createDataFrame([(i, *x) for i, x in points] + [(900, None, 114.1), (901, 22.3, float("nan"))], "id int, lat double, lon double")
+
+    def metres(p, q):
+        (a, b), (c, e) = p, q
+        if not sphere:
+            return math.hypot((c - a) * geo.DEGREE, (e - b) * geo.DEGREE * math.cos(math.radians(a)))
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(e - b) / 2) ** 2
+        return 2 * geo.EARTH * math.asin(min(1.0, math.sqrt(h)))
+
+    got = {}
+    for r in spatial.closest(frame, frame.withColumnRenamed("id", "mark"), "id", "mark", 4, 2500.0, sphere, True, 20).collect():
+        got[r["id"], r["rank"]] = r["mark"]
+    want = {}
+    for i, p in points:
+        near = sorted((d, j) for j, q in points if j != i and (d := metres(p, q)) <= 2500)[:4]
+        want |= {(i, n + 1): j for n, (_, j) in enumerate(near)}
+    assert got == want

@@ -9,10 +9,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
+from waymesh.operators.routing import cut
 
 
 def _cells(rows: DataFrame, size: float) -> DataFrame:
@@ -52,6 +53,102 @@ def within(queries: DataFrame, marks: DataFrame, radius: float) -> DataFrame:
     return got.where(F.col("metres") <= radius).drop("__y", "__x", "__lat", "__lon")
 
 
+def _metres(sphere: bool, lat, lon, lats, lons):
+    """Distances of points to marks, a matrix; nearly those of the column functions."""
+    dy, dx = np.radians(lats[None, :] - lat[:, None]), np.radians(lons[None, :] - lon[:, None])
+    if not sphere:
+        return np.hypot(np.degrees(dy) * geo.DEGREE, np.degrees(dx) * geo.DEGREE * np.cos(np.radians(lat))[:, None])
+    a = np.sin(dy / 2) ** 2 + np.cos(np.radians(lat))[:, None] * np.cos(np.radians(lats))[None, :] * np.sin(dx / 2) ** 2
+    return 2 * geo.EARTH * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+
+
+def _tile(lat, lon, cuts, inner) -> np.ndarray:
+    """Numbers of the tiles that points lie in: strips of latitude, cut by longitude."""
+    strip = np.searchsorted(cuts, lat, "right")
+    first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in inner])])
+    return np.array([first[i] + np.searchsorted(inner[i], x, "right") for i, x in zip(strip, lon)], dtype="int64")
+
+
+def closest(queries: DataFrame, marks: DataFrame, query_id: str, mark_id: str, k: int, radius: float, sphere: bool = True, others: bool = False, per_tile: int = 400) -> DataFrame:
+    """(query_id, mark_id, metres, rank): the k nearest marks within radius, ties by mark_id; exact at any density.
+
+    With `others` a mark of the query's own id does not count. Work does not grow with the marks
+    inside the radius: different places are dealt to tiles of about `per_tile` each, by quantiles, a
+    query's own tile bounds its k-th distance, and only tiles that this distance reaches are searched
+    too. Equal places are one, with their k + 1 smallest ids. What is found is measured again and
+    ranked by the column functions. The cuts, a number for each tile, pass through the driver.
+    """
+    real = lambda d: d.where("NOT isnan(lat) AND NOT isnan(lon)")  # noqa: E731  null is neither
+    near = real(marks).groupBy("lat", "lon").agg(F.slice(F.array_sort(F.collect_set(mark_id)), 1, k + 1).alias("ids"))
+    places = cut(near.withColumnRenamed("ids", "__ids"))
+    tiles = max(1, math.ceil(places.count() / per_tile))
+    strips = math.ceil(math.sqrt(tiles))
+    shares = lambda n: [i / n for i in range(1, n)]
+    cuts = sorted(set(places.approxQuantile("lat", shares(strips), 0.2 / strips))) if strips > 1 else []
+    inner = [[] for _ in range(len(cuts) + 1)]
+    if strips > 1:
+        strip = F.size(F.filter(F.lit(cuts), lambda x: x <= F.col("lat")))
+        for r in places.groupBy(strip.alias("s")).agg(F.count("*").alias("n"), F.percentile_approx("lon", F.array(*[F.lit(x) for x in shares(4 * strips)]), F.lit(100 * strips)).alias("q")).collect():
+            n = max(1, min(4 * strips, round(r["n"] / per_tile)))
+            inner[r["s"]] = sorted({r["q"][round(4 * strips * x) - 1] for x in shares(n)})
+
+    def dealt(frames):
+        for f in frames:
+            yield f.assign(tile=_tile(f["lat"].to_numpy(), f["lon"].to_numpy(), cuts, inner))
+
+    def bounded(key, q: pd.DataFrame, m: pd.DataFrame):
+        """The distance within which a query's own tile has k marks at other places than its own."""
+        out = np.full(len(q), float(radius))
+        lats, lons = m["lat"].to_numpy(), m["lon"].to_numpy()
+        if len(m) > k:
+            for i in range(0, len(q), 1000):
+                lat, lon = q["lat"].to_numpy()[i : i + 1000], q["lon"].to_numpy()[i : i + 1000]
+                d = _metres(sphere, lat, lon, lats, lons)
+                d[(lats[None, :] == lat[:, None]) & (lons[None, :] == lon[:, None])] = np.inf
+                out[i : i + 1000] = np.minimum(radius, np.partition(d, k - 1, axis=1)[:, k - 1])
+        return q[["lat", "lon"]].assign(reach=out * (1 + 1e-9) + 1e-6)
+
+    def sent(frames):
+        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in inner])])
+        for f in frames:
+            rows = []
+            for lat, lon, reach in zip(f["lat"], f["lon"], f["reach"]):
+                dy = reach / 111_000
+                flat = math.cos(math.radians(min(90.0, abs(lat) + dy)))
+                dx = 360.0 if flat < 1e-6 else dy / flat
+                for s in range(np.searchsorted(cuts, lat - dy, "right"), np.searchsorted(cuts, lat + dy, "right") + 1):
+                    a, b = np.searchsorted(inner[s], [lon - dx, lon + dx], "right")
+                    rows += [(lat, lon, reach, int(first[s]) + i) for i in range(a, b + 1)]
+            yield pd.DataFrame(rows, columns=["lat", "lon", "reach", "tile"]).astype({"tile": "int64"})
+
+    def searched(key, q: pd.DataFrame, m: pd.DataFrame):
+        """Each query's places of a tile within its reach; at most its k nearest, more where they tie, and its own."""
+        lats, lons, got = m["lat"].to_numpy(), m["lon"].to_numpy(), []
+        for i in range(0, len(q) if len(m) else 0, 1000):
+            part = q.iloc[i : i + 1000]
+            d = _metres(sphere, part["lat"].to_numpy(), part["lon"].to_numpy(), lats, lons)
+            most = part["reach"].to_numpy()
+            if len(m) > k + 1:
+                most = np.minimum(most, np.partition(d, k, axis=1)[:, k] * (1 + 1e-9) + 1e-6)
+            x, y = np.nonzero(d <= most[:, None])
+            got.append(pd.DataFrame({"lat": part["lat"].to_numpy()[x], "lon": part["lon"].to_numpy()[x], "__lat": lats[y], "__lon": lons[y]}))
+        return pd.concat(got) if got else pd.DataFrame({"lat": [], "lon": [], "__lat": [], "__lon": []}, dtype="float64")
+
+    in_tiles = places.select("lat", "lon").mapInPandas(dealt, "lat double, lon double, tile bigint")
+    asks = real(queries).select("lat", "lon").distinct().mapInPandas(dealt, "lat double, lon double, tile bigint")
+    reach = asks.groupBy("tile").cogroup(in_tiles.groupBy("tile")).applyInPandas(bounded, "lat double, lon double, reach double")
+    pairs = reach.mapInPandas(sent, "lat double, lon double, reach double, tile bigint").groupBy("tile").cogroup(in_tiles.groupBy("tile")).applyInPandas(searched, "lat double, lon double, __lat double, __lon double")
+    own = places.withColumnsRenamed({"lat": "__lat", "lon": "__lon"})
+    ids = pairs.join(own, ["__lat", "__lon"]).select("lat", "lon", "__lat", "__lon", F.explode("__ids").alias(mark_id))
+    got = queries.select(query_id, "lat", "lon").join(ids, ["lat", "lon"])
+    if others:
+        got = got.where(F.col(query_id) != F.col(mark_id))
+    far = (geo.haversine if sphere else geo.flat_metres)(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
+    best = Window.partitionBy(query_id).orderBy("metres", mark_id)
+    told = got.withColumn("metres", far).where(F.col("metres") <= radius).withColumn("rank", F.row_number().over(best))
+    return told.where(F.col("rank") <= k).select(query_id, mark_id, "metres", "rank")
+
+
 def unique_near(queries: DataFrame, nodes: DataFrame, query_id: str, node_id: str, metres: float, rise: float) -> DataFrame:
     """(query_id, node_id, n): the node within metres in plan and rise in height, only if it is the only one.
 

@@ -184,7 +184,7 @@ WITH p AS {_POINTS}, x AS (SELECT q.vec_id, m.vec_id AS other, sqrt(power((m.lat
 SELECT vec_id, arg_min(other, struct_pack(d := d, o := other)) AS nearest, round(min(d), 3) AS metres FROM x WHERE d <= 600 GROUP BY vec_id""")
 def j19_grid_knn(spark, d):
     p = _points(spark, d)
-    near = spatial.nearest(p, p.withColumnRenamed("vec_id", "nearest"), "vec_id", "nearest", 600.0, others=True)
+    near = spatial.closest(p, p.withColumnRenamed("vec_id", "nearest"), "vec_id", "nearest", 1, 600.0, sphere=False, others=True)
     return near.select("vec_id", "nearest", F.round("metres", 3).alias("metres"))
 
 
@@ -201,9 +201,8 @@ WITH p AS {_POINTS}, x AS (SELECT q.vec_id, m.vec_id AS station, {_HAV} AS d FRO
 SELECT vec_id, rank, station, round(d, 3) AS metres FROM r WHERE rank <= 6""")
 def j20_radius_topk(spark, d):
     p = _points(spark, d)
-    near = spatial.within(p, p.withColumnRenamed("vec_id", "station"), 2500.0).where("vec_id <> station")
-    w = Window.partitionBy("vec_id").orderBy("metres", "station")
-    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 6").select("vec_id", F.col("rank").cast("bigint").alias("rank"), "station", F.round("metres", 3).alias("metres"))
+    near = spatial.closest(p, p.withColumnRenamed("vec_id", "station"), "vec_id", "station", 6, 2500.0, others=True)
+    return near.select("vec_id", F.col("rank").cast("bigint").alias("rank"), "station", F.round("metres", 3).alias("metres"))
 
 
 @register("j23_self_pairs", """

@@ -188,3 +188,14 @@ def test_grammars():
     assert [r["reason"] for r in g.read([["a", "b"], ["1", "2"]], None, [g.HEADWAY])] == ["no_grammar"] and not list(g.read([], None, [g.HEADWAY])) and not list(g.read(None, None, []))
     with pytest.raises(ValueError, match="colour"):
         g.Grammar("x", (("a", "colour"),), ())
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_deflated_members_have_few_ranges(tmp_path, stored):
+    """Each range of a deflated member inflates all before it; together they cover the member, whatever the split."""
+    packed(tmp_path / "a.zip", rows_of(400, 3), stored)
+    reader = archives.FeedReader({"path": str(tmp_path), "member": "stop_times.txt", "splitBytes": "50"}, _schema())
+    parts = reader.partitions()
+    assert len(parts) == 8 if not stored else len(parts) > 100
+    assert parts[0].start == 0 and parts[-1].end == parts[0].size and all(a.end == b.start for a, b in zip(parts, parts[1:]))
+    assert sum(batch.num_rows for part in parts for batch in reader.read(part)) == 400

@@ -3,14 +3,14 @@
 Reading plans one task for each range of bytes of a member: the driver reads central directories
 only, a task reads its range's lines. A stored member is entered at the range's own offset; a
 deflated one has to be inflated from its start, which costs a task what stands before its range,
-but no parsing. Columns are those of the given schema, no other is converted; comparisons with
+but no parsing; it has eight ranges at most, so that this work grows with its size and not with the square. Columns are those of the given schema, no other is converted; comparisons with
 literals, sets, prefixes and null tests are pushed into the source and leave rows out before
 they reach the JVM.
 
     spark.read.format("waymesh_feed").schema("trip_id string, stop_sequence int").option("member", "stop_times.txt").load(folder)
 
 Options: path, a folder of archives, one archive, or a glob of local or shared paths, or a URI that
-Arrow opens; member; splitBytes, the size of a range before compression (64 MB); multiline, for
+Arrow opens; member; splitBytes, the least size of a range before compression (64 MB); multiline, for
 members whose quoted fields hold line breaks: such a member is one task.
 
 Defined results: blanks are trimmed and empty fields are null; a column that a member lacks is
@@ -42,6 +42,8 @@ NAME = "waymesh_feed"
 #: Bytes of a member, before compression, that a task reads.
 SPLIT_BYTES = 64 << 20
 _CHUNK = 1 << 20
+#: Ranges of a deflated member at most: each inflates what stands before it, so that n of them inflate (n + 1) / 2 times the member.
+DEFLATED_RANGES = 8
 
 
 def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -203,8 +205,11 @@ class FeedReader(ds.DataSourceReader):
             with fs.open_input_file(local) as raw, zipfile.ZipFile(raw) as z:
                 if self.member not in z.namelist():
                     continue
-                size = z.getinfo(self.member).file_size
+                info = z.getinfo(self.member)
+                size = info.file_size
             step = max(1, size if self.whole else self.split)
+            if info.compress_type != zipfile.ZIP_STORED:
+                step = max(step, -(-size // DEFLATED_RANGES))
             out += [Range(name, self.member, a, min(size, a + step), size) for a in range(0, max(size, 1), step)]
         return out or [Range("", self.member, 0, 0, 0)]
 

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from waymesh.functions import geo
-from waymesh.operators import spatial
+from waymesh.operators import spatial, stages
 from waymesh.plans import catalogue
 
 
@@ -78,3 +78,13 @@ def test_closest_is_exact_at_any_density(spark, sphere):
         near = sorted((d, j) for j, q in points if j != i and (d := metres(p, q)) <= 2500)[:4]
         want |= {(i, n + 1): j for n, (_, j) in enumerate(near)}
     assert got == want
+
+
+def test_entry_pairs_are_made_once(spark):
+    """Joint routes, several numbers and titles: each pair is made once, and no pair is shuffled."""
+    routes = spark.createDataFrame([("r1", "KMB+CTB", "1a"), ("r1", "KMB", "1A"), ("r1", "CTB", "2"), ("r2", "NLB", "2"), ("r3", "KMB", None)], "route_id string, agency string, number string")
+    entries = spark.createDataFrame([("e1", "Kx", "1A"), ("e1", "Cx", "1a"), ("e1", "Cy", "2"), ("e2", "Nx", "2"), ("e2", None, "2"), ("e3", "Kx", None)], "entry string, title string, number string")
+    got = stages.entry_candidates(routes, entries, spark.createDataFrame([("kmb", "K"), ("ctb", "C"), ("ctb", "Cx"), ("nlb", "N")], "operator string, prefix string"))
+    assert sorted(map(tuple, got.collect())) == [("r1", "e1"), ("r2", "e2")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in x for x in plan[: next(i for i, x in enumerate(plan) if "Join" in x)])

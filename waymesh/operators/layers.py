@@ -1,7 +1,7 @@
 """Layers of timetable evidence: where several kinds speak of one moment, the best one is heard.
 
 Published headways and the stretches of listed departures stand over a baseline kept as fallback.
-Intervals of all layers go through one sweep of signed events.
+`top_layer` takes intervals of all layers through one sweep of signed events; `rail_schedule` does a path's in arrays.
 """
 from __future__ import annotations
 
